@@ -2,3 +2,4 @@
 
 from . import q_enrich  # noqa: F401
 from . import q_features  # noqa: F401
+from . import q_rollups  # noqa: F401

@@ -19,11 +19,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def decimal_rounding(sql: str) -> str:
+    """Rewrite every ``round(x, d)`` as rounding of ``x`` cast to DECIMAL.
+
+    Spark rounds a double through its decimal value (half up), DuckDB through
+    the binary value; on exact ties like 7.9390625 they differ. Rounding the
+    decimal cast in DuckDB gives Spark's answer.
+    """
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, comma = 1, j + 6, -1
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        if comma < 0:
+            out.append(sql[i:k])
+        else:
+            inner = decimal_rounding(sql[j + 6:comma])
+            digits = sql[comma + 1:k - 1].strip()
+            out.append(sql[i:j] + f"cast(round(cast({inner} as decimal(38,12)), {digits}) as double)")
+        i = k
+
+
 def register(name: str, oracle: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLES[name] = oracle
+            ORACLES[name] = decimal_rounding(oracle)
         return fn
     return deco
 
