@@ -85,12 +85,14 @@ def parse_number(x, default: float | None = None) -> Column:
 
 
 def dotted_date(x) -> Column:
-    """C18: '24.03.2026'-style or dashed dates -> 'yyyy-MM-dd' text (null when unparsable)."""
-    s = F.translate(_c(x).cast("string"), ".", "-")
-    parsed = F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd")),
-                        F.try_to_timestamp(s, F.lit("dd-MM-yyyy")),
-                        F.try_to_timestamp(s, F.lit("M/d/yyyy")),
-                        F.try_to_timestamp(s))
+    """Dotted or dashed dates -> 'yyyy-MM-dd' text (null when unparsable).
+
+    Year-first text is read as y-m-d, day-first dotted text ('24.03.2026') as
+    d-m-y, slashed text as M/d/yyyy. Explicit formats replace pandas' guess."""
+    s = F.translate(F.trim(_c(x).cast("string")), ".", "-")
+    parsed = (F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.try_to_timestamp(s, F.lit("yyyy-M-d")))
+              .when(s.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), F.try_to_timestamp(s, F.lit("d-M-yyyy")))
+              .when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(s, F.lit("M/d/yyyy"))))
     return F.date_format(parsed, "yyyy-MM-dd")
 
 

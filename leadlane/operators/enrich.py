@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import WEEKDAY_CAPACITY_COLUMNS, row_mean
 from ..functions.dates import EPS, eps_div, floor_days, fractional_days, safe_div, weekday_mon0
+from .scale import exact_quantiles
 
 FG_JOIN_COLUMNS = ["material", "production_line", "constraint_factor", "earliest_start_days",
                    "total_production_time"]
@@ -167,7 +168,7 @@ def winsor_bounds(df: DataFrame, col: str, lower: float = 0.01, upper: float = 0
     if approx:
         return df.agg(F.percentile_approx(col, [lower, upper], 100000).alias("_b")).select(
             F.col("_b")[0].cast("double").alias("_lo"), F.col("_b")[1].cast("double").alias("_hi"))
-    return df.agg(F.percentile(col, F.lit(lower)).alias("_lo"), F.percentile(col, F.lit(upper)).alias("_hi"))
+    return exact_quantiles(df, col, [lower, upper], ["_lo", "_hi"])
 
 
 def winsorise(df: DataFrame, col: str = "actual_production_days", lower: float = 0.01,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import WEEKDAY_CAPACITY_COLUMNS, day_capacity
 from ..functions.dates import eps_div, fractional_days, weekday_mon0
 from . import enrich as E
-from .scale import attach_group_agg, forward_table, range_table, running_totals, with_order_value
+from .scale import attach_group_agg, exact_quantiles, forward_table, range_table, running_totals, with_order_value
 
 TARGET = "actual_production_days"
 TIME_ORDER = ["created_date", "production_number"]
@@ -79,19 +79,24 @@ def forward_load(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     src, _ = with_order_value(src, "planned_start_date", "_ev")
     out, _ = with_order_value(df, "created_date", "_fv")
     out, _ = with_order_value(out, "planned_start_date", "_ev")
+    by_key: dict[str, dict[str, int]] = {}
     for key, days, prefix in FORWARD_SPECS:
+        by_key.setdefault(key, {})[prefix] = days
+    for key, spans in by_key.items():
         if key not in df.columns:
-            out = out.withColumns({f"{prefix}_orders": F.lit(0.0), f"{prefix}_qty": F.lit(0.0)})
+            out = out.withColumns({f"{p}_{s}": F.lit(0.0) for p in spans for s in ("orders", "qty")})
             continue
-        table = forward_table(src, key, "_fv", "_ev", "order_quantity", unit, days, "_fw")
+        table = forward_table(src, key, "_fv", "_ev", "order_quantity", unit, {f"_fw{p}": d for p, d in spans.items()})
         out = out.join(table, [key, "_fv"], "left")
-        own = F.coalesce((F.col("_ev") > F.col("_fv")) & (F.col("_ev") <= F.col("_fv") + F.lit(days * unit))
-                         & F.col(key).isNotNull(), F.lit(False))
-        out = out.withColumns({
-            f"{prefix}_orders": (F.coalesce(F.col("_fw_n"), F.lit(0)) - F.when(own, 1).otherwise(0)).cast("double"),
-            f"{prefix}_qty": (F.coalesce(F.col("_fw_q"), F.lit(0.0))
-                              - F.when(own, F.coalesce(F.col("order_quantity"), F.lit(0.0))).otherwise(0.0)),
-        }).drop("_fw_n", "_fw_q")
+        for prefix, days in spans.items():
+            own = F.coalesce((F.col("_ev") > F.col("_fv")) & (F.col("_ev") <= F.col("_fv") + F.lit(days * unit))
+                             & F.col(key).isNotNull(), F.lit(False))
+            n, q = f"_fw{prefix}_n", f"_fw{prefix}_q"
+            out = out.withColumns({
+                f"{prefix}_orders": (F.coalesce(F.col(n), F.lit(0)) - F.when(own, 1).otherwise(0)).cast("double"),
+                f"{prefix}_qty": (F.coalesce(F.col(q), F.lit(0.0))
+                                  - F.when(own, F.coalesce(F.col("order_quantity"), F.lit(0.0))).otherwise(0.0)),
+            }).drop(n, q)
     return out.drop("_fv", "_ev")
 
 
@@ -111,7 +116,7 @@ def material_features(df: DataFrame, approx_percentile: bool = False, source: Da
                                    if "mrp_controller" in df.columns else F.lit(0)),
     })
     p95 = (src.agg(F.percentile_approx("order_quantity", 0.95, 100000).cast("double").alias("_p95"))
-           if approx_percentile else src.agg(F.percentile("order_quantity", F.lit(0.95)).alias("_p95")))
+           if approx_percentile else exact_quantiles(src, "order_quantity", [0.95], ["_p95"]))
     # one-row table: broadcasting it is bounded by construction
     out = out.crossJoin(F.broadcast(p95)) \
         .withColumn("is_large_order", F.coalesce(q > F.col("_p95"), F.lit(False)).cast("int")).drop("_p95")
@@ -166,9 +171,9 @@ def history_stats(df: DataFrame, lookback_days: int = 90, count_days: int = 30,
                       {"_n": F.count(y), "_s": F.sum(y), "_s2": F.sum(y * y), "_mx": F.max(y),
                        "_last": F.max(F.when(y.isNotNull(), last_key)), "_c": F.count(F.lit(1))},
                       {"_mn": F.sum("_n"), "_ms": F.sum("_s"), "_ms2": F.sum("_s2"),
-                       "material_max_production_time_90d": F.max("_mx"), "_mlast": F.max("_last")})
-    c30 = range_table(src, ["material"], "_ov", unit, -count_days, {"_c": F.count(F.lit(1))}, {"_c30": F.sum("_c")})
-    out = out.join(mat, ["material", "_ov"], "left").join(c30, ["material", "_ov"], "left")
+                       "material_max_production_time_90d": F.max("_mx"), "_mlast": F.max("_last")},
+                      extra_frames={-count_days: {"_c30": F.sum("_c")}})
+    out = out.join(mat, ["material", "_ov"], "left")
     out = out.withColumns({
         "material_avg_production_time_90d": F.when(F.col("_mn") > 0, F.col("_ms") / F.col("_mn")),
         "material_std_production_time_90d": F.when(F.col("_mn") == 1, F.lit(0.0))

@@ -73,7 +73,7 @@ def with_order_value(df: DataFrame, col: str, name: str) -> tuple[DataFrame, int
 
 def range_table(source: DataFrame, keys: list[str], ov: str, unit: int, lo_days: int,
                 per_value_aggs: dict[str, Column], window_aggs: dict[str, Column],
-                hi_days: int | None = None) -> DataFrame:
+                hi_days: int | None = None, extra_frames: dict[int, dict[str, Column]] | None = None) -> DataFrame:
     """Stats table ``(keys, ov, window_aggs...)``: for each ``(key, value t)``
     present in ``source``, combine partial aggregates of rows with value in
     ``[t + lo_days, t)`` (or ``[t + lo_days, t + hi_days]`` when given).
@@ -82,13 +82,18 @@ def range_table(source: DataFrame, keys: list[str], ov: str, unit: int, lo_days:
              .groupBy(*keys, ov).agg(*[v.alias(n) for n, v in per_value_aggs.items()]))
     hi = -1 if hi_days is None else hi_days * unit
     w = Window.partitionBy(*keys).orderBy(ov).rangeBetween(lo_days * unit, hi)
-    return parts.select(*keys, ov, *[e.over(w).alias(n) for n, e in window_aggs.items()])
+    cols = [e.over(w).alias(n) for n, e in window_aggs.items()]
+    for lo2, aggs2 in (extra_frames or {}).items():  # other look-backs, same sort
+        w2 = Window.partitionBy(*keys).orderBy(ov).rangeBetween(lo2 * unit, hi)
+        cols += [e.over(w2).alias(n) for n, e in aggs2.items()]
+    return parts.select(*keys, ov, *cols)
 
 
 def forward_table(source: DataFrame, key: str, from_ov: str, event_ov: str, qty_col: str,
-                  unit: int, days: int, prefix: str) -> DataFrame:
-    """Stats table ``(key, from_ov, <prefix>_n, <prefix>_q)``: count and quantity
-    of rows with the same key whose event value lies in ``(t, t + days]``.
+                  unit: int, spans: dict[str, int]) -> DataFrame:
+    """Stats table ``(key, from_ov, <prefix>_n, <prefix>_q for prefix, days in spans)``:
+    count and quantity of rows with the same key whose event value lies in
+    ``(t, t + days]``. Several spans share one sort.
 
     Events are aggregated per ``(key, event value)``; the distinct query values
     are added with zero weight and one range window over the union answers all
@@ -102,10 +107,11 @@ def forward_table(source: DataFrame, key: str, from_ov: str, event_ov: str, qty_
               .select(key, F.col(from_ov).alias("_v")).distinct()
               .withColumns({"_n": F.lit(0).cast("long"), "_q": F.lit(None).cast("double"),
                             "_probe": F.lit(True)}))
-    w = Window.partitionBy(key).orderBy("_v").rangeBetween(1, days * unit)
-    return (events.unionByName(probes)
-            .select(key, "_v", "_probe", F.sum("_n").over(w).alias(f"{prefix}_n"),
-                    F.sum("_q").over(w).alias(f"{prefix}_q"))
+    cols = []
+    for prefix, days in spans.items():
+        w = Window.partitionBy(key).orderBy("_v").rangeBetween(1, days * unit)
+        cols += [F.sum("_n").over(w).alias(f"{prefix}_n"), F.sum("_q").over(w).alias(f"{prefix}_q")]
+    return (events.unionByName(probes).select(key, "_v", "_probe", *cols)
             .filter("_probe").drop("_probe").withColumnRenamed("_v", from_ov))
 
 
@@ -140,3 +146,30 @@ def running_totals(source: DataFrame, row_key: list[str], order_cols: list[str],
                                             for t in tmp.values()])
     joined = null_safe_join(within, offsets, keys + ["_rp"])
     return joined.select(*row_key, *[(F.col(f"_off{t}") + F.col(f"_in{t}")).alias(name) for name, t in tmp.items()])
+
+
+def exact_quantiles(source: DataFrame, col: str, probs: list[float], names: list[str]) -> DataFrame:
+    """One-row table of exact linear-interpolation quantiles (numpy/pandas default).
+
+    Spark's exact ``percentile`` buffers every value of a global group in one
+    task. Here values are counted per distinct value, running counts along the
+    value order come from range-partitioned running totals, and the two order
+    statistics around position (n - 1) * p are found with a range lookup.
+    """
+    counts = source.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    rt = running_totals(counts, ["_x"], ["_x"], {"_below": F.col("_c")}, inclusive=False)
+    table = counts.join(rt, "_x")  # value x occupies 0-based ranks [_below, _below + _c)
+    n = counts.agg(F.sum("_c").alias("_n"))
+    pos = [(F.col("_n") - 1) * F.lit(p) for p in probs]
+    targets = n.select("_n", *[F.floor(pp).cast("long").alias(f"_k{i}") for i, pp in enumerate(pos)],
+                       *[(pp - F.floor(pp)).alias(f"_f{i}") for i, pp in enumerate(pos)])
+    covers = []
+    for i in range(len(probs)):
+        for side, off in (("lo", 0), ("hi", 1)):
+            k = F.least(F.col(f"_k{i}") + off, F.col("_n") - 1)
+            covers.append(F.max(F.when((k >= F.col("_below")) & (k < F.col("_below") + F.col("_c")), F.col("_x")))
+                          .alias(f"_{side}{i}"))
+    # one pass over the distinct-value table against the one-row target table
+    hits = table.crossJoin(F.broadcast(targets)).groupBy(*[f"_f{i}" for i in range(len(probs))]).agg(*covers)
+    return hits.select(*[(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm)
+                         for i, nm in enumerate(names)])
