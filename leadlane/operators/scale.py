@@ -173,3 +173,40 @@ def exact_quantiles(source: DataFrame, col: str, probs: list[float], names: list
     hits = table.crossJoin(F.broadcast(targets)).groupBy(*[f"_f{i}" for i in range(len(probs))]).agg(*covers)
     return hits.select(*[(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm)
                          for i, nm in enumerate(names)])
+
+
+def category_codes(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Lexicographic category codes (0-based, null -> -1) like pandas
+    ``Categorical.codes``: distinct values are ranked with range-partitioned
+    running counts and joined back (no single-partition ``dense_rank``)."""
+    distinct = df.select(F.col(col)).filter(F.col(col).isNotNull()).distinct()
+    codes = running_totals(distinct, [col], [col], {out: F.lit(1).cast("long")}, inclusive=False)
+    return df.join(codes, col, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1)).cast("int"))
+
+
+def trailing_rows_stats(source: DataFrame, row_key: list[str], keys: list[str], order_cols: list[str],
+                        value: Column, frames: dict[str, tuple[int, int]]) -> DataFrame:
+    """Mean of ``value`` over the previous ``n`` rows (not the current one) per
+    ``keys`` in ``order_cols`` order, null unless at least ``min_periods``
+    non-null values - pandas ``rolling(n, min_periods).mean().shift(1)``.
+
+    ``frames`` maps output name -> (n, min_periods). Prefix sums by position
+    come from range-partitioned running totals; the sum over the frame is the
+    difference of two prefix sums, fetched with an equi-join on (key, position),
+    so no key is ever sorted in one task. Returns ``row_key + names``.
+    """
+    rt = running_totals(source, row_key, order_cols,
+                        {"_ps": value, "_pc": value.isNotNull().cast("long"), "_pos": F.lit(1).cast("long")},
+                        keys=keys, inclusive=False)
+    rt = null_safe_join(rt, source.select(*dict.fromkeys(row_key + keys)), row_key, "inner")
+    out = rt
+    for name, (n, min_periods) in frames.items():
+        look = rt.select(*[F.col(k).alias(f"_lk_{k}") for k in keys], (F.col("_pos") + n).alias("_lpos"),
+                         F.col("_ps").alias("_lps"), F.col("_pc").alias("_lpc"))
+        cond = reduce(lambda a, b: a & b, [out[k].eqNullSafe(look[f"_lk_{k}"]) for k in keys]) \
+            & (out["_pos"] == look["_lpos"])
+        j = out.join(look, cond, "left")
+        s = F.col("_ps") - F.coalesce(F.col("_lps"), F.lit(0))
+        c = F.col("_pc") - F.coalesce(F.col("_lpc"), F.lit(0))
+        out = j.withColumn(name, F.when(c >= min_periods, s / c)).drop(*look.columns)
+    return out.select(*row_key, *frames.keys())
