@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import WEEKDAY_CAPACITY_COLUMNS, day_capacity
 from ..functions.dates import eps_div, fractional_days, weekday_mon0
+from ..session import cut_lineage
 from . import enrich as E
 from .scale import attach_group_agg, exact_quantiles, forward_table, range_table, running_totals, with_order_value
 
@@ -277,7 +278,7 @@ def capacity_features(df: DataFrame) -> DataFrame:
 # --- pipeline ---------------------------------------------------------------------------
 
 def features_v4(enriched: DataFrame, training: bool = True, max_wait_days: float | None = 3.0,
-                strict_fill: bool = False, approx_percentiles: bool = False) -> DataFrame:
+                strict_fill: bool = False, approx_percentiles: bool = False, materialize: bool = True) -> DataFrame:
     """Full v4 feature table. ``training=True`` applies T2 -> F3 -> T3 -> F4 first;
     ``training=False`` (P16) keeps every order and the target where known.
 
@@ -286,6 +287,10 @@ def features_v4(enriched: DataFrame, training: bool = True, max_wait_days: float
     """
     base = E.training_rows(enriched, max_wait_days, approx_percentiles) if training else E.lead_time_target(enriched)
     base = time_features(base)
+    if materialize:
+        # The base feeds ~20 statistics; cut its lineage once (reliable checkpoint
+        # in the shared checkpoint folder) so each reads a scan, not the joins.
+        base = cut_lineage(base)
     df = concurrent_load(base, source=base)
     df = forward_load(df, source=base)
     df = material_features(df, approx_percentiles, source=base)
