@@ -6,3 +6,4 @@ from . import q_rollups  # noqa: F401
 from . import q_clean  # noqa: F401
 from . import q_classic  # noqa: F401
 from . import q_ml  # noqa: F401
+from . import q_io  # noqa: F401
