@@ -175,12 +175,13 @@ def sample_params(n: int, seed: int = 42, space: dict | None = None) -> list[dic
     return out
 
 
-def random_search(df: DataFrame, features: list[str], n_trials: int = 5, n_splits: int = 3, seed: int = 42):
+def random_search(df: DataFrame, features: list[str], n_trials: int = 5, n_splits: int = 3, seed: int = 42,
+                  space: dict | None = None):
     """M7: seeded random search minimising mean RMSE of the expanding CV.
     Returns (best params, trials DataFrame)."""
     spark = df.sparkSession
     rows = []
-    for i, p in enumerate(sample_params(n_trials, seed)):
+    for i, p in enumerate(sample_params(n_trials, seed, space)):
         cv = time_series_cv(df, features, n_splits, params=p)
         r = cv.select("rmse_mean", "mae_mean", "r2_mean").first()
         rows.append((i, json.dumps(p), float(r[0]), float(r[1]), float(r[2])))

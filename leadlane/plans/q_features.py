@@ -197,3 +197,58 @@ def q_te_line(spark, sf):
 @register("features_v4")
 def q_features_v4(spark, sf):
     return r6(FT.features_v4(__import__("leadlane.plans.registry", fromlist=["enriched"]).enriched(Views(spark, sf))))
+
+
+RATIO_COLS = ["material_family", "material_complexity", "log_order_quantity", "is_high_constraint",
+              "mrp_controller_encoded", "is_large_order", "qty_ratio_to_material_avg", "production_line_freq",
+              "expected_production_time", "capacity_utilization", "planned_start_day_capacity",
+              "day_capacity_utilization"]
+
+
+@register("ratio_features", S.over_enriched(f"""
+select production_number, substr(material, 1, 8) as material_family,
+  round(total_production_time * order_quantity, 6) as material_complexity,
+  round(ln(1 + order_quantity), 6) as log_order_quantity,
+  coalesce(cast(constraint_factor = 5 as int), 0) as is_high_constraint,
+  coalesce(cast(mrp_controller = 'CVC' as int), 0) as mrp_controller_encoded,
+  coalesce(cast(order_quantity > (select quantile_cont(order_quantity, 0.95) from tf) as int), 0) as is_large_order,
+  round(order_quantity / (case when material is null then null else avg(order_quantity) over (partition by material) end + {EPS}), 6)
+    as qty_ratio_to_material_avg,
+  case when production_line is null then 0.0 else cast(count(*) over (partition by production_line) as double) end
+    as production_line_freq,
+  round(total_production_time * order_quantity, 6) as expected_production_time,
+  round(order_quantity / (line_capacity * planned_production_days + {EPS}), 6) as capacity_utilization,
+  case planned_start_weekday_ when 1 then cap_tu when 2 then cap_we when 3 then cap_th when 4 then cap_fr else cap_mo end
+    as planned_start_day_capacity,
+  round(order_quantity / (case planned_start_weekday_ when 1 then cap_tu when 2 then cap_we when 3 then cap_th
+        when 4 then cap_fr else cap_mo end + {EPS}), 6) as day_capacity_utilization
+from tf""", train=True, extra=[("tf", TIME_SQL)]))
+def q_ratio_features(spark, sf):
+    df = train_rows(Views(spark, sf))
+    df = FT.line_features(FT.material_features(FT.time_features(df)))
+    return r6(df.select("production_number", *RATIO_COLS))
+
+
+INTER_COLS = ["complexity_capacity_interaction", "qty_time_interaction", "constraint_qty_interaction",
+              "expected_planned_ratio", "shortage_qty_interaction", "shortage_complexity_interaction",
+              "shortage_ratio_qty_interaction", "total_capacity_available", "workload_intensity"]
+
+
+@register("interaction_features", S.over_enriched(f"""
+select production_number,
+  round((total_production_time * order_quantity) * (order_quantity / (line_capacity * planned_production_days + {EPS})), 6)
+    as complexity_capacity_interaction,
+  round(order_quantity * planned_production_days, 6) as qty_time_interaction,
+  round(constraint_factor * order_quantity, 6) as constraint_qty_interaction,
+  round((total_production_time * order_quantity) / (planned_production_days + {EPS}), 6) as expected_planned_ratio,
+  round(total_shortage_qty * order_quantity, 6) as shortage_qty_interaction,
+  round(max_shortage_pct * (total_production_time * order_quantity), 6) as shortage_complexity_interaction,
+  round(shortage_component_ratio * order_quantity, 6) as shortage_ratio_qty_interaction,
+  round(line_capacity * planned_production_days, 6) as total_capacity_available,
+  round(order_quantity / (line_capacity * planned_production_days + {EPS}), 6) as workload_intensity
+from tf""", train=True, extra=[("tf", TIME_SQL)]))
+def q_interaction_features(spark, sf):
+    df = train_rows(Views(spark, sf))
+    df = FT.line_features(FT.material_features(FT.time_features(df)))
+    df = FT.capacity_features(FT.interaction_features(df))
+    return r6(df.select("production_number", *INTER_COLS))

@@ -52,7 +52,9 @@ def q_cv_metrics(spark, sf):
 @register("random_search")
 def q_random_search(spark, sf):
     df, feats = _v4(spark, sf)
-    _, trials = ML.random_search(df, feats, n_trials=2, n_splits=3)
+    space = {"maxDepth": ("int", 3, 5), "stepSize": ("log", 0.05, 0.3), "maxIter": ("int", 10, 25),
+             "subsamplingRate": ("float", 0.6, 1.0), "minInstancesPerNode": ("int", 1, 10)}
+    _, trials = ML.random_search(df, feats, n_trials=2, n_splits=3, space=space)
     return trials
 
 
