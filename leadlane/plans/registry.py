@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import enrich as E
+from ..session import cut_lineage
 from ..operators import features as FT
 from ..sources.fixtures import Views, with_views
 from . import sqlparts as S
@@ -77,5 +78,8 @@ def enriched(v: Views, completed_only: bool = True) -> DataFrame:
     return E.enrich(v.history, v.fg, v.capacity, v.shortage, completed_only)
 
 
-def train_rows(v: Views) -> DataFrame:
-    return E.training_rows(enriched(v))
+def train_rows(v: Views, materialize: bool = True) -> DataFrame:
+    """Training rows (T2 -> F3 -> T3 -> F4). Each feature query reads them several
+    times, so by default they are written once under the shared checkpoint folder."""
+    rows = E.training_rows(enriched(v))
+    return cut_lineage(rows) if materialize else rows
