@@ -51,3 +51,10 @@ def safe_div(num, den) -> Column:
 def eps_div(num, den, eps: float = EPS) -> Column:
     """``num / (den + eps)`` as used for all ratio features; null on exact zero."""
     return F.try_divide(_c(num), _c(den) + F.lit(eps))
+
+
+def round_decimal(x, digits: int) -> Column:
+    """Round half-up on the value first rounded to 12 decimals, so sums that
+    differ only by summation order (e.g. 9.533749999999999 vs 9.53375) round
+    the same way."""
+    return F.round(_c(x).cast("decimal(38,12)"), digits).cast("double")

@@ -199,3 +199,36 @@ def training_rows(enriched: DataFrame, max_wait_days: float | None = 3.0, approx
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["EPS"]
+
+
+# --- F5 / F7 / F10 -------------------------------------------------------------------------
+
+def complete_rows(df: DataFrame, columns: list[str], min_rows: int | None = 50) -> DataFrame:
+    """drop rows with a null in any feature or label; with ``min_rows`` the
+    count gate is checked (one count job) and too few rows raise."""
+    out = df.dropna(subset=columns)
+    if min_rows is not None:
+        n = out.count()
+        if n < min_rows:
+            raise ValueError(f"only {n} complete rows, need at least {min_rows}")
+    return out
+
+
+def test_set_filter(df: DataFrame, materials: list[str] | None = None, max_target: float | None = None,
+                    target: str = "actual_production_days") -> DataFrame:
+    """restrict an evaluation set to materials and, when below 30, a target cap."""
+    out = df
+    if materials:
+        out = out.filter(F.col("material").isin(materials))
+    if max_target is not None and max_target < 30:
+        out = out.filter(F.col(target) <= max_target)
+    return out
+
+
+def prefix_lookup(df: DataFrame, prefix: str, columns: tuple[str, ...] = ("sales_doc", "production_number")) -> DataFrame:
+    """orders whose sales document or order number starts with ``prefix``."""
+    cond = None
+    for c in columns:
+        e = F.col(c).cast("string").startswith(prefix)
+        cond = e if cond is None else cond | e
+    return df.filter(cond)

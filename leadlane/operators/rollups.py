@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import EPS, eps_div
+from ..functions.dates import EPS, eps_div, round_decimal
 from .scale import group_table, null_safe_join, running_totals
 
 
@@ -381,3 +381,51 @@ def sample_rows(df: DataFrame, key: str, k: int = 10, seed: int = 42) -> DataFra
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["EPS"]
+
+
+# --- A4 / A5 / A6 ------------------------------------------------------------------------
+
+def material_standards(scored: DataFrame, predicted: str = "predicted", digits: int = 4) -> DataFrame:
+    """A4: per (line, material, description): mean, std (null for one order),
+    min, max of the prediction and the order count; rows with a null key are
+    dropped (pandas groupby)."""
+    keys = ["production_line", "material", "material_description"]
+    g = scored.filter(F.expr(" and ".join(f"{k} is not null" for k in keys))).groupBy(*keys).agg(
+        F.avg(predicted).alias("predicted_avg"), F.stddev_samp(predicted).alias("predicted_std"),
+        F.min(predicted).alias("predicted_min"), F.max(predicted).alias("predicted_max"),
+        F.count(predicted).alias("sample_count"))
+    return g.select(*keys, *[round_decimal(c, digits).alias(c) for c in
+                             ("predicted_avg", "predicted_std", "predicted_min", "predicted_max")], "sample_count")
+
+
+def line_standards_summary(standards: DataFrame) -> DataFrame:
+    """A5: per line, mean/min/max of the material averages and the material count."""
+    return standards.groupBy("production_line").agg(
+        F.avg("predicted_avg").alias("avg_time"), F.min("predicted_avg").alias("min_time"),
+        F.max("predicted_avg").alias("max_time"), F.count("material").alias("material_count"))
+
+
+def simple_standards(standards: DataFrame) -> DataFrame:
+    """The four-column standards table."""
+    return standards.select("production_line", "material_description", "material", "predicted_avg")
+
+
+# --- T5 / O5 --------------------------------------------------------------------------------
+
+def finish_forecast(df: DataFrame, predicted: str = "predicted", start: str = "planned_start_date",
+                    planned_finish: str = "planned_finish_date") -> DataFrame:
+    """T5: predicted finish = start + predicted days; deviation from the planned
+    finish in days (1 dp); at risk when the deviation is positive."""
+    start_us = F.unix_micros(F.col(start).cast("timestamp"))
+    fin_us = start_us + F.floor(F.col(predicted) * F.lit(86_400_000_000.0)).cast("long")
+    dev = (fin_us - F.unix_micros(F.col(planned_finish).cast("timestamp"))) / F.lit(86_400_000_000.0)
+    return df.withColumns({"predicted_finish_date": F.timestamp_micros(fin_us),
+                           "deviation_days": F.round(dev, 1),
+                           "at_risk": F.coalesce(dev > 0, F.lit(False)).cast("int")})
+
+
+def top_risk_orders(df: DataFrame, prob: str = "delay_probability", k: int = 5) -> DataFrame:
+    """The k high-risk orders (band A 'high') with the largest probability."""
+    from .evaluate import risk_band_a
+    high = df.filter(risk_band_a(F.col(prob)) == "high")
+    return top_by(high, [F.desc(prob), F.asc("production_number")], k)

@@ -86,3 +86,57 @@ def distinct_keys(df: DataFrame, col: str, strip_zeros: bool = False) -> DataFra
     k = F.trim(F.col(col).cast("string"))
     k = strip_leading_zeros_opensql(k) if strip_zeros else k
     return df.select(k.alias(col)).filter(F.col(col).isNotNull() & (F.col(col) != "")).distinct()
+
+
+# --- C9 / C10 / C11 / C12: extract normalisation --------------------------------------------
+
+def _odata_qty(c: str):
+    return F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0))
+
+
+def transform_odata_orders(records: DataFrame, fields: dict[str, str], qty_fields: list[str],
+                           date_fields: list[str], key: str = "production_number") -> DataFrame:
+    """OData order records -> history rows. ``fields`` maps record field ->
+    column; quantities default to 0; ``/Date(ms)/`` dates are converted; records
+    without a key are rejected (use ``rejected_odata_orders`` for the side output)."""
+    from ..functions.clean import odata_date, strip_leading_zeros_odata
+    exprs = []
+    for src, dst in fields.items():
+        if dst in qty_fields:
+            exprs.append(_odata_qty(src).alias(dst))
+        elif dst in date_fields:
+            exprs.append(F.to_date(odata_date(src)).alias(dst))
+        elif dst == key:
+            exprs.append(strip_leading_zeros_odata(src).alias(dst))
+        else:
+            exprs.append(F.col(src).cast("string").alias(dst))
+    return records.select(*exprs).filter(F.col(key).isNotNull() & (F.col(key) != ""))
+
+
+def rejected_odata_orders(records: DataFrame, key_field: str) -> DataFrame:
+    """C9 side output: records that cannot become an order row."""
+    return records.filter(F.col(key_field).isNull() | (F.col(key_field).cast("string") == ""))
+
+
+def transform_master_rows(records: DataFrame, fields: dict[str, str], numeric: list[str]) -> DataFrame:
+    """Material master, line capacity or FG extract rows -> typed columns;
+    keys lose leading zeros, numbers parse ANSI-safely (bad -> null)."""
+    from ..functions.clean import strip_leading_zeros_opensql
+    exprs = []
+    for src, dst in fields.items():
+        if dst in numeric:
+            exprs.append(F.trim(F.col(src).cast("string")).try_cast("double").alias(dst))
+        elif dst in ("material", "production_number"):
+            exprs.append(strip_leading_zeros_opensql(src).alias(dst))
+        else:
+            exprs.append(F.trim(F.col(src).cast("string")).alias(dst))
+    return records.select(*exprs)
+
+
+def transform_shortage_extract(components: DataFrame, required: str = "required_qty",
+                               withdrawn: str = "withdrawn_qty") -> DataFrame:
+    """shortage = required - withdrawn (may be negative: an over-issue, which
+    the order roll-up later turns into a shortage through the absolute value)."""
+    req = F.coalesce(F.col(required).cast("string").try_cast("double"), F.lit(0.0))
+    wd = F.coalesce(F.col(withdrawn).cast("string").try_cast("double"), F.lit(0.0))
+    return components.withColumns({required: req, "shortage_qty": req - wd})
