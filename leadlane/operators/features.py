@@ -218,13 +218,34 @@ def expanding_mean(df: DataFrame, target: str = TARGET, name: str = "_expanding_
     return df.join(t, "production_number", "left")
 
 
+def global_running(source: DataFrame, target: str = TARGET) -> DataFrame:
+    """One pass of global running totals in time order giving both the inclusive
+    (W10) and the strictly-earlier (W13) mean target per order."""
+    y = F.col(target)
+    rt = running_totals(source.select("production_number", *TIME_ORDER, target), ["production_number"], TIME_ORDER,
+                        {"_es": y, "_en": y.isNotNull().cast("long")}, inclusive=True)
+    own = source.select("production_number", F.coalesce(y, F.lit(0.0)).alias("_oy"),
+                        y.isNotNull().cast("long").alias("_on"))
+    j = rt.join(own, "production_number")
+    return j.select("production_number",
+                    F.when(F.col("_en") > 0, F.col("_es") / F.col("_en")).alias("_incl_mean"),
+                    F.when(F.col("_en") - F.col("_on") > 0,
+                           (F.col("_es") - F.col("_oy")) / (F.col("_en") - F.col("_on"))).alias("_strict_mean"))
+
+
 def history_features(df: DataFrame, lookback_days: int = 90, strict_fill: bool = False,
-                     target: str = TARGET, source: DataFrame | None = None) -> DataFrame:
+                     target: str = TARGET, source: DataFrame | None = None,
+                     global_means: DataFrame | None = None) -> DataFrame:
     """W6/W7 + W10 fill + P10. Missing averages/max/last take the expanding mean
     (inclusive of the current order unless ``strict_fill``), std takes 0, then 0."""
     src = source if source is not None else df
     out = history_stats(df, lookback_days, target=target, source=src)
-    out = expanding_mean(out, target, "_fill", strict=strict_fill, source=src)
+    if global_means is not None:
+        out = out.join(global_means.select("production_number",
+                                           F.col("_strict_mean" if strict_fill else "_incl_mean").alias("_fill")),
+                       "production_number", "left")
+    else:
+        out = expanding_mean(out, target, "_fill", strict=strict_fill, source=src)
     fills = {c: F.coalesce(F.col(c), F.col("_fill"), F.lit(0.0)) for c in HISTORY_COLUMNS}
     fills["material_std_production_time_90d"] = F.coalesce(F.col("material_std_production_time_90d"), F.lit(0.0))
     out = out.withColumns(fills).drop("_fill")
@@ -234,11 +255,14 @@ def history_features(df: DataFrame, lookback_days: int = 90, strict_fill: bool =
 
 # --- W11-W13 --------------------------------------------------------------------------
 
-def target_encoding(df: DataFrame, target: str = TARGET, source: DataFrame | None = None) -> DataFrame:
+def target_encoding(df: DataFrame, target: str = TARGET, source: DataFrame | None = None,
+                    global_means: DataFrame | None = None) -> DataFrame:
     """Mean target of strictly earlier orders of the same material / line
     (null keys form their own group); fallback global strictly-earlier mean, then 0."""
     src = source if source is not None else df
-    out = df.join(expanding_mean_table(src, target, "_global_prev", strict=True), "production_number", "left")
+    g = (global_means.select("production_number", F.col("_strict_mean").alias("_global_prev"))
+         if global_means is not None else expanding_mean_table(src, target, "_global_prev", strict=True))
+    out = df.join(g, "production_number", "left")
     specs = [("material", "material_target_encoded")]
     if "production_line" in df.columns:
         specs.append(("production_line", "line_target_encoded"))
@@ -295,8 +319,9 @@ def features_v4(enriched: DataFrame, training: bool = True, max_wait_days: float
     df = forward_load(df, source=base)
     df = material_features(df, approx_percentiles, source=base)
     df = line_features(df, source=base)
-    df = history_features(df, strict_fill=strict_fill, source=base)
-    df = target_encoding(df, source=base)
+    gm = global_running(base)  # W10 and W13 from one pass
+    df = history_features(df, strict_fill=strict_fill, source=base, global_means=gm)
+    df = target_encoding(df, source=base, global_means=gm)
     df = interaction_features(df)
     return capacity_features(df)
 
