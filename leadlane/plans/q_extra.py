@@ -95,3 +95,35 @@ def q_prediction_mode(spark, sf):
     out = SCO.score_features(hist, new)
     return r6(out.select("production_number", "material_target_encoded", "line_target_encoded",
                          "material_avg_production_time_90d", "forward_7d_line_orders", "concurrent_orders_on_start"))
+
+
+_V4_PARTS = ["time_features", "concurrent_load", "forward_load_line", "forward_load_material", "hist90_material",
+             "hist90_line", "hist90_material_line", "count30_material", "target_encoding_material",
+             "target_encoding_line", "ratio_features", "interaction_features"]
+
+
+def _v4_oracle() -> str:
+    from .registry import ORACLES
+    parts = [f"({ORACLES[k]}) t{i}" for i, k in enumerate(_V4_PARTS)]
+    sql = "select * from " + parts[0]
+    for p in parts[1:]:
+        sql += f"\njoin {p} using (production_number)"
+    return sql
+
+
+def _v4_columns():
+    from .q_features import INTER_COLS, RATIO_COLS, TIME_COLS
+    from ..operators.features import FORWARD_SPECS, HISTORY_COLUMNS
+    fw = [f"{p}_{s}" for _, _, p in FORWARD_SPECS for s in ("orders", "qty")]
+    return (TIME_COLS + ["concurrent_orders_on_start", "concurrent_qty_on_start", "qty_share_of_day"] + fw
+            + HISTORY_COLUMNS + ["material_cv_production_time", "material_order_count_30d", "material_target_encoded",
+                                 "line_target_encoded"] + RATIO_COLS + INTER_COLS)
+
+
+@register("features_v4_columns", _v4_oracle())
+def q_features_v4_columns(spark, sf):
+    """The flagship feature table (v4 pipeline, one materialised base) against the
+    joined per-stage oracles."""
+    from ..operators import features as FT
+    from .registry import enriched
+    return r6(FT.features_v4(enriched(Views(spark, sf))).select("production_number", *_v4_columns()))
