@@ -78,4 +78,31 @@ def cut_lineage(df):
     root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{root}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _LINEAGE_TABLES.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+_LINEAGE_TABLES: list[str] = []
+
+
+def lineage_tables() -> list[str]:
+    """Tables written by ``cut_lineage`` in this driver process."""
+    return list(_LINEAGE_TABLES)
+
+
+def release_lineage_tables(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete lineage tables once no DataFrame built on them is used any more.
+
+    Caller-driven on purpose: a DataFrame returned by an operator keeps
+    reading its table lazily, so only the job owner knows when it is done.
+    Uses the Hadoop FileSystem of each path (works for shared storage).
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    for p in list(paths if paths is not None else _LINEAGE_TABLES):
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        if hp.getFileSystem(conf).delete(hp, True):
+            done += 1
+        if p in _LINEAGE_TABLES:
+            _LINEAGE_TABLES.remove(p)
+    return done

@@ -89,3 +89,11 @@ def test_hot_key_spans_many_tasks(spark):
     ranged = df.repartitionByRange(8, "k", "day", "pn").withColumn("p", F.spark_partition_id())
     per_task = [r["count"] for r in ranged.filter(F.col("k") == "HOT").groupBy("p").count().collect()]
     assert len(per_task) >= 6 and max(per_task) < 0.3 * 18000
+
+
+def test_release_lineage_tables(spark, tmp_path):
+    from leadlane.session import cut_lineage, lineage_tables, release_lineage_tables
+    df = cut_lineage(spark.range(10))
+    assert df.count() == 10
+    path = lineage_tables()[-1]
+    assert release_lineage_tables(spark, [path]) == 1 and path not in lineage_tables()
