@@ -97,3 +97,27 @@ def test_category_codes_like_pandas(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
     got = [r.code for r in category_codes(df, "v", "code").orderBy("i").collect()]
     assert got == list(pd.Categorical(vals).codes)
+
+
+def test_forward_load_timestamps_match_naive(spark):
+    """Micro-second order values: exact (t, t + 7 d] bounds on timestamps."""
+    import datetime as dt
+    from leadlane.operators.features import forward_load
+    rng = random.Random(11)
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(250):
+        c = base + dt.timedelta(hours=rng.randint(0, 24 * 40))
+        ps = c + dt.timedelta(hours=rng.randint(-48, 24 * 12)) if i % 9 else None
+        rows.append((i, rng.choice(["L1", "HOT", "HOT", None]), rng.choice(["M1", "M2"]), c, ps, float(i % 7)))
+    df = spark.createDataFrame(rows, "production_number long, production_line string, material string, "
+                                     "created_date timestamp, planned_start_date timestamp, order_quantity double")
+    got = {r.production_number: (r.forward_7d_line_orders, r.forward_7d_line_qty, r.forward_7d_material_orders)
+           for r in forward_load(df).collect()}
+    pdf = pd.DataFrame(rows, columns=["pn", "line", "mat", "c", "ps", "q"])
+    for r in pdf.itertuples():
+        win = pdf[(pdf.pn != r.pn) & (pdf.ps > r.c) & (pdf.ps <= r.c + pd.Timedelta(days=7))]
+        line = win[win.line == r.line] if r.line is not None else win.iloc[0:0]
+        mat = win[win.mat == r.mat]
+        assert got[r.pn][0] == len(line) and got[r.pn][1] == pytest.approx(line.q.sum())
+        assert got[r.pn][2] == len(mat)
