@@ -121,3 +121,27 @@ def test_forward_load_timestamps_match_naive(spark):
         mat = win[win.mat == r.mat]
         assert got[r.pn][0] == len(line) and got[r.pn][1] == pytest.approx(line.q.sum())
         assert got[r.pn][2] == len(mat)
+
+
+def test_history_stats_timestamps_match_naive(spark):
+    import datetime as dt
+    from leadlane.operators.features import history_stats
+    rng = random.Random(5)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, rng.choice(["M1", "HOT", "HOT"]), rng.choice(["L1", "L2"]),
+             base + dt.timedelta(hours=rng.randint(0, 24 * 200)), float(rng.randint(1, 20))) for i in range(300)]
+    df = spark.createDataFrame(rows, "production_number long, material string, production_line string, "
+                                     "created_date timestamp, actual_production_days double")
+    got = {r.production_number: (r.material_avg_production_time_90d, r.material_max_production_time_90d,
+                                 r.line_avg_production_time_90d, r.material_order_count_30d)
+           for r in history_stats(df).collect()}
+    pdf = pd.DataFrame(rows, columns=["pn", "mat", "line", "c", "y"])
+    for r in pdf.itertuples():
+        h = pdf[(pdf.c < r.c) & (pdf.c >= r.c - pd.Timedelta(days=90))]
+        m, ln = h[h.mat == r.mat], h[h.line == r.line]
+        c30 = pdf[(pdf.c < r.c) & (pdf.c >= r.c - pd.Timedelta(days=30)) & (pdf.mat == r.mat)]
+        avg, mx, lavg, cnt = got[r.pn]
+        assert (avg is None) == m.empty and (m.empty or avg == pytest.approx(m.y.mean()))
+        assert m.empty or mx == m.y.max()
+        assert (lavg is None) == ln.empty and (ln.empty or lavg == pytest.approx(ln.y.mean()))
+        assert cnt == (len(c30) if len(h) else 0)
