@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+from .html_extract import html_extract
+from .line_dedup import LINE_SQL, line_dedup
+from .packing import packing
 from .quality_rules import quality_rules
+from .simhash import simhash
+from .suffix_dedup import suffix_dedup
 
 QUERIES = {
+    "op1_html_extract": html_extract,
+    "op2_line_dedup": line_dedup,
+    "op3_packing": packing,
+    "op4_suffix_dedup": suffix_dedup,
     "op6_quality_rules": quality_rules,
+    "op7_simhash": simhash,
+}
+ORACLES = {
+    "op2_line_dedup": LINE_SQL,
 }
-ORACLES: dict[str, str] = {}
