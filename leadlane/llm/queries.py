@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from .cap_filters import cap_filters
 from .html_extract import html_extract
+from .license_scan import license_scan
 from .line_dedup import LINE_SQL, line_dedup
 from .packing import packing
 from .quality_rules import quality_rules
 from .simhash import simhash
 from .suffix_dedup import suffix_dedup
+from .toxicity import toxicity
 
 QUERIES = {
     "op1_html_extract": html_extract,
     "op2_line_dedup": line_dedup,
     "op3_packing": packing,
     "op4_suffix_dedup": suffix_dedup,
+    "op5_toxicity": toxicity,
     "op6_quality_rules": quality_rules,
     "op7_simhash": simhash,
+    "op8_cap_filters": cap_filters,
+    "op9_license_scan": license_scan,
 }
 ORACLES = {
     "op2_line_dedup": LINE_SQL,
