@@ -8,6 +8,7 @@ from .license_scan import license_scan
 from .line_dedup import LINE_SQL, line_dedup
 from .packing import packing
 from .quality_rules import quality_rules
+from .sentencepiece_scan import sentencepiece_scan
 from .simhash import simhash
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_simhash": simhash,
     "op8_cap_filters": cap_filters,
     "op9_license_scan": license_scan,
+    "op10_sentencepiece": sentencepiece_scan,
 }
 ORACLES = {
     "op2_line_dedup": LINE_SQL,
