@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import WEEKDAY_CAPACITY_COLUMNS, row_mean
-from ..functions.dates import EPS, eps_div, floor_days, fractional_days, safe_div, weekday_mon0
+from ..functions.dates import eps_div, floor_days, fractional_days, safe_div, weekday_mon0
 from .scale import exact_quantiles
 
 FG_JOIN_COLUMNS = ["material", "production_line", "constraint_factor", "earliest_start_days",
@@ -198,9 +198,6 @@ def training_rows(enriched: DataFrame, max_wait_days: float | None = 3.0, approx
     return wait_filter(df, max_wait_days)
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["EPS"]
-
-
 # --- F5 / F7 / F10 -------------------------------------------------------------------------
 
 def complete_rows(df: DataFrame, columns: list[str], min_rows: int | None = 50) -> DataFrame:

@@ -61,8 +61,9 @@ def exact_auc(df: DataFrame, label: str = "is_delayed", score: str = "delay_prob
          .agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg")))
     rt = running_totals(g, ["_s"], ["_s"], {"_neg_below": F.col("_neg")}, inclusive=False)
     j = g.join(rt, "_s")
-    return j.agg((F.sum(F.col("_pos") * (F.col("_neg_below") + F.col("_neg") / 2))
-                  / (F.sum("_pos") * F.sum("_neg"))).alias("auc"),
+    # As doubles: pairs of rows exceed a long from about 4e9 rows a class; one class alone has no AUC.
+    pos, neg = F.col("_pos").cast("double"), F.col("_neg").cast("double")
+    return j.agg(F.try_divide(F.sum(pos * (F.col("_neg_below") + neg / 2)), F.sum(pos) * F.sum(neg)).alias("auc"),
                  F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives"))
 
 

@@ -190,16 +190,32 @@ def history_stats(df: DataFrame, lookback_days: int = 90, count_days: int = 30,
                         {"_wn": F.sum("_n"), "_ws": F.sum("_s")})
         out = out.join(t, keys + ["_ov"], "left") \
             .withColumn(name, F.when(F.col("_wn") > 0, F.col("_ws") / F.col("_wn"))).drop("_wn", "_ws")
-    # global gate: a one-row-per-day table, windowed over days only
-    g = range_table(src.withColumn("_one", F.lit(1)), ["_one"], "_ov", unit, -lookback_days,
-                    {"_g": F.count(y)}, {"_g90": F.sum("_g")}).drop("_one")
-    out = out.join(g, ["_ov"], "left")
+    out = out.join(labelled_gate(src, y, unit, lookback_days), ["_ov"], "left")
     return out.withColumn("material_order_count_30d",
                           F.when(F.coalesce(F.col("_g90"), F.lit(0)) > 0,
                                  F.coalesce(F.col("_c30"), F.lit(0))).otherwise(0).cast("double")) \
         .drop("_c30", "_g90", "_ov")
 
 
+def labelled_gate(src: DataFrame, y, unit: int, lookback_days: int) -> DataFrame:
+    """Per creation value t: the number ``_g90`` of labelled orders created in [t - look-back, t), over all keys.
+
+    Each value is shifted to where it enters and leaves a look-back; running
+    totals along the values (range-partitioned, so timestamps that are all
+    distinct spread over the tasks) give the count as a difference.
+    """
+    day = src.filter(F.col("_ov").isNotNull()).groupBy("_ov").agg(F.count(y).alias("_g"))
+    # At one value, kind 1 asks before kind 2 enters or leaves: rows created at t aren't earlier than t, and rows
+    # created exactly a look-back before t still count.
+    marks = day.select(F.explode(F.array(
+        F.struct((F.col("_ov") + lookback_days * unit).alias("v"), F.lit(2).alias("kind"), F.col("_ov").alias("src"), (-F.col("_g")).alias("g")),
+        F.struct(F.col("_ov").alias("v"), F.lit(1).alias("kind"), F.col("_ov").alias("src"), F.lit(0).cast("long").alias("g")),
+        F.struct(F.col("_ov").alias("v"), F.lit(2).alias("kind"), F.col("_ov").alias("src"), F.col("_g").alias("g")))).alias("m")).select(
+        "m.v", "m.kind", "m.src", "m.g")
+    rt = running_totals(marks, ["v", "kind", "src"], ["v", "kind", "src"], {"_g90": F.col("g")})
+    return rt.filter("kind = 1").select(F.col("src").alias("_ov"), "_g90")
+
+
 def expanding_mean_table(source: DataFrame, target: str = TARGET, name: str = "_expanding_mean",
                          strict: bool = False, keys: list[str] | None = None) -> DataFrame:
     """W10/W11-W13 table ``(production_number, name)``: mean of the non-null target

@@ -127,10 +127,11 @@ def train_lead_time(df: DataFrame, features: list[str], test_size: float = 0.2,
 # --- M6 / M7 ---------------------------------------------------------------------------
 
 def time_series_cv(df: DataFrame, features: list[str], n_splits: int = 5, params: dict | None = None,
-                   log_target: bool = False) -> DataFrame:
+                   log_target: bool = False, folds: DataFrame | None = None) -> DataFrame:
     """M6: expanding folds (train = everything before the fold). Returns per-fold
-    metrics plus mean and population std rows."""
-    folds = cut_lineage(cv_fold_assignment(df, n_splits))
+    metrics plus mean and population std rows. ``folds``: the rows with their
+    assignment, written once by a caller that runs several models over them."""
+    folds = cut_lineage(cv_fold_assignment(df, n_splits)) if folds is None else folds
     starts = folds.filter(F.col("test_fold").isNotNull()).groupBy("test_fold").agg(F.min("row_index").alias("start"))
     parts = []
     for k in range(1, n_splits + 1):
@@ -181,8 +182,9 @@ def random_search(df: DataFrame, features: list[str], n_trials: int = 5, n_split
     Returns (best params, trials DataFrame)."""
     spark = df.sparkSession
     rows = []
+    folds = cut_lineage(cv_fold_assignment(df, n_splits))  # one assignment for all trials
     for i, p in enumerate(sample_params(n_trials, seed, space)):
-        cv = time_series_cv(df, features, n_splits, params=p)
+        cv = time_series_cv(df, features, n_splits, params=p, folds=folds)
         r = cv.select("rmse_mean", "mae_mean", "r2_mean").first()
         rows.append((i, json.dumps(p), float(r[0]), float(r[1]), float(r[2])))
     trials = spark.createDataFrame(rows, "trial int, params string, rmse_mean double, mae_mean double, r2_mean double")
@@ -199,7 +201,7 @@ def stratified_split(df: DataFrame, label: str, key: str, train_share: float = 0
     rt = running_totals(h.select(key, label, "_h"), [key], ["_h", key], {"_pos": F.lit(1).cast("long")},
                         keys=[label], inclusive=False)
     n = h.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    out = h.join(rt, key).join(F.broadcast(n), label)
+    out = h.join(rt, key).join(n, label)
     return out.withColumn("split", F.when(F.col("_pos") < F.floor(F.col("_n") * train_share), "train")
                           .otherwise("test")).drop("_h", "_pos", "_n")
 

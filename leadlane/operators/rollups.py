@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import EPS, eps_div, round_decimal
+from ..functions.dates import eps_div, floor_days, round_decimal
 from .scale import group_table, null_safe_join, running_totals
 
 
@@ -139,8 +139,9 @@ def rank_trend(scored: DataFrame, predicted: str = "predicted", min_orders: int
     equi-join lookups at the frame bounds, so no material is sorted in one task.
     """
     src = scored.filter(F.col(predicted).isNotNull()).select("production_number", "material", predicted)
+    # Exact sums: a difference of growing double sums loses digits with the length of the total.
     rt = running_totals(src, ["production_number"], [predicted, "production_number"],
-                        {"_cum": F.col(predicted), "rank": F.lit(1).cast("long")}, keys=["material"])
+                        {"_cum": F.col(predicted).cast("decimal(28,10)"), "rank": F.lit(1).cast("long")}, keys=["material"])
     sizes = group_table(src, ["material"], {"_n": F.count(F.lit(1))}, null_keys="group")
     base = null_safe_join(src.join(rt, "production_number"), sizes, ["material"])
     w = F.greatest(F.lit(3), F.floor(F.col("_n") / 5)).cast("long")
@@ -152,7 +153,7 @@ def rank_trend(scored: DataFrame, predicted: str = "predicted", min_orders: int
     lo = look.select(F.col("material").alias("_m2"), F.col("rank").alias("_r2"), F.col("_cum").alias("_c_lo"))
     out = base.join(up, base["material"].eqNullSafe(up["_m1"]) & (base["_hi"] == up["_r1"]), "left") \
         .join(lo, base["material"].eqNullSafe(lo["_m2"]) & (base["_lo"] - 1 == lo["_r2"]), "left")
-    mean = (F.col("_c_hi") - F.coalesce(F.col("_c_lo"), F.lit(0.0))) / (F.col("_hi") - F.col("_lo") + 1)
+    mean = (F.col("_c_hi") - F.coalesce(F.col("_c_lo"), F.lit(0))).cast("double") / (F.col("_hi") - F.col("_lo") + 1)
     return out.select("production_number", "material", F.col("rank").alias("rank"),
                       F.when(F.col("_n") >= min_orders, mean).otherwise(F.col(predicted)).alias("trend"))
 
@@ -165,7 +166,8 @@ def group_accuracy(errs: DataFrame, keys: list[str], digits: int = 2) -> DataFra
         F.count("production_number").alias("orders"), F.sum("order_quantity").alias("total_qty"),
         F.avg("actual").alias("mean_actual"), F.avg("predicted").alias("mean_predicted"),
         F.avg("abs_error").alias("mae"), rmse().alias("rmse"))
-    return g.select(*keys, "orders", *[F.bround(c, digits).alias(c) for c in
+    # Means that differ in their last binary digits are one value before the half-even rule decides.
+    return g.select(*keys, "orders", *[F.bround(F.round(c, 9), digits).alias(c) for c in
                                        ["total_qty", "mean_actual", "mean_predicted", "mae", "rmse"]])
 
 
@@ -209,7 +211,7 @@ def error_bands(errs: DataFrame) -> DataFrame:
     out = bands.join(counts, "band_order", "left").crossJoin(F.broadcast(total))
     n = F.coalesce(F.col("n"), F.lit(0))
     return out.select("band_order", "band", n.alias("orders"),
-                      F.bround(n / F.col("_total") * 100, 1).alias("pct"))
+                      F.bround(F.coalesce(F.try_divide(n * F.lit(100.0), F.col("_total")), F.lit(0.0)), 1).alias("pct"))
 
 
 def material_accuracy(errs: DataFrame) -> DataFrame:
@@ -235,16 +237,17 @@ def delay_rate(df: DataFrame, keys: list[Column | str], min_orders: int | None =
 
 
 def order_kpis(orders: DataFrame, finish: str = "actual_finish", planned_finish: str = "planned_finish") -> DataFrame:
-    """Total, completed, pending, delayed; on-time share and mean delay
-    of delayed orders only."""
+    """Total, completed, pending, delayed; on-time share (null when nothing
+    is completed) and mean delay of delayed orders only. Delays are whole days,
+    floored from fractional ones; less than one day late is on time."""
     done = F.col(finish).isNotNull()
-    late = done & (F.col(finish) > F.col(planned_finish))
-    delay = F.datediff(F.col(finish), F.col(planned_finish))
+    delay = floor_days(F.col(planned_finish), F.col(finish))
+    late = done & F.coalesce(delay > 0, F.lit(False))
     return orders.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(done).alias("completed"),
         F.count_if(~done).alias("pending"), F.count_if(late).alias("delayed"),
         F.count_if(done & ~late).alias("on_time"),
-        (F.count_if(done & ~late) / F.count_if(done) * 100).alias("on_time_pct"),
+        F.try_divide(F.count_if(done & ~late) * F.lit(100.0), F.count_if(done)).alias("on_time_pct"),
         F.avg(F.when(late, delay)).alias("mean_delay_of_delayed"))
 
 
@@ -332,19 +335,20 @@ def neighbourhood_delay(reference: DataFrame, probes: DataFrame, col: str, probe
         F.count(F.lit(1)).alias("_c"), F.sum("is_delayed").alias("_d"))
     ref = ref.withColumn("_b", F.explode(F.array_distinct(F.array(
         F.floor((F.col("_v") - radius) / width), F.floor((F.col("_v") + radius) / width)))))
-    pr = probes.select(F.col(probe_key).alias("_key"), F.col(col).alias("_v")).filter(F.col("_v").isNotNull()) \
-        .withColumn("_b", F.floor(F.col("_v") / width))
-    u = ref.select(F.lit(None).cast(pr.schema["_key"].dataType).alias("_key"), "_v", "_b", "_c", "_d",
-                   F.lit(False).alias("_probe")) \
-        .unionByName(pr.select("_key", "_v", "_b", F.lit(0).cast("long").alias("_c"),
+    keyed = probes.select(F.col(probe_key).alias("_key"), F.col(col).alias("_v")).filter(F.col("_v").isNotNull())
+    # One probe a distinct value: many probes of one value never meet in one window task.
+    pr = keyed.select("_v").distinct().withColumn("_b", F.floor(F.col("_v") / width))
+    u = ref.select("_v", "_b", "_c", "_d", F.lit(False).alias("_probe")) \
+        .unionByName(pr.select("_v", "_b", F.lit(0).cast("long").alias("_c"),
                                F.lit(0).cast("long").alias("_d"), F.lit(True).alias("_probe")))
     if float(radius).is_integer():
         w = Window.partitionBy("_b").orderBy("_v").rangeBetween(-int(radius), int(radius))
     else:  # frame bounds must be integral: order by value / radius, frame [-1, 1]
         u = u.withColumn("_vs", F.col("_v") / radius)
         w = Window.partitionBy("_b").orderBy("_vs").rangeBetween(-1, 1)
-    out = u.select("_key", "_v", "_probe", F.sum("_c").over(w).alias("similar"),
-                   F.sum("_d").over(w).alias("_delayed")).filter("_probe")
+    seen = u.select("_v", "_probe", F.sum("_c").over(w).alias("similar"),
+                    F.sum("_d").over(w).alias("_delayed")).filter("_probe").drop("_probe")
+    out = keyed.join(seen, "_v")
     return out.select(F.col("_key").alias(probe_key), F.col("_v").alias(col), "similar",
                       F.when(F.col("similar") > 0, F.col("_delayed") / F.col("similar")).alias("delay_rate"))
 
@@ -383,9 +387,6 @@ def sample_rows(df: DataFrame, key: str, k: int = 10, seed: int = 42) -> DataFra
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(k)
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["EPS"]
-
-
 # --- A4 / A5 / A6 ------------------------------------------------------------------------
 
 def material_standards(scored: DataFrame, predicted: str = "predicted", digits: int = 4) -> DataFrame:

@@ -28,6 +28,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def all_not_null(cols: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
@@ -126,20 +128,27 @@ def running_totals(source: DataFrame, row_key: list[str], order_cols: list[str],
     window sums per ``(key, partition)``; per-partition totals (a table of at
     most partitions x keys rows) are prefix-summed and joined back. No task
     ever holds a whole key or the whole table.
+
+    The range boundaries are sampled, so the partitioned sums are written once
+    under the shared checkpoint folder and both uses read that table: totals
+    and rows can never see different boundaries, whatever is pruned or reused.
+    The number of ranges follows ``spark.sql.shuffle.partitions`` and AQE's
+    target size unless ``partitions`` fixes it.
     """
     keys = list(keys or [])
-    n = partitions or int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tmp = {name: f"_rv{i}" for i, name in enumerate(values)}
     slim = source.select(*dict.fromkeys(row_key + keys + order_cols),
                          *[F.coalesce(v, F.lit(0)).alias(tmp[k]) for k, v in values.items()])
-    ranged = slim.repartitionByRange(n, *[F.col(c) for c in keys + order_cols]) \
+    by = [F.col(c) for c in keys + order_cols]
+    ranged = (slim.repartitionByRange(partitions, *by) if partitions else slim.repartitionByRange(*by)) \
         .withColumn("_rp", F.spark_partition_id())
     w_in = Window.partitionBy(*keys, "_rp").orderBy(*order_cols) \
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     w_all = Window.partitionBy(*keys, "_rp")
-    within = ranged.select(*dict.fromkeys(row_key + keys), "_rp",
-                           *[F.coalesce(F.sum(t).over(w_in), F.lit(0)).alias(f"_in{t}") for t in tmp.values()],
-                           *[F.sum(t).over(w_all).alias(f"_tot{t}") for t in tmp.values()])
+    within = cut_lineage(
+        ranged.select(*dict.fromkeys(row_key + keys), "_rp",
+                      *[F.coalesce(F.sum(t).over(w_in), F.lit(0)).alias(f"_in{t}") for t in tmp.values()],
+                      *[F.sum(t).over(w_all).alias(f"_tot{t}") for t in tmp.values()]))
     totals = within.groupBy(*keys, "_rp").agg(*[F.max(f"_tot{t}").alias(f"_tot{t}") for t in tmp.values()])
     w_off = Window.partitionBy(*keys).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_rp", *[F.coalesce(F.sum(f"_tot{t}").over(w_off), F.lit(0)).alias(f"_off{t}")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..operators import enrich as E
+from ..sources import files as FI
 from ..sources.fixtures import Views, with_views
 from . import sqlparts as S
 from .registry import enriched, register
@@ -153,12 +154,10 @@ def q_day_capacity(spark, sf):
 
 
 @register("status_concat", with_views("""
-select production_number, array_to_string(list_sort(list(cast(component_material as varchar))), ' ') as components
+select production_number, array_to_string(list_sort(list(cast(component_material as varchar))), ' ') as system_status
 from shortage where production_number is not null group by production_number""", ["shortage"]))
 def q_status_concat(spark, sf):
-    s = Views(spark, sf).shortage.filter(F.col("production_number").isNotNull())
-    return s.groupBy("production_number").agg(
-        F.array_join(F.array_sort(F.collect_list(F.col("component_material").cast("string"))), " ").alias("components"))
+    return FI.status_concat(Views(spark, sf).shortage, status="component_material")
 
 
 def _raw_line(v: Views):

@@ -7,7 +7,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from ..operators import evaluate as EV
 from ..operators import rollups as R
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, remember_scratch
 from ..sinks import writers as K
 from ..sources import envelopes as ENV
 from ..sources import extracts as X
@@ -41,6 +41,7 @@ def q_incremental_upsert_stream(spark, sf):
     """Land monthly extracts (with overlap) under the shared checkpoint folder,
     run the availableNow stream with foreachBatch upserts, read the table."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream/{uuid.uuid4().hex}"
+    remember_scratch(root)
     inc = I.monthly_increments(Views(spark, sf).history.select(*UPSERT_COLS[:-1]))
     inc.write.partitionBy("ingest_seq").parquet(f"{root}/landing")
     schema = spark.read.parquet(f"{root}/landing").schema

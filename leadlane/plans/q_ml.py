@@ -11,7 +11,8 @@ from ..operators import rollups as R
 from ..sources.fixtures import Views
 from .registry import enriched, r6, register
 
-SMALL_GBT = {"maxIter": 20, "maxDepth": 4}
+# Trials of the search query; the library default is the caller's choice too.
+TRIALS = 2
 
 
 def _v4(spark, sf):
@@ -22,7 +23,7 @@ def _v4(spark, sf):
 @register("gbt_lead_time")
 def q_gbt_lead_time(spark, sf):
     df, feats = _v4(spark, sf)
-    _, pred, _ = ML.train_lead_time(df, feats, params=SMALL_GBT)
+    _, pred, _ = ML.train_lead_time(df, feats)
     out = R.prediction_errors(pred.select("production_number", "material", "split",
                                           F.col("actual_production_days").alias("actual"), "predicted"))
     return r6(out)
@@ -31,14 +32,14 @@ def q_gbt_lead_time(spark, sf):
 @register("gbt_lead_time_metrics")
 def q_gbt_metrics(spark, sf):
     df, feats = _v4(spark, sf)
-    _, _, metrics = ML.train_lead_time(df, feats, params=SMALL_GBT, log_target=True)
+    _, _, metrics = ML.train_lead_time(df, feats, log_target=True)
     return r6(metrics)
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     df, feats = _v4(spark, sf)
-    model, _, _ = ML.train_lead_time(df, feats, params=SMALL_GBT, validation_share=0.0)
+    model, _, _ = ML.train_lead_time(df, feats, validation_share=0.0)
     # one row per model feature (bounded by the feature list, not by data)
     return spark.createDataFrame(model.importance(), "feature string, importance double")
 
@@ -46,15 +47,13 @@ def q_feature_importance(spark, sf):
 @register("cv_metrics")
 def q_cv_metrics(spark, sf):
     df, feats = _v4(spark, sf)
-    return r6(ML.time_series_cv(df, feats, 5, params=SMALL_GBT))
+    return r6(ML.time_series_cv(df, feats, 5))
 
 
 @register("random_search")
 def q_random_search(spark, sf):
     df, feats = _v4(spark, sf)
-    space = {"maxDepth": ("int", 3, 5), "stepSize": ("log", 0.05, 0.3), "maxIter": ("int", 10, 25),
-             "subsamplingRate": ("float", 0.6, 1.0), "minInstancesPerNode": ("int", 1, 10)}
-    _, trials = ML.random_search(df, feats, n_trials=2, n_splits=3, space=space)
+    _, trials = ML.random_search(df, feats, n_trials=TRIALS, n_splits=3)
     return trials
 
 
@@ -84,6 +83,6 @@ def q_gbt_delay(spark, sf):
     df = _v1(spark, sf)
     split = ML.stratified_split(df, "is_delayed", "production_number")
     train = ML.class_weights(split.filter(F.col("split") == "train"), "is_delayed")
-    model = ML.fit_classifier(train, CL.V1_FEATURES, weight_col="weight", params=SMALL_GBT)
+    model = ML.fit_classifier(train, CL.V1_FEATURES, weight_col="weight")
     scored = ML.score_delay(model, split, CL.V1_FEATURES)
     return r6(scored.select("production_number", "split", "is_delayed", "delay_probability", "predicted_delay"))

@@ -145,21 +145,22 @@ def q_error_bands(spark, sf):
 
 
 def _acc_sql(keys: str) -> str:
+    means = {"total_qty": "sum(order_quantity)", "mean_actual": "avg(actual)", "mean_predicted": "avg(predicted)",
+             "mae": "avg(abs_error)", "rmse": "sqrt(avg(error * error))"}
+    cols = ", ".join(f"round_even(round({e}, 9), 2) as {n}" for n, e in means.items())
     return f"""
-select {keys}, count(production_number) as orders, round(sum(order_quantity), 6) as total_qty,
-  round(avg(actual), 6) as mean_actual, round(avg(predicted), 6) as mean_predicted,
-  round(avg(abs_error), 6) as mae, round(sqrt(avg(error * error)), 6) as rmse
+select {keys}, count(production_number) as orders, {cols}
 from er where {' and '.join(k.strip() + ' is not null' for k in keys.split(','))} group by {keys}"""
 
 
 @register("accuracy_by_material", over_scored(_acc_sql("material, material_description")))
 def q_accuracy_by_material(spark, sf):
-    return r6(R.group_accuracy(errors(Views(spark, sf)), ["material", "material_description"], digits=12))
+    return r6(R.group_accuracy(errors(Views(spark, sf)), ["material", "material_description"]))
 
 
 @register("accuracy_by_line", over_scored(_acc_sql("production_line")))
 def q_accuracy_by_line(spark, sf):
-    return r6(R.group_accuracy(errors(Views(spark, sf)), ["production_line"], digits=12))
+    return r6(R.group_accuracy(errors(Views(spark, sf)), ["production_line"]))
 
 
 @register("accuracy_overall", over_scored("""

@@ -72,8 +72,8 @@ SHORTAGE = StructType([
 
 PRODUCTION_ORDERS = StructType([
     StructField("order_id", LongType()), StructField("material_id", StringType()), StructField("plant", StringType()),
-    StructField("order_type", StringType()), StructField("planned_start", DateType()),
-    StructField("planned_finish", DateType()), StructField("actual_finish", DateType()),
+    StructField("order_type", StringType()), StructField("planned_start", TimestampType()),
+    StructField("planned_finish", TimestampType()), StructField("actual_finish", TimestampType()),
     StructField("planned_qty", DoubleType()), StructField("status", StringType()), StructField("priority", IntegerType()),
 ])
 

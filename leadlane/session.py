@@ -36,9 +36,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         conf.update(LOCAL_DEFAULTS)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
-    # Tests only: a cluster names its shared folder itself.
-    conf.setdefault("spark.checkpoint.dir",
-                    os.environ.get("LEADLANE_CHECKPOINT_DIR", "/tmp/leadlane-checkpoints"))
+    if master.startswith("local["):  # tests and benchmarks; a cluster names its shared folder itself
+        conf.setdefault("spark.checkpoint.dir",
+                        os.environ.get("LEADLANE_CHECKPOINT_DIR", "/tmp/leadlane-checkpoints"))
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -62,11 +62,24 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     existing = sc.getCheckpointDir()
     if existing:
         return existing
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name storage that all nodes share")
     path = fallback or os.environ.get("LEADLANE_CHECKPOINT_DIR") or "/tmp/leadlane-checkpoints"
     sc.setCheckpointDir(path)
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path exists, by its own Hadoop file system; errors of the store rise."""
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp)
+
+
+def remember_scratch(path: str) -> None:
+    """Have ``release_lineage_tables`` delete this folder too."""
+    _LINEAGE_TABLES.append(path)
+
+
 def cut_lineage(df):
     """Materialise ``df`` as a parquet table under the shared checkpoint folder
     (``spark.checkpoint.dir``) and return a scan of it.
@@ -86,7 +99,7 @@ _LINEAGE_TABLES: list[str] = []
 
 
 def lineage_tables() -> list[str]:
-    """Tables written by ``cut_lineage`` in this driver process."""
+    """Tables written by ``cut_lineage`` and folders named by ``remember_scratch`` in this driver process."""
     return list(_LINEAGE_TABLES)
 
 

@@ -58,12 +58,23 @@ def payload_rows(df: DataFrame, id_candidates: list[str] = ("order_id", "Order",
     return df.select(ident.alias("id"), F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("payload"))
 
 
-def register_model(spark: SparkSession, path: str, meta: dict, known: list[str]) -> None:
-    """K6: append a model-registry row; unknown keys are folded into ``extra`` JSON."""
+# What a metadata value is stored as when its type isn't declared.
+VALUE_TYPES = {"bool": "boolean", "int": "bigint", "float": "double", "datetime": "timestamp", "date": "date"}
+
+
+def register_model(spark: SparkSession, path: str, meta: dict, known: list[str],
+                   types: dict[str, str] | None = None) -> None:
+    """K6: append a model-registry row; unknown keys are folded into ``extra`` JSON.
+
+    ``types`` declares columns whose value may be missing: a None has no type of
+    its own and is stored as a null string otherwise.
+    """
     import json
-    row = {k: meta.get(k) for k in known}
-    row["extra"] = json.dumps({k: v for k, v in meta.items() if k not in known}, sort_keys=True, default=str)
-    spark.createDataFrame([row]).write.mode("append").parquet(path)
+    kind = {k: (types or {}).get(k) or VALUE_TYPES.get(type(meta.get(k)).__name__, "string") for k in known}
+    row = {k: meta.get(k) if kind[k] != "string" or meta.get(k) is None else str(meta[k]) for k in known}
+    extra = json.dumps({k: v for k, v in meta.items() if k not in known}, sort_keys=True, default=str)
+    schema = ", ".join([f"`{k}` {kind[k]}" for k in known] + ["extra string"])
+    spark.createDataFrame([(*row.values(), extra)], schema).write.mode("append").parquet(path)
 
 
 def latest_active_model(registry: DataFrame, ts: str = "created_at") -> DataFrame:

@@ -17,15 +17,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _mat(key) -> F.Column:
-    return F.concat(F.lit("MAT"), F.lpad(key.cast("string"), 4, "0"))
+    return F.concat(F.lit("MAT"), F.lpad(key.cast("string"), 9, "0"))
+
+
+def _line(key) -> F.Column:
+    """Twenty parts share a production line, so the number of lines follows the data."""
+    return F.floor(key / 20).cast("long")
 
 
 def fg_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _table(spark, sf_dir, "part").filter(F.col("p_partkey") < 200)
+    # A rule on the key leaves some materials without master data; all other parts are there.
+    p = _table(spark, sf_dir, "part").filter(F.col("p_partkey") % 67 != 5)
     return p.select(
         _mat(F.col("p_partkey")).alias("material"),
         F.col("p_name").alias("material_description"),
-        F.concat(F.lit("L"), (F.col("p_partkey") % 12).cast("string")).alias("production_line"),
+        F.concat(F.lit("L"), _line(F.col("p_partkey")).cast("string")).alias("production_line"),
         F.when(F.col("p_size") % 3 == 0, 5.0).otherwise(30.0).cast("double").alias("constraint_factor"),
         (F.col("p_size") % 7).cast("double").alias("earliest_start_days"),
         (F.lit(1.0) + (F.col("p_size") % 8).cast("double") / 2).alias("total_production_time"),
@@ -33,8 +39,9 @@ def fg_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capacity_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _table(spark, sf_dir, "part").filter(F.col("p_partkey") < 11)
-    k = F.col("p_partkey")
+    # One row a line; a rule on the line's number leaves some lines without capacity.
+    k = F.col("k")
+    p = _table(spark, sf_dir, "part").select(_line(F.col("p_partkey")).alias("k")).distinct().filter(k % 12 != 11)
     return p.select(
         F.concat(F.lit("L"), k.cast("string")).alias("production_line"),
         (10 + k % 5).cast("double").alias("cap_mo"),
@@ -65,7 +72,7 @@ def history_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         pn.alias("production_number"),
         F.col("ok").alias("sales_doc"),
         F.col("ln").alias("item"),
-        _mat(pk % 203).alias("material"),
+        _mat(pk).alias("material"),
         F.col("qty").alias("order_quantity"),
         od.alias("created_date"),
         F.date_add(od, (pn % 6).cast("int")).alias("planned_start_date"),
@@ -97,7 +104,7 @@ def production_orders_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("o_orderdate").cast("date")
     return o.select(
         k.alias("order_id"),
-        _mat(c % 40).alias("material_id"),
+        _mat(c).alias("material_id"),
         (1000 + 1000 * (c % 3)).cast("string").alias("plant"),
         F.when(c % 2 == 0, "ZP01").otherwise("ZP02").alias("order_type"),
         d.alias("planned_start"),
@@ -167,19 +174,19 @@ class Views:
 
 # DuckDB text of the same views (FIXTURES.md), inlined as CTEs by the oracles.
 VIEW_SQL = {
-    "fg": """select 'MAT' || lpad(cast(p_partkey as string), 4, '0') as material, p_name as material_description,
-  'L' || cast(p_partkey % 12 as string) as production_line,
+    "fg": """select 'MAT' || lpad(cast(p_partkey as string), 9, '0') as material, p_name as material_description,
+  'L' || cast(p_partkey // 20 as string) as production_line,
   cast(case when p_size % 3 = 0 then 5 else 30 end as double) as constraint_factor,
   cast(p_size % 7 as double) as earliest_start_days,
   cast(1 as double) + cast(p_size % 8 as double) / 2 as total_production_time
-from part where p_partkey < 200""",
-    "capacity": """select 'L' || cast(p_partkey as string) as production_line,
-  cast(10 + p_partkey % 5 as double) as cap_mo, cast(11 + p_partkey % 4 as double) as cap_tu,
-  cast(12 + p_partkey % 3 as double) as cap_we, cast(11 + p_partkey % 2 as double) as cap_th,
-  cast(8 + p_partkey % 5 as double) as cap_fr
-from part where p_partkey < 11""",
+from part where p_partkey % 67 <> 5""",
+    "capacity": """select 'L' || cast(k as string) as production_line,
+  cast(10 + k % 5 as double) as cap_mo, cast(11 + k % 4 as double) as cap_tu,
+  cast(12 + k % 3 as double) as cap_we, cast(11 + k % 2 as double) as cap_th,
+  cast(8 + k % 5 as double) as cap_fr
+from (select distinct p_partkey // 20 as k from part) lines where k % 12 <> 11""",
     "history": """select pn as production_number, ok as sales_doc, ln as item,
-  'MAT' || lpad(cast(pk % 203 as string), 4, '0') as material, qty as order_quantity,
+  'MAT' || lpad(cast(pk as string), 9, '0') as material, qty as order_quantity,
   od as created_date, od + cast(pn % 6 as int) as planned_start_date,
   od + cast(pn % 6 + 1 + pk % 5 as int) as planned_finish_date,
   od + cast(pn % 5 as int) as actual_start_date,
@@ -196,7 +203,7 @@ from (select l_orderkey * 10 + l_linenumber as pn, l_orderkey as ok, l_linenumbe
   cast(case when l_returnflag = 'R' then -1 else 1 end as double)
     * case when l_discount >= 0.07 then l_quantity * l_discount else cast(0 as double) end as shortage_qty
 from lineitem""",
-    "production_orders": """select o_orderkey as order_id, 'MAT' || lpad(cast(o_custkey % 40 as string), 4, '0') as material_id,
+    "production_orders": """select o_orderkey as order_id, 'MAT' || lpad(cast(o_custkey as string), 9, '0') as material_id,
   cast(1000 + 1000 * (o_custkey % 3) as string) as plant,
   case when o_custkey % 2 = 0 then 'ZP01' else 'ZP02' end as order_type,
   cast(o_orderdate as date) as planned_start,

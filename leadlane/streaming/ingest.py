@@ -1,8 +1,9 @@
 """Incremental extract ingest.
 
 X1: landed extract files are a Structured Streaming file source; the stream
-checkpoint is the high-water mark, ``trigger(availableNow=True)`` processes
-whatever has landed and stops, and a 7-day watermark bounds late rows.
+checkpoint is the high-water mark and ``trigger(availableNow=True)`` processes
+whatever has landed and stops. The look-back of a sync (orders of the last days
+are sent again) needs no bound here: X2 keeps the newest version, however late.
 X2: each micro-batch is upserted into the stored table (keep the newest
 version of every order) instead of overwriting it with the increment; the
 table is hash-bucketed on the key so a batch rewrites only the buckets it
@@ -49,18 +50,20 @@ def upsert_batch_writer(table_path: str, key: str = "production_number", version
     The merge is staged first (a table may not be overwritten while it is
     read); a replayed batch re-derives the same winners, so it is idempotent.
     """
-    from ..session import ensure_checkpoint_dir
+    from ..session import ensure_checkpoint_dir, path_exists, remember_scratch
 
     def _write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         inc = batch.withColumn("_bucket", bucket_of(key, buckets))
         touched = inc.select("_bucket").distinct()
-        try:
+        # Only a missing table means a first batch; any failure to read a stored one must stop the merge.
+        stored = None
+        if path_exists(spark, table_path):
+            # at most ``buckets`` numbers
             stored = spark.read.parquet(table_path).join(F.broadcast(touched), "_bucket", "left_semi")
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            stored = None
         merged = upsert(stored, inc, key, version)
         stage = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staging/{uuid.uuid4().hex}"
+        remember_scratch(stage)
         merged.write.mode("overwrite").parquet(stage)
         (spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("_bucket").parquet(table_path))
@@ -73,12 +76,10 @@ def read_table(spark: SparkSession, table_path: str) -> DataFrame:
 
 def run_incremental(spark: SparkSession, landing: str, schema: StructType, table_path: str, checkpoint: str,
                     key: str = "production_number", version: str = "ingest_seq",
-                    event_time: str | None = "created_date", lateness: str = "7 days") -> None:
-    """X1 + X2: process every landed file not yet seen (availableNow) and upsert."""
-    stream = spark.readStream.schema(schema).parquet(landing)
-    if event_time:
-        stream = stream.withColumn("_event_ts", F.col(event_time).cast("timestamp")) \
-            .withWatermark("_event_ts", lateness).drop("_event_ts")
+                    fmt: str = "parquet", options: dict[str, str] | None = None) -> None:
+    """X1 + X2: process every landed file not yet seen (availableNow) and upsert.
+    Extracts land as parquet or, with ``fmt="csv"`` and its options, as text."""
+    stream = spark.readStream.schema(schema).format(fmt).options(**(options or {})).load(landing)
     q = (stream.writeStream.foreachBatch(upsert_batch_writer(table_path, key, version))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
