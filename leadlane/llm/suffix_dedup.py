@@ -6,8 +6,9 @@ two documents. Only suffixes at minimisers are retained: of every window of ``le
 and no shared passage can be missed. Suffixes are sorted by their first words; those whose first words occur in one
 document only (nearly all) leave at once. For the others, the matches of ``gram`` words are extended left and right:
 each way to extend a suffix to a window of its own is one 64-bit hash, equal extensions are neighbours when sorted, and
-neighbouring windows of a document join into maximal passages. A group of more than ``limit`` suffixes is not
-brought into one task; its extensions are counted by Spark's combining aggregates instead, with the same result.
+neighbouring windows of a document join into maximal passages. Suffixes with equal extensions are compared once. A
+group of more than ``limit`` different ones is not brought into one task; its extensions are counted by Spark's
+combining aggregates instead, with the same result.
 
 The smallest doc_id that holds a window keeps it; every other holder's copy is removable. Defined results: null, empty
 and short texts hold no passage; a null doc_id is one document, smaller than all others; rows that repeat a doc_id are
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import table, tag_of, words
 
-LENGTH, GRAM, LIMIT, BLOCK = 50, 16, 512, 4096
+LENGTH, GRAM, LIMIT, BLOCK = 50, 16, 256, 4096
 NO_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -98,82 +99,81 @@ def passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int
 
     # Python runs on texts that can hold a window at all.
     sparse = cut_lineage(d.where(F.char_length("text") >= 2 * length - 1).mapInArrow(retain, "g long, doc long, tag long, pos int"))
-    shared = cut_lineage(sparse.groupBy("g").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("g", "n"))
-    hot = F.col("n") > limit
-    cand = (sparse.join(shared, "g").groupBy("doc", "tag")
-            .agg(F.collect_set(F.when(~hot, F.col("pos"))).alias("cold"), F.collect_set(F.when(hot, F.col("pos"))).alias("hot")))
+    shared = cut_lineage(sparse.groupBy("g").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("g"))
+    cand = sparse.join(shared, "g").groupBy("doc", "tag").agg(F.collect_set("pos").alias("pos"))
 
     def extend(batches):
         for b in batches:
-            out = [[], [], [], [], [], []]
-            for i, g, t, cold, hot in zip(*(b.column(k).to_pylist() for k in range(5))):
+            out = [[], [], [], [], []]
+            for i, g, t, want in zip(*(b.column(k).to_pylist() for k in range(4))):
                 pos, first_words, lo, hi, windows = suffixes(t, length, gram)
-                for want, is_hot in ((cold, False), (hot, True)):
-                    for k in np.flatnonzero(np.isin(pos, want)) if want else ():
-                        for col, x in zip(out, (int(first_words[k].view(np.int64)), i, g, int(lo[k]), windows[lo[k]:hi[k] + 1].view(np.int64), is_hot)):
-                            col.append(x)
+                for k in np.flatnonzero(np.isin(pos, want)):
+                    for col, x in zip(out, (int(first_words[k].view(np.int64)), i, g, int(lo[k]), windows[lo[k]:hi[k] + 1].view(np.int64))):
+                        col.append(x)
             if out[0]:
                 offsets = np.r_[0, np.cumsum([len(x) for x in out[4]])].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.int32()),
-                                                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out[4]))), pa.array(out[5], pa.bool_())],
-                                                 names=["g", "doc", "tag", "lo", "ext", "hot"])
-
-    j = d.where(F.char_length("text") >= 2 * length - 1).join(cand, ["doc", "tag"]).select("doc", "tag", "text", "cold", "hot")
-    rows = cut_lineage(j.mapInArrow(extend, "g long, doc long, tag long, lo int, ext array<long>, hot boolean"))
-    cold = rows.where("not hot").repartition("g").sortWithinPartitions("g", "doc", "lo").drop("hot").mapInArrow(
-        _neighbours(length), "doc long, tag long, start int, end int, first long")
-    each = rows.where("hot").select("g", "doc", "tag", "lo", F.posexplode("ext").alias("k", "x"))
-    least = cut_lineage(each.groupBy("g", "x").agg(F.min("doc").alias("first"), F.max("doc").alias("b")).where("first < b").drop("b"))
-    many = each.join(least, ["g", "x"]).select("doc", "tag", (F.col("lo") + F.col("k")).alias("start"), (F.col("lo") + F.col("k") + length).alias("end"), "first")
-    return cold.unionAll(many)
-
-
-def _neighbours(length: int):
-    """Sorts the extensions of whole groups and compares neighbours; gives joined spans."""
-
-    def spans(g, doc, tag, lo, ext) -> pa.RecordBatch:
+                                                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out[4])))],
+                                                 names=["g", "doc", "tag", "lo", "ext"])
+
+    j = d.where(F.char_length("text") >= 2 * length - 1).join(cand, ["doc", "tag"]).select("doc", "tag", "text", "pos")
+    rows = cut_lineage(j.mapInArrow(extend, "g long, doc long, tag long, lo int, ext array<long>").withColumns(
+        {"e1": F.xxhash64("ext"), "e2": F.xxhash64(F.lit("second half"), "ext")}))
+    # Suffixes with the same extensions (those of copies, and all within a common passage) are compared once.
+    kinds = cut_lineage(rows.groupBy("g", "e1", "e2").agg(F.first("ext").alias("ext"), F.min("doc").alias("least"), F.max("doc").alias("most")))
+    sizes = cut_lineage(kinds.groupBy("g").agg(F.count("*").alias("n"), F.min("least").alias("a"), F.max("most").alias("b")).where("a < b").select("g", "n"))
+    kinds = kinds.join(sizes, "g")
+    cold = kinds.where(F.col("n") <= limit).select("g", "e1", "e2", "least", "most", "ext").repartition("g").sortWithinPartitions("g", "e1", "e2").mapInArrow(
+        _neighbours, "g long, e1 long, e2 long, a int, z int, first long")
+    each = kinds.where(F.col("n") > limit).select("g", "e1", "e2", "least", "most", F.posexplode("ext").alias("a", "x"))
+    held = cut_lineage(each.groupBy("g", "x").agg(F.min("least").alias("first"), F.max("most").alias("b")).where("first < b").drop("b"))
+    many = each.join(held, ["g", "x"]).select("g", "e1", "e2", "a", (F.col("a") + 1).alias("z"), "first")
+    found = cold.unionAll(many).groupBy("g", "e1", "e2").agg(F.collect_list(F.struct("a", "z", "first")).alias("runs"))
+    at = rows.select("g", "e1", "e2", "doc", "tag", "lo").join(cut_lineage(found), ["g", "e1", "e2"])
+    return at.select("doc", "tag", "lo", F.explode("runs").alias("r")).select(
+        "doc", "tag", (F.col("lo") + F.col("r.a")).alias("start"), (F.col("lo") + F.col("r.z") + (length - 1)).alias("end"), F.col("r.first").alias("first"))
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole groups in order: sorts their extensions, compares neighbours, and gives the runs [a, z) of each row's
+    extensions that two documents share, with the smallest holder."""
+
+    def runs(g, e1, e2, least, most, ext) -> pa.RecordBatch:
         size = np.diff(ext.offsets.to_numpy())
         row = np.repeat(np.arange(len(g)), size)
-        start = lo[row] + np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
+        place = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
         key = ext.flatten().to_numpy().view(np.uint64) ^ _mix(g.view(np.uint64))[row]
         order = np.argsort(key, kind="stable")
         new = np.r_[True, key[order][1:] != key[order][:-1]]
         at = np.flatnonzero(new)
-        d = doc[row][order]
-        least, most = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
-        first, shared = np.empty_like(d), np.empty(len(d), bool)
-        first[order], shared[order] = (x[np.cumsum(new) - 1] for x in (least, least < most))
+        low, high = np.minimum.reduceat(least[row][order], at), np.maximum.reduceat(most[row][order], at)
+        first, shared = np.empty(len(row), np.int64), np.empty(len(row), bool)
+        first[order], shared[order] = (x[np.cumsum(new) - 1] for x in (low, low < high))
         cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (shared[1:] != shared[:-1]) | (first[1:] != first[:-1])])
         end = np.r_[cut[1:], len(row)] - 1
-        ok = shared[cut]
-        cut, end = cut[ok], end[ok]
-        return pa.RecordBatch.from_arrays([pa.array(doc[row[cut]]), pa.array(tag[row[cut]]), pa.array(start[cut].astype(np.int32)),
-                                           pa.array((start[end] + length).astype(np.int32)), pa.array(first[cut])], names=["doc", "tag", "start", "end", "first"])
+        cut, end = cut[shared[cut]], end[shared[cut]]
+        return pa.RecordBatch.from_arrays([*(pa.array(x[row[cut]]) for x in (g, e1, e2)), pa.array(place[cut].astype(np.int32)),
+                                           pa.array((place[end] + 1).astype(np.int32)), pa.array(first[cut])], names=["g", "e1", "e2", "a", "z", "first"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
-            g = t.column(0).to_numpy()
-            ends = np.flatnonzero(g[1:] != g[:-1]) + 1
-            held = t
-            if len(g) >= BLOCK and len(ends):
-                yield from parts(t.slice(0, ends[-1]), np.r_[0, ends])
-                held = t.slice(ends[-1])
-        if held is not None and held.num_rows:
-            g = held.column(0).to_numpy()
-            yield from parts(held, np.r_[0, np.flatnonzero(g[1:] != g[:-1]) + 1, len(g)])
-
-    def parts(t: pa.Table, ends) -> Iterator[pa.RecordBatch]:
-        """Blocks of whole groups."""
+    def blocks(t: pa.Table, ends) -> Iterator[pa.RecordBatch]:
         at = 0
         while at < ends[-1]:
             to = ends[max(np.searchsorted(ends, at + BLOCK, "right") - 1, np.searchsorted(ends, at, "right"))]
             x = t.slice(at, to - at).combine_chunks()
-            yield spans(*(x.column(k).to_numpy() for k in range(4)), pa.concat_arrays([pa.concat_arrays(x.column(4).chunks)]))
+            yield runs(*(x.column(k).to_numpy() for k in range(5)), pa.concat_arrays([pa.concat_arrays(x.column(5).chunks)]))
             at = to
 
-    return run
+    held = None
+    for b in batches:
+        held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
+        g = held.column(0).to_numpy()
+        ends = np.flatnonzero(g[1:] != g[:-1]) + 1
+        if len(g) >= BLOCK and len(ends):
+            yield from blocks(held.slice(0, ends[-1]), np.r_[0, ends])
+            held = held.slice(ends[-1])
+    if held is not None and held.num_rows:
+        g = held.column(0).to_numpy()
+        yield from blocks(held, np.r_[0, np.flatnonzero(g[1:] != g[:-1]) + 1, len(g)])
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
