@@ -144,10 +144,17 @@ def q_error_bands(spark, sf):
     return R.error_bands(errors(Views(spark, sf)))
 
 
+def half_even_sql(expr: str, digits: int) -> str:
+    """Half-even rounding of a value that is first rounded to 9 decimals, in exact decimals."""
+    t = f"cast(round({expr}, 9) as decimal(38, 9)) * {10 ** digits}"
+    up = f"case when {t} - floor({t}) > 0.5 or ({t} - floor({t}) = 0.5 and floor({t}) % 2 = 1) then 1 else 0 end"
+    return f"cast((floor({t}) + {up}) as double) / {10 ** digits}"
+
+
 def _acc_sql(keys: str) -> str:
     means = {"total_qty": "sum(order_quantity)", "mean_actual": "avg(actual)", "mean_predicted": "avg(predicted)",
              "mae": "avg(abs_error)", "rmse": "sqrt(avg(error * error))"}
-    cols = ", ".join(f"round_even(round({e}, 9), 2) as {n}" for n, e in means.items())
+    cols = ", ".join(f"{half_even_sql(e, 2)} as {n}" for n, e in means.items())
     return f"""
 select {keys}, count(production_number) as orders, {cols}
 from er where {' and '.join(k.strip() + ' is not null' for k in keys.split(','))} group by {keys}"""
