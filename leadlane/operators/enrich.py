@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import WEEKDAY_CAPACITY_COLUMNS, row_mean
 from ..functions.dates import eps_div, floor_days, fractional_days, safe_div, weekday_mon0
+from ..session import cut_lineage
 from .scale import exact_quantiles
 
 FG_JOIN_COLUMNS = ["material", "production_line", "constraint_factor", "earliest_start_days",
@@ -190,10 +191,13 @@ def wait_filter(df: DataFrame, max_wait_days: float | None = 3.0) -> DataFrame:
     return df.filter(wait.isNull() | (wait < F.lit(float(max_wait_days))))
 
 
-def training_rows(enriched: DataFrame, max_wait_days: float | None = 3.0, approx: bool = False) -> DataFrame:
-    """T2 -> F3 -> T3 -> F4, the row set the regressor trains on."""
+def training_rows(enriched: DataFrame, max_wait_days: float | None = 3.0, approx: bool = False,
+                  materialize: bool = True) -> DataFrame:
+    """T2 -> F3 -> T3 -> F4, the row set the regressor trains on. The joined rows
+    are written once (``materialize``): the bounds and the result both read them."""
     df = lead_time_target(enriched)
     df = training_range_filter(df)
+    df = cut_lineage(df) if materialize else df
     df = winsorise(df, approx=approx)
     return wait_filter(df, max_wait_days)
 

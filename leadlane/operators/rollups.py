@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import eps_div, floor_days, round_decimal
-from .scale import group_table, null_safe_join, running_totals
+from .scale import exact_quantiles, group_medians, group_table, null_safe_join, running_totals
 
 
 # --- E2 -----------------------------------------------------------------------------
@@ -31,11 +31,8 @@ def rmse(col: str = "error") -> Column:
 
 # --- A2 / A3 / J7 / R9 ----------------------------------------------------------------
 
-def _center(col: str, how: str, approx: bool = False) -> Column:
-    if how != "median":
-        return F.avg(col)
-    # exact median keeps a group's distinct values in one task; the sketch is bounded
-    return F.percentile_approx(col, 0.5, 10000).cast("double") if approx else F.percentile(col, F.lit(0.5))
+def _center(col: str, how: str) -> Column:
+    return F.avg(col) if how != "median" else F.percentile_approx(col, 0.5, 10000).cast("double")
 
 
 def material_tpt(scored: DataFrame, fg: DataFrame | None = None, agg: str = "median",
@@ -44,18 +41,22 @@ def material_tpt(scored: DataFrame, fg: DataFrame | None = None, agg: str = "med
     order count, std (n = 1 -> 0), min, max, first-seen description/line,
     master TPT and its change, representative actual TPT. Rounded to 2 (half even)."""
     first = F.col("production_number")
+    # An exact median by Spark's percentile would gather a hot material's values in one task.
+    exact = agg == "median" and not approx
     aggs = [
-        _center(predicted, agg, approx).alias("_pred"),
         F.count(predicted).alias("order_count"),
         F.stddev_samp(predicted).alias("_std"),
         F.min(predicted).alias("tpt_min"),
         F.max(predicted).alias("tpt_max"),
-        _center(actual, agg, approx).alias("_act"),
     ]
+    if not exact:
+        aggs += [_center(predicted, agg).alias("_pred"), _center(actual, agg).alias("_act")]
     for c in ("material_description", "production_line"):
         if c in scored.columns:
             aggs.append(F.min_by(c, first).alias(c))
     m = scored.filter(F.col("material").isNotNull()).groupBy("material").agg(*aggs)
+    if exact:
+        m = m.join(group_medians(scored, "material", {"_pred": predicted, "_act": actual}), "material", "left")
     m = m.withColumns({
         "predicted_tpt": F.bround("_pred", 2),
         "tpt_std": F.bround(F.coalesce(F.col("_std"), F.lit(0.0)), 2),
@@ -75,7 +76,7 @@ def material_tpt(scored: DataFrame, fg: DataFrame | None = None, agg: str = "med
 
 def material_insight(mat: DataFrame) -> DataFrame:
     """R1-R6, R8 on a ``material_tpt`` table (unrounded CV, one variant)."""
-    gm = mat.agg(F.percentile("predicted_tpt", F.lit(0.5)).alias("_gm"))
+    gm = exact_quantiles(mat, "predicted_tpt", [0.5], ["_gm"])
     pred, std, cnt = F.col("predicted_tpt"), F.col("tpt_std"), F.col("order_count")
     diff_pct = F.when(F.col("_gm") > 0, (pred - F.col("_gm")) / F.col("_gm") * 100).otherwise(0.0)
     cv = F.when(pred > 0.01, std / pred).otherwise(0.0)
@@ -293,12 +294,17 @@ PERCENTILES = [10, 25, 50, 75, 90, 95, 99]
 
 def percentile_profile(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
     """Mean, median, std, min, max and P10..P99 (linear interpolation)."""
-    fr = [p / 100 for p in PERCENTILES]
-    ps = F.percentile_approx(col, fr, 100000) if approx else F.percentile(col, F.array(*[F.lit(f) for f in fr]))
-    out = df.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.percentile(col, F.lit(0.5)).alias("median"),
-                 F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"), ps.alias("_p"))
-    return out.select("n", "mean", "median", "std", "min", "max",
-                      *[F.col("_p")[i].cast("double").alias(f"p{p}") for i, p in enumerate(PERCENTILES)])
+    fr, names = [p / 100 for p in PERCENTILES], [f"p{p}" for p in PERCENTILES]
+    one = df.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
+                 F.min(col).alias("min"), F.max(col).alias("max"))
+    if approx:
+        ps = df.agg(F.percentile_approx(col, fr, 100000).alias("_p")).select(
+            *[F.col("_p")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    else:
+        ps = exact_quantiles(df.select(F.col(col).cast("double").alias(col)), col, fr, names)
+    # one row each; the quantile table is empty when there is no value
+    out = one.join(F.broadcast(ps), F.lit(True), "left")
+    return out.select("n", "mean", F.col("p50").alias("median"), "std", "min", "max", *names)
 
 
 def percentile_rank(reference: DataFrame, probes: DataFrame, col: str, probe_key: str) -> DataFrame:

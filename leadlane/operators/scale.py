@@ -184,6 +184,28 @@ def exact_quantiles(source: DataFrame, col: str, probs: list[float], names: list
                          for i, nm in enumerate(names)])
 
 
+def group_medians(source: DataFrame, key: str, cols: dict[str, str]) -> DataFrame:
+    """Table ``(key, name...)`` of exact medians per group, for ``cols`` name -> column.
+
+    The per-group form of ``exact_quantiles``: values are counted per (key,
+    value), ranks come from range-partitioned running totals, and the two
+    middle values are picked by an aggregate. A hot key's values spread over
+    the ranges instead of meeting in one task.
+    """
+    out = None
+    for name, col in cols.items():
+        counts = cut_lineage(source.filter(F.col(key).isNotNull() & F.col(col).isNotNull())
+                             .groupBy(key, F.col(col).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c")))
+        rt = running_totals(counts, [key, "_x"], ["_x"], {"_below": F.col("_c")}, keys=[key], inclusive=False)
+        n = counts.groupBy(key).agg(F.sum("_c").alias("_n"))
+        t = counts.join(rt, [key, "_x"]).join(n, key)
+        holds = lambda k: F.max(F.when((F.col("_below") <= k) & (k < F.col("_below") + F.col("_c")), F.col("_x")))
+        lo, hi = holds(F.floor((F.col("_n") - 1) / 2)), holds(F.floor(F.col("_n") / 2))
+        m = t.groupBy(key).agg(((lo + hi) / 2).alias(name))
+        out = m if out is None else out.join(m, key, "full")
+    return out
+
+
 def category_codes(df: DataFrame, col: str, out: str) -> DataFrame:
     """Lexicographic category codes (0-based, null -> -1) like pandas
     ``Categorical.codes``: distinct values are ranked with range-partitioned

@@ -81,6 +81,7 @@ def enriched(v: Views, completed_only: bool = True) -> DataFrame:
 
 def train_rows(v: Views, materialize: bool = True) -> DataFrame:
     """Training rows (T2 -> F3 -> T3 -> F4). Each feature query reads them several
-    times, so by default they are written once under the shared checkpoint folder."""
+    times; the joins behind them are written once under the shared checkpoint folder, and
+    by default the rows themselves too."""
     rows = E.training_rows(enriched(v))
     return cut_lineage(rows) if materialize else rows
