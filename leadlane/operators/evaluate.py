@@ -135,6 +135,17 @@ def model_comparison(old: DataFrame, new: DataFrame, key: str = "production_numb
                     (F.coalesce("new_orders", F.lit(0)) - F.coalesce("old_orders", F.lit(0))).alias("delta"))
 
 
+def comparison_totals(old: DataFrame, new: DataFrame, prob: str = "delay_probability") -> DataFrame:
+    """A27/E8 totals, one row: predicted delays (p > .5) and mean probability in
+    percent of either model, and the new one's change."""
+    def one(df, tag):
+        return df.agg(F.count_if(F.col(prob) > 0.5).alias(f"{tag}_delays"), (F.avg(prob) * 100).alias(f"{tag}_mean_pct"))
+    # one row each
+    j = one(old, "old").crossJoin(F.broadcast(one(new, "new")))
+    return j.select("*", (F.col("new_delays") - F.col("old_delays")).alias("delta_delays"),
+                    (F.col("new_mean_pct") - F.col("old_mean_pct")).alias("delta_mean_pct"))
+
+
 def probability_movers(old: DataFrame, new: DataFrame, key: str = "production_number",
                        prob: str = "delay_probability", min_change_pts: float = 10.0, k: int = 10) -> DataFrame:
     """J6 + O6: inner join on the order, change in percentage points, |change| > 10,

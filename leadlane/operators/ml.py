@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .evaluate import chronological_split, cv_fold_assignment, regression_metrics
-from .scale import running_totals
+from .scale import hash_order, running_totals
 
 LABEL = "actual_production_days"
 
@@ -197,7 +197,7 @@ def random_search(df: DataFrame, features: list[str], n_trials: int = 5, n_split
 def stratified_split(df: DataFrame, label: str, key: str, train_share: float = 0.8, seed: int = 42) -> DataFrame:
     """Per label, rows in hash order; the first share of each class is train.
     Positions come from range-partitioned running counts (a class may be huge)."""
-    h = cut_lineage(df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))))
+    h = cut_lineage(df.withColumn("_h", hash_order(key, seed)))
     rt = running_totals(h.select(key, label, "_h"), [key], ["_h", key], {"_pos": F.lit(1).cast("long")},
                         keys=[label], inclusive=False)
     n = h.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
@@ -221,7 +221,7 @@ def oversample_minority(train: DataFrame, label: str, key: str, ratio: float = 0
     mm = counts.agg(F.min_by(label, "_n").alias("_min_label"), F.min("_n").alias("_nmin"), F.max("_n").alias("_nmaj"))
     h = train.crossJoin(F.broadcast(mm))
     minority = h.filter(F.col(label) == F.col("_min_label"))
-    rt = running_totals(minority.select(key, F.xxhash64(F.col(key), F.lit(seed)).alias("_h")), [key], ["_h", key],
+    rt = running_totals(minority.select(key, hash_order(key, seed).alias("_h")), [key], ["_h", key],
                         {"_pos": F.lit(1).cast("long")}, inclusive=False)
     target = F.greatest(F.floor(F.col("_nmaj") * ratio), F.col("_nmin"))
     copies = F.floor(target / F.col("_nmin")) + F.when(F.col("_pos") < target % F.col("_nmin"), 1).otherwise(0)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import eps_div, floor_days, round_decimal
-from .scale import exact_quantiles, group_medians, group_table, null_safe_join, running_totals
+from .scale import exact_quantiles, group_medians, group_table, hash_order, null_safe_join, running_totals
 
 
 # --- E2 -----------------------------------------------------------------------------
@@ -368,6 +368,15 @@ def label_audit(targets: DataFrame, col: str = "actual_production_days") -> Data
         (F.stddev_samp(y) / F.avg(y)).alias("cv"))
 
 
+def label_coverage(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Per column, rows with a value and their share in percent of all rows (0 without rows)."""
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in cols])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("present")) for c in cols])
+    return one.select("_n", F.explode(pairs).alias("r")).select(
+        "r.column", "r.present", F.col("_n").alias("rows"),
+        F.coalesce(F.try_divide(F.col("r.present") * F.lit(100.0), F.col("_n")), F.lit(0.0)).alias("pct"))
+
+
 def material_overview(mat: DataFrame) -> DataFrame:
     """Materials, mean representative TPT, total orders, materials whose
     master TPT changed by more than 0.5 day, mean std."""
@@ -390,7 +399,7 @@ def material_window_delay(orders: DataFrame, as_of: str, days: int = 90) -> Data
 
 def sample_rows(df: DataFrame, key: str, k: int = 10, seed: int = 42) -> DataFrame:
     """Reproducible sample of k rows (hash order, no driver-side randomness)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(k)
+    return df.orderBy(hash_order(key, seed), F.col(key)).limit(k)
 
 
 # --- A4 / A5 / A6 ------------------------------------------------------------------------

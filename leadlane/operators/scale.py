@@ -61,6 +61,11 @@ def attach_group_agg(df: DataFrame, keys: list[str], aggs: dict[str, Column],
     return df.join(g, keys, "left")
 
 
+def hash_order(key: str, seed: int) -> Column:
+    """A row's place in a seeded pseudo-random order that any engine can repeat: md5 of "key:seed"."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+
+
 def order_value(col: str, dtype: str) -> tuple[Column, int]:
     """Integer order value of a date/timestamp column and the length of one day in it."""
     if dtype == "date":

@@ -9,6 +9,7 @@ from ..operators import features as FT
 from ..operators import ml as ML
 from ..operators import rollups as R
 from ..sources.fixtures import Views
+from . import sqlparts as S
 from .registry import enriched, r6, register
 
 # Trials of the search query; the library default is the caller's choice too.
@@ -67,12 +68,26 @@ def _labels(spark, sf):
     return enriched(Views(spark, sf)).select("production_number", "is_delayed")
 
 
-@register("stratified_split")
+_POS = """select production_number, is_delayed,
+  row_number() over (partition by is_delayed order by md5(cast(production_number as varchar) || ':42'), production_number) - 1 as pos,
+  count(*) over (partition by is_delayed) as n from enriched"""
+
+
+@register("stratified_split", S.over_enriched(f"""
+select production_number, is_delayed, case when pos < floor(n * 0.8) then 'train' else 'test' end as split from ({_POS}) p"""))
 def q_stratified_split(spark, sf):
     return ML.stratified_split(_labels(spark, sf), "is_delayed", "production_number")
 
 
-@register("oversample")
+@register("oversample", S.over_enriched(f"""
+select production_number, is_delayed, 'train' as split, cast(unnest(range(1, 1 + cast(copies as bigint))) as int) as _copy
+from (select t.*, case when is_delayed = minority then floor(target / smallest)
+        + case when row_number() over (partition by is_delayed order by md5(cast(production_number as varchar) || ':42'), production_number) - 1 < target % smallest
+            then 1 else 0 end else 1 end as copies
+      from (select *, greatest(floor(largest * 0.5), smallest) as target
+            from (select * from ({_POS}) p where pos < floor(n * 0.8)) s,
+              (select arg_min(is_delayed, c) as minority, min(c) as smallest, max(c) as largest
+               from (select is_delayed, count(*) as c from ({_POS}) p where pos < floor(n * 0.8) group by 1) g) k) t) o"""))
 def q_oversample(spark, sf):
     split = ML.stratified_split(_labels(spark, sf), "is_delayed", "production_number")
     return ML.oversample_minority(split.filter(F.col("split") == "train"), "is_delayed", "production_number")

@@ -388,7 +388,9 @@ def q_material_window_delay(spark, sf):
     return r6(R.material_window_delay(Views(spark, sf).history, AS_OF))
 
 
-@register("sample_orders")
+@register("sample_orders", with_views("""
+select production_number, material, order_quantity, planned_start_date, planned_finish_date, actual, predicted, delay_probability
+from scored order by md5(cast(production_number as varchar) || ':42'), production_number limit 10""", ["scored"]))
 def q_sample_orders(spark, sf):
     return R.sample_rows(Views(spark, sf).scored, "production_number", 10, 42)
 
