@@ -8,6 +8,7 @@ from ..operators import rollups as R
 from ..operators import scoring as SCO
 from ..sources.fixtures import Views, with_views
 from .q_rollups import MT, SE, over_scored, scored_enriched
+from . import sqlparts as S
 from .registry import r6, register
 
 STD_SQL = """
@@ -85,18 +86,6 @@ def q_prefix_lookup(spark, sf):
     return E.prefix_lookup(Views(spark, sf).history, "12").select("production_number", "sales_doc")
 
 
-@register("prediction_mode_features")
-def q_prediction_mode(spark, sf):
-    """Completed orders are history, open orders are scored as new."""
-    v = Views(spark, sf)
-    hist = E.enrich(v.history, v.fg, v.capacity, v.shortage, completed_only=True)
-    new = E.basic_features(E.join_shortage(SCO.prepare_new_orders(E.pending_orders(v.history), v.fg, v.capacity),
-                                           v.shortage))
-    out = SCO.score_features(hist, new)
-    return r6(out.select("production_number", "material_target_encoded", "line_target_encoded",
-                         "material_avg_production_time_90d", "forward_7d_line_orders", "concurrent_orders_on_start"))
-
-
 _V4_PARTS = ["time_features", "concurrent_load", "forward_load_line", "forward_load_material", "hist90_material",
              "hist90_line", "hist90_material_line", "count30_material", "target_encoding_material",
              "target_encoding_line", "ratio_features", "interaction_features"]
@@ -127,3 +116,20 @@ def q_features_v4_columns(spark, sf):
     from ..operators import features as FT
     from .registry import enriched
     return r6(FT.features_v4(enriched(Views(spark, sf))).select("production_number", *_v4_columns()))
+
+
+def _prediction_oracle() -> str:
+    """The same per-stage oracles over all orders with their known targets, open orders taken out at the end."""
+    everyone = f"select *, {S.TARGET_EXPR} as actual_production_days from enriched"
+    sql = _v4_oracle().replace(S.TRAIN_ROWS, everyone).replace(S.enriched_sql(True), S.enriched_sql(False))
+    return with_views(f"select p.* from ({sql}) p join history h on p.production_number = h.production_number where h.actual_finish_date is null", ["history"])
+
+
+@register("prediction_mode_features", _prediction_oracle())
+def q_prediction_mode(spark, sf):
+    """Completed orders are history, open orders (not the latest ones) are scored as new."""
+    v = Views(spark, sf)
+    hist = E.enrich(v.history, v.fg, v.capacity, v.shortage, completed_only=True)
+    new = E.basic_features(E.join_shortage(SCO.prepare_new_orders(E.pending_orders(v.history), v.fg, v.capacity),
+                                           v.shortage))
+    return r6(SCO.score_features(hist, new).select("production_number", *_v4_columns()))

@@ -1,16 +1,19 @@
 """Model queries (rows-only checks: boosted-tree values have no SQL oracle)."""
 
-import json
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import classic as CL
+from ..operators import enrich as E
+from ..operators import evaluate as EV
 from ..operators import features as FT
 from ..operators import ml as ML
 from ..operators import rollups as R
+from ..session import ensure_checkpoint_dir, remember_scratch
 from ..sources.fixtures import Views
 from . import sqlparts as S
-from .registry import enriched, r6, register
+from .registry import enriched, r6, register, train_rows
 
 # Trials of the search query; the library default is the caller's choice too.
 TRIALS = 2
@@ -58,6 +61,33 @@ def q_random_search(spark, sf):
     return trials
 
 
+#: F7 of the evaluation queries: targets up to ten days.
+EVALUATE_UP_TO = 10.0
+
+
+@register("evaluation_rows", S.over_enriched(f"""
+select production_number, round(y, 6) as actual_production_days
+from (select production_number, actual_production_days as y, row_number() over (order by created_date, production_number) - 1 as k, count(*) over () as n from train) t
+where k >= floor(n * 0.8) and y <= {EVALUATE_UP_TO}""", train=True))
+def q_evaluation_rows(spark, sf):
+    """The rows that a saved model is evaluated on, the tail of the time order up to a target."""
+    tail = EV.chronological_split(train_rows(Views(spark, sf))).filter("split = 'test'")
+    return r6(E.test_set_filter(tail, max_target=EVALUATE_UP_TO).select("production_number", "actual_production_days"))
+
+
+@register("saved_model_eval")
+def q_saved_model_eval(spark, sf):
+    """Train, save, load, and report E1 on the filtered tail with the loaded model."""
+    df, feats = _v4(spark, sf)
+    model, pred, _ = ML.train_lead_time(df, feats)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
+    remember_scratch(path)
+    model.save(path)
+    tail = E.test_set_filter(pred.filter("split = 'test'").drop("predicted"), max_target=EVALUATE_UP_TO)
+    scored = ML.LeadTimeModel.load(spark, path).predict(tail)
+    return r6(EV.regression_metrics(scored, ML.LABEL, "predicted"))
+
+
 def _v1(spark, sf):
     v = Views(spark, sf)
     e = enriched(v).join(v.fg.select("material", "material_description"), "material", "left")

@@ -194,6 +194,29 @@ def q_top_errors(spark, sf):
               .select("production_number", "material", "actual", "predicted", "abs_error", "pct_error"))
 
 
+@register("top_errors_50", over_scored("""
+select production_number, round(abs_error, 6) as abs_error from er order by abs_error desc, production_number limit 50"""))
+def q_top_errors_50(spark, sf):
+    return r6(R.top_by(errors(Views(spark, sf)), [F.desc("abs_error"), F.asc("production_number")], 50).select("production_number", "abs_error"))
+
+
+def _histogram_sql(col: str, bins: int) -> str:
+    return over_scored(f"""
+select bin, round(lo + bin * (hi - lo) / {bins}, 6) as bin_start, count(*) as n
+from (select cast(case when hi = lo then 0 else least(floor(({col} - lo) / ((hi - lo) / {bins})), {bins - 1}) end as int) as bin, lo, hi
+      from er, (select min({col}) as lo, max({col}) as hi from er) m where {col} is not null) t group by bin, lo, hi""")
+
+
+@register("error_histogram", _histogram_sql("error", 50))
+def q_error_histogram(spark, sf):
+    return r6(R.histogram(errors(Views(spark, sf)), "error", 50))
+
+
+@register("label_histogram", _histogram_sql("actual", 40))
+def q_label_histogram(spark, sf):
+    return r6(R.histogram(errors(Views(spark, sf)), "actual", 40))
+
+
 @register("top_mae_materials", over_scored("""
 select material, round(avg(abs_error), 6) as mae, count(actual) as n from er where material is not null
 group by material order by avg(abs_error) desc, material limit 30"""))
