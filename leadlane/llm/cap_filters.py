@@ -32,7 +32,7 @@ from .common import components, table
 
 COSINE, RECALL, LIMIT, SEED = 0.9, 0.99, 512, 20240229
 #: Random pairs on which a height is set, and filters for each vector of the table.
-TRIALS, FILTERS_PER_VECTOR = 1000, 64
+TRIALS, FILTERS_PER_VECTOR = 1000, 2048
 
 
 class Code:
@@ -55,8 +55,8 @@ class Code:
     def decode(self, unit: np.ndarray, height: float) -> list[np.ndarray]:
         """All filters of each vector, ascending: block by block, only what can still reach the height goes on."""
         out = []
-        for at in range(0, len(unit), 256):
-            for xs in zip(*self.products(unit[at:at + 256])):
+        for at in range(0, len(unit), 64):
+            for xs in zip(*self.products(unit[at:at + 64])):
                 rest = sum(x.max() for x in xs)
                 ids, got = np.zeros(1, np.int64), np.zeros(1)
                 for x in xs:
@@ -71,7 +71,7 @@ class Code:
 def shape_for(dim: int, n: int) -> tuple[int, int]:
     """(blocks, words a block) for ``n`` vectors: two long blocks decode best, until their words would be too many."""
     filters = max(64, FILTERS_PER_VECTOR * n)
-    parts = min(dim, 2 if filters <= 1 << 24 else 3)
+    parts = min(dim, 2 if filters <= 1 << 32 else 3)
     return parts, int(np.ceil(filters ** (1 / parts))) if parts > 1 else 2
 
 
@@ -190,7 +190,9 @@ def _verify(cosine: float):
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, limit: int = LIMIT) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``vectors`` (vec_id, embedding)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    kind = dict(vectors.dtypes)["embedding"]
+    kind = kind if kind == "array<float>" else "array<double>"  # floats travel as floats; all arithmetic is in doubles
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("e"))
     rows = rows.withColumn("ok", valid(F.col("e"))).withColumns({
         "h1": F.when(F.col("ok"), F.xxhash64("e")), "h2": F.when(F.col("ok"), F.xxhash64(F.lit("second half"), "e"))})
     reps = cut_lineage(rows.where("ok").groupBy("h1", "h2").agg(F.first("e").alias("e"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
@@ -216,11 +218,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))],
                                              names=["node", "e", "copies", "filters"])
 
-    coded = cut_lineage(reps.select("node", "e", "copies").mapInArrow(decode, "node long, e array<double>, copies long, filters array<long>"))
+    coded = cut_lineage(reps.select("node", "e", "copies").mapInArrow(decode, f"node long, e {kind}, copies long, filters array<long>"))
     each = coded.select("node", F.size("e").alias("dim"), F.explode("filters").alias("filter"))
     full = cut_lineage(each.groupBy("dim", "filter").agg(F.count("*").alias("m")).where("m > 1"))
     blocks = F.ceil(F.col("m") / limit).cast("int")
-    member = each.join(full, ["dim", "filter"]).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    # Of a vector's filters only those that it shares go on, a few of all.
+    met = cut_lineage(each.join(full, ["dim", "filter"]))
+    lists = met.groupBy("node").agg(F.sort_array(F.collect_list("filter")).alias("filters"))
+    coded = coded.drop("filters").join(lists, "node")
+    member = met.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     member = member.select("dim", "filter", "node", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
     member = member.select("dim", "filter", "node", "block", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"))
     groups = member.join(coded, "node").select("dim", "filter", "bi", "bj", "block", "node", "copies", "e", "filters")
