@@ -182,11 +182,11 @@ def q_order_history_view(spark, sf):
 
 
 @register("material_view", with_views("""
-select material, material_description from fg where material like 'MAT0000000%' and not total_production_time > 3""", ["fg"]))
+select material, material_description from fg where material like 'MAT0%' and not total_production_time > 3""", ["fg"]))
 def q_material_view(spark, sf):
     fg = Views(spark, sf).fg
     m = fg.select("material", F.when(F.col("total_production_time") > 3, True).alias("deletion_flag"))
-    return X.material_view(m, fg.select("material", "material_description"), "MAT0000000").select("material", "material_description")
+    return X.material_view(m, fg.select("material", "material_description"), "MAT0").select("material", "material_description")
 
 
 @register("capacity_view", with_views("""

@@ -17,7 +17,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _mat(key) -> F.Column:
-    return F.concat(F.lit("MAT"), F.lpad(key.cast("string"), 9, "0"))
+    """Material number: the family (first six characters) varies with the key, and no two keys share a number."""
+    return F.concat(F.lit("MAT"), F.lpad((key % 1000).cast("string"), 3, "0"),
+                    F.lpad(F.floor(key / 1000).cast("string"), 6, "0"))
 
 
 def _line(key) -> F.Column:
@@ -174,7 +176,7 @@ class Views:
 
 # DuckDB text of the same views (FIXTURES.md), inlined as CTEs by the oracles.
 VIEW_SQL = {
-    "fg": """select 'MAT' || lpad(cast(p_partkey as string), 9, '0') as material, p_name as material_description,
+    "fg": """select 'MAT' || lpad(cast(p_partkey % 1000 as string), 3, '0') || lpad(cast(p_partkey // 1000 as string), 6, '0') as material, p_name as material_description,
   'L' || cast(p_partkey // 20 as string) as production_line,
   cast(case when p_size % 3 = 0 then 5 else 30 end as double) as constraint_factor,
   cast(p_size % 7 as double) as earliest_start_days,
@@ -186,7 +188,7 @@ from part where p_partkey % 67 <> 5""",
   cast(8 + k % 5 as double) as cap_fr
 from (select distinct p_partkey // 20 as k from part) lines where k % 12 <> 11""",
     "history": """select pn as production_number, ok as sales_doc, ln as item,
-  'MAT' || lpad(cast(pk as string), 9, '0') as material, qty as order_quantity,
+  'MAT' || lpad(cast(pk % 1000 as string), 3, '0') || lpad(cast(pk // 1000 as string), 6, '0') as material, qty as order_quantity,
   od as created_date, od + cast(pn % 6 as int) as planned_start_date,
   od + cast(pn % 6 + 1 + pk % 5 as int) as planned_finish_date,
   od + cast(pn % 5 as int) as actual_start_date,
@@ -203,7 +205,7 @@ from (select l_orderkey * 10 + l_linenumber as pn, l_orderkey as ok, l_linenumbe
   cast(case when l_returnflag = 'R' then -1 else 1 end as double)
     * case when l_discount >= 0.07 then l_quantity * l_discount else cast(0 as double) end as shortage_qty
 from lineitem""",
-    "production_orders": """select o_orderkey as order_id, 'MAT' || lpad(cast(o_custkey as string), 9, '0') as material_id,
+    "production_orders": """select o_orderkey as order_id, 'MAT' || lpad(cast(o_custkey % 1000 as string), 3, '0') || lpad(cast(o_custkey // 1000 as string), 6, '0') as material_id,
   cast(1000 + 1000 * (o_custkey % 3) as string) as plant,
   case when o_custkey % 2 = 0 then 'ZP01' else 'ZP02' end as order_type,
   cast(o_orderdate as date) as planned_start,
