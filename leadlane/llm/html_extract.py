@@ -39,7 +39,7 @@ DROP_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adverti
               "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "header", "masthead", "footer", "sidebar", "aside",
               "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "toolbar",
               "comment", "comments", "reply", "replies", "disqus", "respond", "share", "sharing", "social", "related", "recommended", "recommendations",
-              "newsletter", "subscribe", "subscription", "signup", "login", "search", "widget", "copyright", "skip", "hidden", "contentinfo", "complementary"}
+              "newsletter", "subscribe", "subscription", "signup", "login", "search", "copyright", "skip", "hidden", "contentinfo", "complementary"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
             "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 #: A start tag ends an open element of these kinds, unless an element of the second set lies between.
@@ -63,7 +63,13 @@ class Block:
         self.text, self.linked, self.element = text, linked, element
 
 
-def _boilerplate(tag: str, attrs: str) -> tuple[str, bool]:
+def _names_boilerplate(value: str) -> bool:
+    """Whole words only: "ad-slot" is an advert, "reading" isn't, and "has-sidebar" says something about the rest."""
+    words = _NAME.findall(value)
+    return any(w in DROP_NAMES and (not k or words[k - 1] not in ("has", "no", "with", "without")) for k, w in enumerate(words))
+
+
+def _boilerplate(tag: str, attrs: str, by_name: bool) -> tuple[str, bool]:
     """(classes, whether the element says that it isn't main text)."""
     if tag in DROP:
         return "", True
@@ -75,15 +81,15 @@ def _boilerplate(tag: str, attrs: str) -> tuple[str, bool]:
         if k in ("class", "id", "role"):
             if k == "class":
                 classes = v
-            # Whole words only: "ad-slot" is an advert, "header-text" a header, "reading" neither.
-            drop |= not DROP_NAMES.isdisjoint(_NAME.findall(v))
+            drop |= by_name and _names_boilerplate(v)
         elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and "display:none" in v.replace(" ", ""):
             drop = True
     return classes, drop
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks of text in page order, without those in elements that say they are boilerplate."""
+def blocks_of(page: str, by_name: bool = True) -> list[Block]:
+    """Blocks of text in page order, without those in elements that say they are boilerplate, by their kind or
+    (``by_name``) by their classes, id or role."""
     paths: dict[tuple, int] = {}
     top = Element("", None, 0, False, False, 0)
     open_tags: dict[str, int] = {}
@@ -167,7 +173,7 @@ def blocks_of(page: str) -> list[Block]:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 at = close.end() if close else len(page)
             continue
-        classes, drop = _boilerplate(tag, attrs)
+        classes, drop = _boilerplate(tag, attrs, by_name)
         n += 1
         path = paths.setdefault((top.path, tag, classes), len(paths) + 1)
         if attrs.endswith("/") and tag in ("svg", "math", "path"):
@@ -251,7 +257,11 @@ def content(blocks: list[Block], threshold: float = 0.5, cover: float = 0.9, max
 
 def main_text(page: str | None) -> str:
     """The content blocks of a page, one a line."""
-    return "\n".join(b.text for b in content(blocks_of(page))) if page else ""
+    if not page:
+        return ""
+    # A name on an element around the whole page says nothing: where names leave no text, only kinds of elements count.
+    found = content(blocks_of(page)) or content(blocks_of(page, by_name=False))
+    return "\n".join(b.text for b in found)
 
 
 def extract(pages: DataFrame) -> DataFrame:

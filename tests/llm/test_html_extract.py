@@ -38,6 +38,8 @@ TEXT = "This is a sentence of the article, with commas, and it goes on for a whi
      f"{TEXT.strip()}\na\nb"),
     (f"<div><a href=1>one</a> | <a href=2>two</a> | <a href=3>three</a></div><div><p>{TEXT * 2}</p><p>{TEXT}</p></div><div><a href=4>link</a> <a href=5>other</a></div>",
      f"{(TEXT * 2).strip()}\n{TEXT.strip()}"),
+    (f"<div class='page has-sidebar'><p>{TEXT}</p><div class=sidebar>{TEXT * 2}</div></div>", TEXT.strip()),
+    (f"<div id=overlay><nav>x</nav><p>{TEXT}</p></div>", TEXT.strip()),
 ])
 def test_pages(page, text):
     assert H.main_text(page) == text
