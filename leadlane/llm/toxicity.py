@@ -41,17 +41,40 @@ MEMO = 300_000
 
 @dataclass
 class Lexicon:
+    """Terms with their weights. ``covered``: words that are no more than one of many with a beginning that is a term
+    itself; the beginning catches them and most of their misspellings, so they stay out of the trie."""
+
     words: dict[str, float]
     prefixes: dict[str, float]
+    covered: frozenset[str] = frozenset()
 
     def __post_init__(self):
         self.trie: dict = {}
+        #: By the length of a term, the beginnings and ends of half a term: one edit leaves one of both alone.
+        self.heads: dict[int, set[str]] = {}
+        self.tails: dict[int, set[str]] = {}
         for w in self.words:
+            if w in self.covered or len(w) < MIN_FUZZY:
+                continue
+            k = (len(w) - 1) // 2
+            self.heads.setdefault(len(w), set()).add(w[:k])
+            self.tails.setdefault(len(w), set()).add(w[-k:])
             node = self.trie
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = w
 
+    def may_match(self, word: str) -> bool:
+        """False only if no term of the trie is within one edit: spares nearly all words the walk."""
+        if not word.isalpha():  # digits may stand for letters
+            return True
+        for n in (len(word) - 1, len(word), len(word) + 1):
+            if n in self.heads:
+                k = (n - 1) // 2
+                if word[:k] in self.heads[n] or word[-k:] in self.tails[n]:
+                    return True
+        return False
+
 
 def fuzzy(trie: dict, word: str) -> str | None:
     """The term of the trie within one edit (insertion, deletion, substitution, swap) of ``word``; the least if several.
@@ -104,7 +127,7 @@ class Lookup(dict):
         for k in PREFIXES:
             if len(word) > k and word[:k] in x.prefixes:
                 return x.prefixes[word[:k]], False
-        if len(word) >= MIN_FUZZY - 1 and (term := fuzzy(x.trie, word)) is not None and len(term) >= MIN_FUZZY:
+        if len(word) >= MIN_FUZZY - 1 and x.may_match(word) and (term := fuzzy(x.trie, word)) is not None:
             return FUZZY_WEIGHT * x.words[term], True
         return None
 
@@ -164,13 +187,22 @@ def features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
-    """From labelled ``rows`` (text, y). Words are counted once a text, in Spark; only the bounded lexicon is collected."""
+    """From labelled ``rows`` (text, y). Words are counted once a text, in Spark; only the bounded lexicon is collected.
+
+    Copies of a text would make each of its rare words look like a term, so of texts with the same label and the same
+    least hash of three words in a row (all exact and most near copies) one is counted.
+    """
+    words_of = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    rows = rows.select("y", F.coalesce(words_of, F.array().cast("array<string>")).alias("w"))
+    grams = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))),
+                        lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1), F.get(F.col("w"), i + 2)))
+    rows = cut_lineage(rows.select("y", F.coalesce(F.array_min(grams), F.xxhash64(F.array_join("w", " "))).alias("copy"), F.array_distinct("w").alias("w"))
+                       .dropDuplicates(["y", "copy"]).select("y", "w"))
     n = rows.agg(F.count("*").alias("n"), F.sum("y").alias("pos")).first()
     if not n.n or not n.pos or n.pos == n.n:
         return Lexicon({}, {})
     base = n.pos / n.n
-    token = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
-    counts = cut_lineage(rows.select(token.alias("term"), "y").groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("pos")))
+    counts = cut_lineage(rows.select(F.explode("w").alias("term"), "y").groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("pos")))
     chars = F.char_length("term")
     begins = counts.select(F.explode(F.transform(F.array(*[F.lit(k) for k in PREFIXES]), lambda k: F.when(chars > k, F.left("term", k)))).alias("term"), "n", "pos")
     begins = begins.where("term is not null").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.count("*").alias("kinds")).where("kinds > 1")
@@ -184,13 +216,15 @@ def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
         good = t.where(F.col("pos") >= MIN_DOCS).where(p > 0.5).withColumns({"llr": llr, "w": odds}).where(F.col("llr") > math.log(tried) + math.log(100))
         return good.orderBy(F.desc("llr"), "term").limit(max_terms)
 
-    words = {r.term: float(r.w) for r in chosen(counts).collect()}
-    prefixes: dict[str, float] = {}
+    words = {r.term: r for r in chosen(counts).collect()}
+    # Beginnings of a single word say no more than the word.
+    prefixes: dict = {}
     for r in sorted(chosen(begins.drop("kinds")).collect(), key=lambda r: (len(r.term), r.term)):
         if not any(r.term[:k] in prefixes for k in PREFIXES if k < len(r.term)):
-            prefixes[r.term] = float(r.w)
-    # Beginnings of a single word say no more than the word; one edit of it must not count as certain.
-    return Lexicon(words, prefixes)
+            prefixes[r.term] = r
+    above = {w: next((prefixes[w[:k]] for k in PREFIXES if k < len(w) and w[:k] in prefixes), None) for w in words}
+    covered = frozenset(w for w, p in above.items() if p is not None and words[w].pos < p.pos / 2)
+    return Lexicon({w: float(r.w) for w, r in words.items()}, {p: float(r.w) for p, r in prefixes.items()}, covered)
 
 
 def crc_mod(col) -> F.Column:

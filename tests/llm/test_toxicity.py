@@ -21,7 +21,7 @@ def edits(a, b):
 
 def test_automaton_against_brute_force():
     rng = random.Random(5)
-    terms = {"".join(rng.choice("abc") for _ in range(rng.randrange(3, 8))) for _ in range(60)}
+    terms = {"".join(rng.choice("abc") for _ in range(rng.randrange(5, 8))) for _ in range(60)}
     x = T.Lexicon({t: 1.0 for t in terms}, {})
     for _ in range(3000):
         w = "".join(rng.choice("abcd48") for _ in range(rng.randrange(1, 9)))
@@ -29,6 +29,20 @@ def test_automaton_against_brute_force():
         assert T.fuzzy(x.trie, w) == (near[0] if near else None), w
 
 
+def test_half_terms_never_hide_a_match():
+    rng = random.Random(6)
+    terms = {"".join(rng.choice("abc") for _ in range(rng.randrange(5, 10))) for _ in range(40)}
+    x = T.Lexicon({t: 1.0 for t in terms}, {})
+    for t in sorted(terms):
+        for _ in range(60):
+            w, i = list(t), rng.randrange(len(t))
+            kind = rng.randrange(4)
+            w[i:i + 1] = [[], [rng.choice("abcd")], [rng.choice("abcd"), w[i]], [w[i]]][kind]
+            if kind == 3 and i + 1 < len(w):
+                w[i], w[i + 1] = w[i + 1], w[i]
+            assert x.may_match("".join(w)) and T.fuzzy(x.trie, "".join(w)) is not None
+
+
 LEX = T.Lexicon({"idiot": 2.0, "worthless": 2.0}, {"lowei": 1.0})
 
 
