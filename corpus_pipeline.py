@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadlane.llm import line_dedup, packing, quality_rules, simhash, suffix_dedup
+from leadlane.llm.common import workers_find_package
 from leadlane.session import cut_lineage
 
 
@@ -20,21 +21,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that a smaller doc_id holds as well; a document left with nothing but white space stays as it is left."""
+    workers_find_package(spark)
     return line_dedup.dedup_lines(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each SimHash component."""
+    workers_find_package(spark)
     return simhash.one_of_each(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops passages of 50 words that a smaller doc_id holds as well, and documents left without a word by that."""
+    workers_find_package(spark)
     return suffix_dedup.drop_passages(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into windows of 2048 tokens; one row per piece."""
+    workers_find_package(spark)
     return packing.pack(docs, packing.default_tokenizer(), with_ids=False).drop("ids")
 
 
