@@ -82,8 +82,8 @@ def test_labels_of_held_out_rows_are_not_read(spark):
 
 def test_copies_of_a_text_count_once(spark):
     """Rare words of a text that was copied often are no terms."""
-    rows = [("the rare word is only here " * 3, 1.0)] * 50 + [(f"you awful thing {i} a{i} b{i} c{i}", 1.0) for i in range(30)]
-    rows += [(f"fine thing {i} d{i} e{i} f{i} rest", 0.0) for i in range(300)]
+    rows = [("the rare word is only here " * 3, 1.0)] * 50 + [(f"a{i} b{i} awful c{i} d{i}", 1.0) for i in range(30)]
+    rows += [(f"e{i} f{i} fine g{i} h{i}", 0.0) for i in range(300)]
     x = T.learn_lexicon(spark.createDataFrame(rows, "text string, y double"))
     assert "awful" in x.words and "rare" not in x.words
 
