@@ -189,16 +189,22 @@ def features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
     """From labelled ``rows`` (text, y). Words are counted once a text, in Spark; only the bounded lexicon is collected.
 
-    Copies of a text would make each of its rare words look like a term, so of texts with the same label and the same
-    least hash of three words in a row (all exact and most near copies) one is counted.
+    Copies of a text would make each of its rare words look like a term, so of rows with the same label and the same
+    words in the same order (a 128-bit hash of them all) one is counted; every other text counts. Where that leaves a
+    label fewer than MIN_DOCS texts, nothing could be learned from them, and all rows count.
     """
     words_of = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     rows = rows.select("y", F.coalesce(words_of, F.array().cast("array<string>")).alias("w"))
-    grams = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))),
-                        lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1), F.get(F.col("w"), i + 2)))
-    rows = cut_lineage(rows.select("y", F.coalesce(F.array_min(grams), F.xxhash64(F.array_join("w", " "))).alias("copy"), F.array_distinct("w").alias("w"))
-                       .dropDuplicates(["y", "copy"]).select("y", "w"))
-    n = rows.agg(F.count("*").alias("n"), F.sum("y").alias("pos")).first()
+    rows = cut_lineage(rows.select("y", F.md5(F.array_join("w", " ").cast("binary")).alias("copy"), F.array_distinct("w").alias("w")))
+
+    def sizes(t: DataFrame):
+        return t.agg(F.count("*").alias("n"), F.sum("y").alias("pos")).first()
+
+    single = rows.dropDuplicates(["y", "copy"])
+    n = sizes(single)
+    if not n.n or min(n.pos, n.n - n.pos) < MIN_DOCS:
+        single, n = rows, sizes(rows)
+    rows = single
     if not n.n or not n.pos or n.pos == n.n:
         return Lexicon({}, {})
     base = n.pos / n.n

@@ -88,6 +88,25 @@ def test_copies_of_a_text_count_once(spark):
     assert "awful" in x.words and "rare" not in x.words
 
 
+def test_texts_that_share_a_passage_all_count(spark):
+    """The first form of the test above: texts with a common passage are no copies."""
+    rows = [("the rare word is only here " * 3, 1.0)] * 50 + [(f"you awful thing {i} a{i} b{i} c{i}", 1.0) for i in range(30)]
+    rows += [(f"fine thing {i} d{i} e{i} f{i} rest", 0.0) for i in range(300)]
+    x = T.learn_lexicon(spark.createDataFrame(rows, "text string, y double"))
+    assert "awful" in x.words and "rare" not in x.words
+    rows = [(f"one phrase they all share and awful a{i} b{i}", 1.0) for i in range(30)] + [(f"one phrase they all share c{i} d{i}", 0.0) for i in range(300)]
+    assert "awful" in T.learn_lexicon(spark.createDataFrame(rows, "text string, y double")).words
+
+
+def test_labels_of_held_out_rows_are_not_read_of_two_texts(spark):
+    """The first form of the test above: with one text a label, all rows count."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "bad awful words here").otherwise("good fine words there").alias("text"))
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    flipped = labels.withColumn("toxic", F.when(T.crc_mod("doc_id") == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (sorted(map(tuple, T.score(docs, x).select("doc_id", "score").collect())) for x in (labels, flipped))
+    assert a == b and {s > 0.3 for i, s in a if i % 3 == 0} == {True} and {s > 0.3 for i, s in a if i % 3} == {False}
+
+
 def test_odd_rows_and_empty(spark, odd_docs):
     labels = spark.createDataFrame([(0, 1, 0), (None, 1, 1), (1, None, None), (3, 0, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
     out = T.score(odd_docs, labels)
