@@ -2,8 +2,9 @@
 
 The lexicon is learned from labelled rows: words, and beginnings of words, that stand in toxic texts far more often than
 chance allows for as many candidates. It is kept as a trie. A word of a text is looked up by walking the trie with the
-word's Levenshtein automaton (one edit or swap, look-alike digits for letters free), so misspelled terms are caught;
-each distinct word is looked up once in a worker. Hits are weighed in a window of the words around them: hits near
+word's Levenshtein automaton (one edit or swap, look-alike digits for letters free), so misspelled terms and beginnings
+are caught; a kind of edit of a short term or a beginning counts unless it caught mostly other words in the texts
+learned from. Each distinct word is looked up once in a worker. Hits are weighed in a window of the words around them: hits near
 other hits weigh more, hits inside quotation marks or quoted lines are counted apart, as quotation and not as abuse. A
 logistic regression over these few sums gives the score.
 
@@ -28,56 +29,77 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import table
 
-#: The lexicon's bound (a model size, not a cap on texts), least documents behind a term, shortest fuzzy term.
+#: The lexicon's bound (a model size, not a cap on texts), least documents behind a term, shortest term that any edit may change.
 MAX_TERMS, MIN_DOCS, MIN_FUZZY, WINDOW, CUT = 2000, 3, 5, 10, 0.3
 PREFIXES = range(3, 9)
 FUZZY_WEIGHT, QUOTED_WEIGHT, NEAR_WEIGHT = 0.5, 0.2, 0.5
 _TOKEN = re.compile(r"[^\W_]+")
 _QUOTED = re.compile(r'"[^"\n]+"|“[^”\n]+”|„[^“”\n]+[“”]|«[^»\n]+»|‹[^›\n]+›|‘[^’\n]+’(?!\w)|^[ \t]*>.*$', re.M)
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
+#: Kinds of one edit, and the trie's mark of a beginning (no token has it).
+KINDS, BEGINNING = ("insertion", "deletion", "substitution", "swap", "end"), "_"
 #: A worker keeps the answers for so many distinct words before it starts again.
 MEMO = 300_000
 
 
 @dataclass
 class Lexicon:
-    """Terms with their weights. ``covered``: words that are no more than one of many with a beginning that is a term
-    itself; the beginning catches them and most of their misspellings, so they stay out of the trie."""
+    """Terms with their weights; every one is in the trie. ``refused``: (is a beginning, length, kind of edit) that
+    caught mostly other words in the texts learned from. ``others``: words known from those texts that are no
+    misspellings, though within one edit of a term."""
 
     words: dict[str, float]
     prefixes: dict[str, float]
-    covered: frozenset[str] = frozenset()
+    refused: frozenset[tuple[bool, int, str]] = frozenset()
+    others: frozenset[str] = frozenset()
 
     def __post_init__(self):
         self.trie: dict = {}
-        #: By the length of a term, the beginnings and ends of half a term: one edit leaves one of both alone.
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
-        for w in self.words:
-            if w in self.covered or len(w) < MIN_FUZZY:
-                continue
-            k = (len(w) - 1) // 2
-            self.heads.setdefault(len(w), set()).add(w[:k])
-            self.tails.setdefault(len(w), set()).add(w[-k:])
-            node = self.trie
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
+        #: By (is a beginning, length), the beginnings and ends of half a term: one edit leaves one of both alone.
+        self.heads: dict[tuple[bool, int], set[str]] = {}
+        self.tails: dict[tuple[bool, int], set[str]] = {}
+        for beginning, terms in ((False, self.words), (True, self.prefixes)):
+            for w in terms:
+                node = self.trie
+                for c in w:
+                    node = node.setdefault(c, {})
+                node[BEGINNING if beginning else ""] = w
+                key = beginning, len(w)
+                if any((*key, kind) not in self.refused for kind in KINDS):
+                    k = (len(w) - 1) // 2
+                    self.heads.setdefault(key, set()).add(w[:k])
+                    self.tails.setdefault(key, set()).add(w[len(w) - k:])
 
     def may_match(self, word: str) -> bool:
         """False only if no term of the trie is within one edit: spares nearly all words the walk."""
         if not word.isalpha():  # digits may stand for letters
             return True
-        for n in (len(word) - 1, len(word), len(word) + 1):
-            if n in self.heads:
-                k = (n - 1) // 2
-                if word[:k] in self.heads[n] or word[-k:] in self.tails[n]:
+        for (beginning, length), heads in self.heads.items():
+            k = (length - 1) // 2
+            if beginning:
+                if len(word) >= length and (word[:k] in heads or any(word[length + d - k:length + d] in self.tails[beginning, length] for d in (-1, 0, 1))):
                     return True
+            elif abs(len(word) - length) <= 1 and (word[:k] in heads or word[len(word) - k:] in self.tails[beginning, length]):
+                return True
         return False
 
 
-def fuzzy(trie: dict, word: str) -> str | None:
-    """The term of the trie within one edit (insertion, deletion, substitution, swap) of ``word``; the least if several.
+def _alike(x: str, y: str) -> bool:
+    """Whether a text's character stands for a term's."""
+    return x == y or y in LOOKS_LIKE.get(x, "")
+
+
+def kind_of(word: str, term: str) -> str:
+    """The kind of the one edit between ``word`` and ``term``."""
+    if len(word) != len(term):
+        return "insertion" if len(word) > len(term) else "deletion"
+    return "substitution" if sum(not _alike(x, y) for x, y in zip(word, term)) == 1 else "swap"
+
+
+def matches(trie: dict, word: str) -> list[tuple[bool, str, frozenset[str]]]:
+    """(is a beginning, term, kinds) of all terms of the trie within one edit (insertion, deletion, substitution, swap) of
+    ``word``, or, for beginnings, of a part that ``word`` begins with and is longer than. Kinds are those of the edits
+    that do, none without an edit; "end" if a beginning's last letter alone is wrong.
 
     The automaton's states are bit sets: bit i of row e says that the trie path so far spells the word's first i
     characters with e edits.
@@ -88,15 +110,25 @@ def fuzzy(trie: dict, word: str) -> str | None:
         for x in c + LOOKS_LIKE.get(c, ""):
             at[x] = at.get(x, 0) | 1 << i
     full = 1 << n
-    best = None
+    out = []
     # (node, row 0, row 1, row 0 waiting for the second half of a swap)
     todo = [(trie, 1, 2 if n else 0, 0)]
     while todo:
         node, r0, r1, swap = todo.pop()
         for c, below in node.items():
             if c == "":
-                if (r0 | r1) & full and (best is None or below < best):
-                    best = below
+                if (r0 | r1) & full:
+                    out.append((False, below, frozenset() if r0 & full else frozenset((kind_of(word, below),))))
+                continue
+            if c == BEGINNING:
+                if n < len(below) or r0 & full:
+                    continue
+                if r0:
+                    out.append((True, below, frozenset()))
+                elif all(map(_alike, word, below[:-1])):
+                    out.append((True, below, frozenset(("end",))))
+                elif r1 & full - 1:
+                    out.append((True, below, frozenset(kind_of(word[:i], below) for i in range(len(below) - 1, min(n, len(below) + 2)) if r1 >> i & 1)))
                 continue
             m = at.get(c, 0)
             s0 = (r0 & m) << 1
@@ -105,7 +137,12 @@ def fuzzy(trie: dict, word: str) -> str | None:
             if s0 | s1:
                 # A swap reads the second character first, then the first.
                 todo.append((below, s0, s1, r0 & m >> 1))
-    return best
+    return out
+
+
+def fuzzy(trie: dict, word: str) -> str | None:
+    """The whole term of the trie within one edit of ``word``; the least if several."""
+    return min((term for beginning, term, _ in matches(trie, word) if not beginning), default=None)
 
 
 class Lookup(dict):
@@ -127,9 +164,14 @@ class Lookup(dict):
         for k in PREFIXES:
             if len(word) > k and word[:k] in x.prefixes:
                 return x.prefixes[word[:k]], False
-        if len(word) >= MIN_FUZZY - 1 and x.may_match(word) and (term := fuzzy(x.trie, word)) is not None:
-            return FUZZY_WEIGHT * x.words[term], True
-        return None
+        if word in x.others or not x.may_match(word):
+            return None
+        near = [(beginning, term) for beginning, term, kinds in matches(x.trie, word)
+                if not kinds or any((beginning, len(term), kind) not in x.refused for kind in kinds)]
+        if not near:
+            return None
+        beginning, term = min(near)
+        return FUZZY_WEIGHT * (x.prefixes if beginning else x.words)[term], True
 
 
 def measure(text: str | None, lookup: Lookup) -> tuple[float, float, float, int, int]:
@@ -228,9 +270,36 @@ def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
     for r in sorted(chosen(begins.drop("kinds")).collect(), key=lambda r: (len(r.term), r.term)):
         if not any(r.term[:k] in prefixes for k in PREFIXES if k < len(r.term)):
             prefixes[r.term] = r
-    above = {w: next((prefixes[w[:k]] for k in PREFIXES if k < len(w) and w[:k] in prefixes), None) for w in words}
-    covered = frozenset(w for w, p in above.items() if p is not None and words[w].pos < p.pos / 2)
-    return Lexicon({w: float(r.w) for w, r in words.items()}, {p: float(r.w) for p, r in prefixes.items()}, covered)
+    return checked(counts, Lexicon({w: float(r.w) for w, r in words.items()}, {p: float(r.w) for p, r in prefixes.items()}))
+
+
+def checked(counts: DataFrame, lexicon: Lexicon) -> Lexicon:
+    """The lexicon with what its misspellings would catch among the words learned from (term, n, pos): words that stand
+    in MIN_DOCS texts, half of them or more not toxic, are words of their own; a kind of edit of short terms or of
+    beginnings is refused where half or more of the texts with the other words it catches aren't toxic."""
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for word, n, pos in zip(*(c.to_pylist() for c in b.columns)):
+                if word in lexicon.words or any(len(word) > k and word[:k] in lexicon.prefixes for k in PREFIXES) or not lexicon.may_match(word):
+                    continue
+                for beginning, length, kind in {(m[0], len(m[1]), kind) for m in matches(lexicon.trie, word) for kind in m[2] or ("",)}:
+                    found.append({"term": word, "n": n, "pos": int(pos), "beginning": beginning, "length": length, "kind": kind})
+            yield pa.RecordBatch.from_pylist(found, pa.schema(
+                [("term", pa.string()), ("n", pa.int64()), ("pos", pa.int64()), ("beginning", pa.bool_()), ("length", pa.int64()), ("kind", pa.string())]))
+
+    caught = cut_lineage(counts.select("term", "n", "pos").mapInArrow(run, "term string, n long, pos long, beginning boolean, length long, kind string"))
+    own = (F.col("n") >= MIN_DOCS) & (2 * F.col("pos") <= F.col("n"))
+    tested = caught.where(~own & (F.col("kind") != "") & (F.col("beginning") | (F.col("length") < MIN_FUZZY)))
+    refused = frozenset((r.beginning, r.length, r.kind) for r in
+                        tested.groupBy("beginning", "length", "kind").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where("2 * pos <= n").collect())
+    # The words that a kind still allowed would catch.
+    allowed = caught.where(own)
+    if refused:
+        keys = F.concat_ws(" ", F.col("beginning").cast("int").cast("string"), F.col("length").cast("string"), "kind")
+        allowed = allowed.where(~keys.isin([f"{int(b)} {n} {kind}" for b, n, kind in refused]))
+    return Lexicon(lexicon.words, lexicon.prefixes, refused, frozenset(r.term for r in allowed.select("term").distinct().collect()))
 
 
 def crc_mod(col) -> F.Column:

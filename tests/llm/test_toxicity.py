@@ -53,6 +53,36 @@ def test_hits(text, hits):
     assert T.measure(text, T.Lookup(LEX))[3] == hits
 
 
+SHORT = T.Lexicon({"scum": 2.0, "idiots": 1.0}, {"idiot": 2.0})
+
+
+@pytest.mark.parametrize("text, hits", [
+    ("scumm", 1), ("scvm", 1), ("5cum", 1), ("csum", 1), ("cum", 1), ("svvm", 0), ("1diotic", 1), ("idoitic", 1), ("idiotic", 1), ("idotic", 1), ("idoits", 1),
+    ("idiot", 1), ("ixxotic", 0)])
+def test_short_terms_and_beginnings_are_misspelled_too(text, hits):
+    assert T.measure(text, T.Lookup(SHORT))[3] == hits
+
+
+def test_misspelled_beginnings_against_brute_force():
+    rng = random.Random(7)
+    begins = {"".join(rng.choice("abc") for _ in range(rng.randrange(3, 7))) for _ in range(12)}
+    x = T.Lexicon({}, dict.fromkeys(begins, 1.0))
+    for _ in range(3000):
+        w = "".join(rng.choice("abcd48") for _ in range(rng.randrange(1, 10)))
+        near = {p for p in begins if len(w) >= len(p) and edits(w, p) > 0 and any(edits(w[:i], p) <= 1 for i in range(len(w)))}
+        assert {m[1] for m in T.matches(x.trie, w)} == near, w
+        assert not near or x.may_match(w)
+
+
+def test_edits_follow_held_in_precision(spark):
+    """Word families leave no member out; words of their own and kinds of edits that catch other words are no hits."""
+    rows = [(f"you {x} a{i} b{i}", 1.0) for i in range(30) for x in ("idiot", "idiots", "idiotic", "scum")]
+    rows += [(f"fine {x} c{i} d{i}", 0.0) for i in range(200) for x in ("scam", "slum" if i == 0 else "well")] + [("fine scxm", 0.0)]
+    x = T.learn_lexicon(spark.createDataFrame(rows, "text string, y double"))
+    hits = {w for w in ("idoit", "1diot", "5cum", "scumm", "scam", "slum", "idiotic") if T.Lookup(x)[w]}
+    assert hits == {"idoit", "1diot", "5cum", "scumm", "idiotic"} and "scam" not in x.words and (False, 4, "substitution") in x.refused
+
+
 def test_quotation_and_windows():
     m = lambda t: T.measure(t, T.Lookup(LEX))
     filler = "word " * 30
