@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import table
 
-#: The lexicon's bound (a model size, not a cap on texts), least documents behind a term, shortest term that any edit may change.
-MAX_TERMS, MIN_DOCS, MIN_FUZZY, WINDOW, CUT = 2000, 3, 5, 10, 0.3
+#: Least documents behind a term, shortest term that any edit may change.
+MIN_DOCS, MIN_FUZZY, WINDOW, CUT = 3, 5, 10, 0.3
 PREFIXES = range(3, 9)
 FUZZY_WEIGHT, QUOTED_WEIGHT, NEAR_WEIGHT = 0.5, 0.2, 0.5
 _TOKEN = re.compile(r"[^\W_]+")
@@ -228,8 +228,9 @@ def features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         run, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES) + ", n_hits long, n_tokens long")
 
 
-def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
-    """From labelled ``rows`` (text, y). Words are counted once a text, in Spark; only the bounded lexicon is collected.
+def learn_lexicon(rows: DataFrame) -> Lexicon:
+    """From labelled ``rows`` (text, y). Words are counted once a text, in Spark; only the lexicon is collected. What
+    bounds it is the evidence a term needs, the same rule for every size; no count of terms does.
 
     Copies of a text would make each of its rare words look like a term, so of rows with the same label and the same
     words in the same order (a 128-bit hash of them all) one is counted; every other text counts. Where that leaves a
@@ -261,16 +262,15 @@ def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
         p = F.col("pos") / F.col("n")
         llr = F.col("pos") * F.log(p / base) + F.when(p < 1, (F.col("n") - F.col("pos")) * F.log((1 - p) / (1 - base))).otherwise(0.0)
         odds = F.log((F.col("pos") + 0.5) / (F.col("n") - F.col("pos") + 0.5) * ((1 - base) / base))
-        good = t.where(F.col("pos") >= MIN_DOCS).where(p > 0.5).withColumns({"llr": llr, "w": odds}).where(F.col("llr") > math.log(tried) + math.log(100))
-        return good.orderBy(F.desc("llr"), "term").limit(max_terms)
-
-    words = {r.term: r for r in chosen(counts).collect()}
-    # Beginnings of a single word say no more than the word.
-    prefixes: dict = {}
-    for r in sorted(chosen(begins.drop("kinds")).collect(), key=lambda r: (len(r.term), r.term)):
-        if not any(r.term[:k] in prefixes for k in PREFIXES if k < len(r.term)):
-            prefixes[r.term] = r
-    return checked(counts, Lexicon({w: float(r.w) for w, r in words.items()}, {p: float(r.w) for p, r in prefixes.items()}))
+        return t.where(F.col("pos") >= MIN_DOCS).where(p > 0.5).withColumns({"llr": llr, "w": odds}).where(F.col("llr") > math.log(tried) + math.log(100))
+
+    words = {r.term: float(r.w) for r in chosen(counts).select("term", "w").collect()}
+    # Beginnings of a single word say no more than the word, and those under a shorter learned one no more than that.
+    good = cut_lineage(chosen(begins.drop("kinds")).select("term", "w"))
+    heads = F.transform(F.array(*[F.lit(k) for k in PREFIXES]), lambda k: F.when(chars > k, F.left("term", k)))
+    nested = good.select("term", F.explode(heads).alias("head")).where("head is not null").join(good.select(F.col("term").alias("head")), "head").select("term").distinct()
+    prefixes = {r.term: float(r.w) for r in good.join(nested, "term", "left_anti").collect()}
+    return checked(counts, Lexicon(words, prefixes))
 
 
 def checked(counts: DataFrame, lexicon: Lexicon) -> Lexicon:

@@ -137,6 +137,13 @@ def test_labels_of_held_out_rows_are_not_read_of_two_texts(spark):
     assert a == b and {s > 0.3 for i, s in a if i % 3 == 0} == {True} and {s > 0.3 for i, s in a if i % 3} == {False}
 
 
+def test_the_evidence_bounds_the_lexicon_not_a_count(spark):
+    many = " ".join(f"w{k:04d}" for k in range(2300))
+    rows = [(f"{many} a{i}", 1.0) for i in range(30)] + [(f"fine c{i}", 0.0) for i in range(300)]
+    x = T.learn_lexicon(spark.createDataFrame(rows, "text string, y double"))
+    assert len(x.words) == 2300 and set(x.prefixes) == {"w00", "w01", *(f"w{k}" for k in range(10, 23)), "w02", "w03", "w04", "w05", "w06", "w07", "w08", "w09"}
+
+
 def test_odd_rows_and_empty(spark, odd_docs):
     labels = spark.createDataFrame([(0, 1, 0), (None, 1, 1), (1, None, None), (3, 0, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
     out = T.score(odd_docs, labels)
