@@ -2,9 +2,11 @@
 
 A page is read once into blocks of text, each with the path of tags (and their classes) from the root. Text length,
 punctuation and link text are aggregated for each path; the ratios to the path's number of blocks are smoothed over the
-order in which the paths appear, fused into one score and thresholded. The selected paths name the content: the
-deepest element that holds nearly all of their text, of which every block stays that is no boilerplate itself. Elements
-that say what they are (nav, footer, form, scripts, classes such as ad, menu or comments) never take part.
+order in which the paths appear, fused into one score and thresholded. The selected paths name the content: the lowest
+element around all their blocks, or the article or main around that, of which every block stays, and the headings beside
+it; beside an element that is no article or main, other texts that aren't mostly links stay too. Where no element below
+the body holds the content, it goes from its first block to its last, and texts around that stay unless mostly links.
+Elements that say what they are (nav, footer, form, scripts, classes such as ad, menu or comments) never take part.
 
 Defined results: null html, empty html and pages without text give an empty text; unclosed, unopened and crossed tags,
 cut-off pages, stray < and unknown character references are text or ignored as browsers do; rows are independent of
@@ -40,6 +42,9 @@ DROP_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adverti
               "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "toolbar",
               "comment", "comments", "reply", "replies", "disqus", "respond", "share", "sharing", "social", "related", "recommended", "recommendations",
               "newsletter", "subscribe", "subscription", "signup", "login", "search", "copyright", "skip", "hidden", "contentinfo", "complementary"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Parts of a text, never the whole of it.
+PARTS = HEADINGS | {"p", "li", "ul", "ol", "blockquote", "td", "tr", "tbody", "table", "pre", "dl", "dd", "dt", "figure"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
             "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 #: A start tag ends an open element of these kinds, unless an element of the second set lies between.
@@ -214,7 +219,7 @@ def path_scores(blocks: list[Block], spread: float = 1.0) -> dict[int, float]:
     return {p: a * (1 + b) * math.sqrt(max(stat[p][1], 0) / total) for p, a, b in zip(order, length, punct)}
 
 
-def content(blocks: list[Block], threshold: float = 0.5, cover: float = 0.9, max_linked: float = 0.6) -> list[Block]:
+def content(blocks: list[Block], threshold: float = 0.5, max_linked: float = 0.6) -> list[Block]:
     """The blocks of the content element; see the module."""
     if not blocks:
         return []
@@ -222,37 +227,52 @@ def content(blocks: list[Block], threshold: float = 0.5, cover: float = 0.9, max
     mean = sum(score.values()) / len(score)
     deviation = math.sqrt(sum((x - mean) ** 2 for x in score.values()) / len(score))
     least = min(mean + threshold * deviation, max(score.values()))
-    mass: dict[Element, int] = {}
-    whole = 0
-    for b in blocks:
-        if score[b.element.path] >= least:
-            whole += len(b.text)
-            mass[b.element] = mass.get(b.element, 0) + len(b.text)
-    # Parents open before their children: from the last element on, each hands its mass up once.
+    plain = [b.linked <= max_linked * len(b.text) for b in blocks]
+    chosen = [k for k, b in enumerate(blocks) if score[b.element.path] >= least]
+    chosen = [k for k in chosen if plain[k]] or chosen
+    held: dict[Element, int] = {}
+    for k in chosen:
+        held[blocks[k].element] = held.get(blocks[k].element, 0) + 1
+    # Parents open before their children: from the last element on, each hands its count up once.
     seen: dict[Element, None] = {}
-    for e in list(mass):
+    for e in list(held):
         while e and e not in seen:
             seen[e] = None
             e = e.up
     for e in sorted(seen, key=lambda e: -e.at):
         if e.up:
-            mass[e.up] = mass.get(e.up, 0) + mass[e]
-    box = max((e for e, m in mass.items() if m >= cover * whole), key=lambda e: (e.depth, -e.at))
-    while box.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "td", "tr", "tbody", "table", "pre", "dl", "dd", "dt", "figure") and box.up and box.up.tag:
+            held[e.up] = held.get(e.up, 0) + held[e]
+    box = max((e for e, m in held.items() if m == len(chosen)), key=lambda e: e.depth)
+    while box.tag in PARTS and box.up and box.up.tag:
         box = box.up
-
-    within: dict[Element, bool] = {box: True}
-
-    def inside(e: Element) -> bool:
+    around = box
+    while around.up and around.tag not in ("article", "main"):
+        around = around.up
+    marked = around.tag in ("article", "main")
+    if marked:
+        box = around
+    # Beside an article or main only headings are its own; beside another element all text is that no rule names.
+    room = box if box.tag in ("", "html", "body") else box.up
+    place: dict[Element, tuple[bool, bool]] = {}
+
+    def where(e: Element) -> tuple[bool, bool]:
+        """(in the box, in the room around it)"""
         way = []
-        while e not in within and e.depth > box.depth:
+        while e not in place and e is not box and e is not room and e.up:
             way.append(e)
             e = e.up
-        found = within.get(e, False)
-        within.update((x, found) for x in way)
+        found = place.get(e, (e is box, e is box or e is room))
+        place.update((x, found) for x in way)
         return found
 
-    return [b for b in blocks if inside(b.element) and b.linked <= max_linked * len(b.text)]
+    out = []
+    for k, b in enumerate(blocks):
+        inside, beside = where(b.element)
+        if box is room:  # no element names the content: it is what lies between its first and last block
+            inside = beside and chosen[0] <= k <= chosen[-1]
+        if inside or beside and (plain[k] or b.element.tag in HEADINGS if not marked else b.element.tag in HEADINGS and b.element.up is room):
+            out.append(b)
+    return out
 
 
 def main_text(page: str | None) -> str:

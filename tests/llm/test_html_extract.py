@@ -45,6 +45,18 @@ def test_pages(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<article><h1>T</h1><div class=body><p>{TEXT * 9}</p></div></article>", f"T\n{(TEXT * 9).strip()}"),
+    (f"<div><div class=lead>Short lead.</div><div class=body><p>{TEXT * 9}</p><p>{TEXT * 9}</p></div></div>", f"Short lead.\n{(TEXT * 9).strip()}\n{(TEXT * 9).strip()}"),
+    (f"<div id=page><div><h1>T</h1></div><section><p>{TEXT * 40}</p></section><section><p>{TEXT}</p></section></div>", f"T\n{(TEXT * 40).strip()}\n{TEXT.strip()}"),
+    (f"<article><h2><a href=1>Linked heading</a></h2><p>{TEXT * 5}</p><ul><li><a href=2>Reference one</a><li><a href=3>Reference two</a></ul></article>",
+     f"Linked heading\n{(TEXT * 5).strip()}\nReference one\nReference two"),
+    (f"<h1>T</h1><article><p>{TEXT * 5}</p></article><div>Not of the article.</div>", f"T\n{(TEXT * 5).strip()}"),
+])
+def test_whole_article_stays(page, text):
+    assert H.main_text(page) == text
+
+
 def test_hostile_pages():
     assert H.main_text("<div>" * 50000 + "deep") == "deep"
     assert H.main_text("<" * 100000).count("<") == 100000
