@@ -6,7 +6,8 @@ order in which the paths appear, fused into one score and thresholded. The selec
 element around all their blocks, or the article or main around that, of which every block stays, and the headings beside
 it; beside an element that is no article or main, other texts that aren't mostly links stay too. Where no element below
 the body holds the content, it goes from its first block to its last, and texts around that stay unless mostly links.
-Elements that say what they are (nav, footer, form, scripts, classes such as ad, menu or comments) never take part.
+Elements that say what they are (nav, footer, form, scripts, classes such as ad, menu or comments) never take part; names that an
+article's own parts carry as well (header, notice, search) count in an article or main only if the path is mostly links.
 
 Defined results: null html, empty html and pages without text give an empty text; unclosed, unopened and crossed tags,
 cut-off pages, stray < and unknown character references are text or ignored as browsers do; rows are independent of
@@ -45,6 +46,9 @@ DROP_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adverti
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Parts of a text, never the whole of it.
 PARTS = HEADINGS | {"p", "li", "ul", "ol", "blockquote", "td", "tr", "tbody", "table", "pre", "dl", "dd", "dt", "figure"}
+#: Of these, words that are common inside an article too: there they count only where the texts of such a path are mostly links.
+DOUBTFUL = {"header", "masthead", "footer", "banner", "notice", "notices", "notification", "alert", "promotion", "search", "social", "copyright", "aside",
+            "complementary", "contentinfo", "reply", "replies", "respond", "share", "sharing", "related", "skip", "consent", "navigation", "menu", "signup", "login"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
             "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 #: A start tag ends an open element of these kinds, unless an element of the second set lies between.
@@ -53,11 +57,15 @@ ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt"
         "body": ({"head"}, set())} | {t: ({"p"}, {"button", "td", "th", "table", "li", "div", "section", "article", "body"}) for t in CLOSES_P}
 
 
+#: Above this share of link text, texts are mostly links.
+MAX_LINKED = 0.6
+
+
 class Element:
-    __slots__ = ("tag", "up", "depth", "path", "drop", "link", "at")
+    __slots__ = ("tag", "up", "depth", "path", "drop", "link", "at", "article", "doubt")
 
-    def __init__(self, tag, up, path, drop, link, at):
-        self.tag, self.up, self.path, self.drop, self.link, self.at = tag, up, path, drop, link, at
+    def __init__(self, tag, up, path, drop, link, at, article=False, doubt=None):
+        self.tag, self.up, self.path, self.drop, self.link, self.at, self.article, self.doubt = tag, up, path, drop, link, at, article, doubt
         self.depth = up.depth + 1 if up else 0
 
 
@@ -68,28 +76,31 @@ class Block:
         self.text, self.linked, self.element = text, linked, element
 
 
-def _names_boilerplate(value: str) -> bool:
+def _boilerplate_names(value: str) -> set[str]:
     """Whole words only: "ad-slot" is an advert, "reading" isn't, and "has-sidebar" says something about the rest."""
     words = _NAME.findall(value)
-    return any(w in DROP_NAMES and (not k or words[k - 1] not in ("has", "no", "with", "without")) for k, w in enumerate(words))
+    return {w for k, w in enumerate(words) if w in DROP_NAMES and (not k or words[k - 1] not in ("has", "no", "with", "without"))}
 
 
-def _boilerplate(tag: str, attrs: str, by_name: bool) -> tuple[str, bool]:
-    """(classes, whether the element says that it isn't main text)."""
+def _boilerplate(tag: str, attrs: str, by_name: bool, article: bool = False) -> tuple[str, bool, bool]:
+    """(classes, whether the element says that it isn't main text, whether it may say so); ``article``: it is in one."""
     if tag in DROP:
-        return "", True
+        return "", True, False
     if not attrs or tag in ("html", "body", "article", "main"):
-        return "", False
-    classes, drop = "", False
+        return "", False, False
+    classes, drop, names = "", False, set()
     for k, v in _ATTR.findall(attrs):
         k, v = k.lower(), v.strip("\"'").lower()
         if k in ("class", "id", "role"):
             if k == "class":
                 classes = v
-            drop |= by_name and _names_boilerplate(v)
+            # Ids of headings and of an article's sections are made from the heading's text.
+            if by_name and not (k == "id" and (tag in HEADINGS or article and tag == "section")):
+                names |= _boilerplate_names(v)
         elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and "display:none" in v.replace(" ", ""):
             drop = True
-    return classes, drop
+    sure = names - DOUBTFUL if article else names
+    return classes, drop or bool(sure), bool(names) and not sure
 
 
 def blocks_of(page: str, by_name: bool = True) -> list[Block]:
@@ -178,15 +189,22 @@ def blocks_of(page: str, by_name: bool = True) -> list[Block]:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 at = close.end() if close else len(page)
             continue
-        classes, drop = _boilerplate(tag, attrs, by_name)
+        classes, drop, doubt = _boilerplate(tag, attrs, by_name, top.article)
         n += 1
         path = paths.setdefault((top.path, tag, classes), len(paths) + 1)
         if attrs.endswith("/") and tag in ("svg", "math", "path"):
             continue
-        top = Element(tag, top, path, top.drop or drop, top.link or tag == "a", n)
+        top = Element(tag, top, path, top.drop or drop, top.link or tag == "a", n, top.article or tag in ("article", "main"), top.doubt or (path if doubt else None))
         open_tags[tag] = open_tags.get(tag, 0) + 1
     end_block()
-    return out
+    share: dict[int, list[int]] = {}
+    for b in out:
+        if b.element.doubt:
+            s = share.setdefault(b.element.doubt, [0, 0])
+            s[0] += b.linked
+            s[1] += len(b.text)
+    gone = {p for p, s in share.items() if s[0] > MAX_LINKED * s[1]}
+    return [b for b in out if b.element.doubt not in gone] if gone else out
 
 
 def _blocked(e: Element, tag: str) -> bool:
@@ -219,7 +237,7 @@ def path_scores(blocks: list[Block], spread: float = 1.0) -> dict[int, float]:
     return {p: a * (1 + b) * math.sqrt(max(stat[p][1], 0) / total) for p, a, b in zip(order, length, punct)}
 
 
-def content(blocks: list[Block], threshold: float = 0.5, max_linked: float = 0.6) -> list[Block]:
+def content(blocks: list[Block], threshold: float = 0.5, max_linked: float = MAX_LINKED) -> list[Block]:
     """The blocks of the content element; see the module."""
     if not blocks:
         return []

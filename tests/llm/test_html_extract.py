@@ -57,6 +57,17 @@ def test_whole_article_stays(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<article><section id='social-history'><h2 id=search-and-rescue>Search</h2><p>{TEXT}</p></section><p>{TEXT * 3}</p></article>",
+     f"Search\n{TEXT.strip()}\n{(TEXT * 3).strip()}"),
+    (f"<article><div class='entry-header'><h1>T</h1></div><p>{TEXT * 3}</p><div class='note alert'>Mind this.</div></article>", f"T\n{(TEXT * 3).strip()}\nMind this."),
+    (f"<article><p>{TEXT * 3}</p><div class='social share'><a href=1>One</a> <a href=2>Two</a></div><div class=ad>Buy this.</div></article>", (TEXT * 3).strip()),
+    (f"<div class=entry-header>Slogan</div><h2 id=related-work>Related</h2><p>{TEXT * 3}</p>", f"Related\n{(TEXT * 3).strip()}"),
+])
+def test_names_in_an_article_need_ratios(page, text):
+    assert H.main_text(page) == text
+
+
 def test_hostile_pages():
     assert H.main_text("<div>" * 50000 + "deep") == "deep"
     assert H.main_text("<" * 100000).count("<") == 100000
