@@ -3,10 +3,10 @@
 A passage is a run of ``length`` words or more (A-Z lower-cased, split at ASCII white space) that stands in at least
 two documents. Only suffixes at minimisers are retained: of every window of ``length`` words, the position whose first
 ``gram`` words hash lowest. Equal windows choose equal positions, so each window belongs to exactly one retained suffix
-and no shared passage can be missed. Suffixes are sorted by their first words; those whose first words occur in one
-document only (nearly all) leave at once. For the others, the matches of ``gram`` words are extended left and right:
-each way to extend a suffix to a window of its own is one 64-bit hash, equal extensions are neighbours when sorted, and
-neighbouring windows of a document join into maximal passages. Suffixes with equal extensions are compared once. A
+and no shared passage can be missed. Suffixes are not sorted, and matches not extended word by word; a window-hash join
+by minimiser stands in for that. Suffixes are grouped by a 64-bit hash of their first ``gram`` words; groups of one
+document only (nearly all) leave at once. For the others, each window that chose the suffix (its extension) is one
+64-bit hash, equal hashes are neighbours when these are sorted, and neighbouring windows of a document join into maximal passages. Suffixes with equal extensions are compared once. A
 group of more than ``limit`` different ones is not brought into one task; its extensions are counted by Spark's
 combining aggregates instead, with the same result.
 
