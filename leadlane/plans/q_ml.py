@@ -15,9 +15,6 @@ from ..sources.fixtures import Views
 from . import sqlparts as S
 from .registry import enriched, r6, register, train_rows
 
-# Trials of the search query; the library default is the caller's choice too.
-TRIALS = 2
-
 
 def _v4(spark, sf):
     df = FT.features_v4(enriched(Views(spark, sf)))
@@ -57,7 +54,7 @@ def q_cv_metrics(spark, sf):
 @register("random_search")
 def q_random_search(spark, sf):
     df, feats = _v4(spark, sf)
-    _, trials = ML.random_search(df, feats, n_trials=TRIALS, n_splits=3)
+    _, trials = ML.random_search(df, feats)
     return trials
 
 

@@ -129,3 +129,23 @@ def test_scratch_is_released(spark):
     path = S.lineage_tables()[-1]
     S.release_lineage_tables(spark)
     assert not S.path_exists(spark, path) and not S.lineage_tables()
+
+
+def test_random_search_query_runs_the_default_trials(monkeypatch):
+    """The registered query draws as many points as the library's default."""
+    import inspect
+
+    from leadlane.plans import q_ml as Q
+
+    signature = inspect.signature(Q.ML.random_search)
+    default, seen = signature.parameters["n_trials"].default, []
+
+    def search(*args, **options):
+        call = signature.bind(*args, **options)
+        call.apply_defaults()
+        seen.append(call.arguments["n_trials"])
+        return None, "trials"
+
+    monkeypatch.setattr(Q, "_v4", lambda spark, sf: (None, []))
+    monkeypatch.setattr(Q.ML, "random_search", search)
+    assert Q.q_random_search(None, None) == "trials" and seen == [default] and default >= 5
