@@ -4,11 +4,11 @@ Vectors are integers: floor(scale * x) for each component x. Equal vectors trave
 have them. The distinct queries and the distinct vectors form a grid of cells, each with a bounded number of queries
 and of vectors; a cell is one group of a shuffle and streams its vectors in segments. A segment becomes one list for
 each dimension, sorted by component, to be read from its top or from its bottom as the query's component is positive
-or negative. All lists of a query are read in step, a stretch at a time. A vector's lower bound is what was read of it
+or negative. All lists of a query are read in step, down to a common contribution. A vector's lower bound is what was read of it
 plus the worst value of every list it was not yet met in, its upper bound has the lists' last-read values in their
 place. Vectors whose upper bound lies below the k-th lower bound, or below the k-th score of the segments before, are
-outsiders; reading stops when the vectors left are fewer than the next stretch. Their final scores are then resolved,
-and cells hand on their best k + 1, from which Spark takes each query's best.
+outsiders; reading stops when few others are left. Their final scores are then resolved, and cells hand on their best
+k + 1, from which Spark takes each query's best.
 
 Every query meets every vector in one cell: queries are a stated set, and the work is queries x vectors by definition.
 
@@ -31,8 +31,12 @@ from ..session import cut_lineage
 from .common import table
 
 K, SCALE, EVERY = 5, 256, 50
-#: Queries and vectors of a cell at most (on average), and vectors in one set of lists.
-QUERIES, CELL, SEGMENT = 4096, 1 << 16, 8192
+#: Queries and vectors of a cell at most (on average); queries that a cell of its own is worth making for.
+QUERIES, CELL, FEW = 4096, 1 << 16, 256
+#: Vectors in a cell's first and largest segments: they double, as the first ones are read for a score to beat.
+FIRST, SEGMENT = 256, 4096
+#: How far below the score to beat the unmet are bounded when bounds are compared, as a share of the way to the worst.
+SHARES = (1 / 8, 1 / 4, 1 / 2, 1)
 MOST = (1 << 63) - 1
 
 
@@ -46,37 +50,61 @@ class Lists:
 
     def __init__(self, x: np.ndarray):
         self.x, (self.n, self.dim) = x, x.shape
-        up = np.argsort(x, axis=0, kind="stable").T.astype(np.int32)
+        self.most = float(np.abs(x).max(initial=0))
+        up = np.argsort(x, axis=0, kind="stable").T
         self.order = np.concatenate([up, up[:, ::-1]])  # ascending lists, then descending ones
         self.value = np.take_along_axis(np.concatenate([x.T, x.T]), self.order, axis=1)
+        self.above = self.value - self.value[:, -1:]  # what an entry has more than the list's last one
+        # All ascending lists as one ascending array, to find places in many lists at once.
+        self.apart = 2 * self.most + 2
+        self.places = (self.value[:self.dim] + np.arange(self.dim)[:, None] * self.apart).ravel()
+
+    def depths(self, rows: np.ndarray, weight: np.ndarray, level: float) -> np.ndarray:
+        """How many entries of each list contribute ``level`` or more; each list is read once at least."""
+        at = np.clip(level / weight, -self.most - 1, self.most + 1) + rows * self.apart
+        low, high = (np.searchsorted(self.places, at, side) - rows * self.n for side in ("left", "right"))
+        return np.clip(np.where(weight > 0, self.n - low, high), 1, self.n)
+
+    @staticmethod
+    def _read(lists: np.ndarray, which: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return np.concatenate([lists[r, a:z] for r, a, z in zip(which.tolist(), start.tolist(), end.tolist())])
 
     def qualifying(self, q: np.ndarray, need: int, floor: float) -> np.ndarray:
         """Vectors that no bound rules out: all whose score can reach ``floor`` and the ``need``-th best of the segment."""
         rows = np.flatnonzero(q)
-        weight = q[rows][:, None]
-        lists = rows + self.dim * (q[rows] > 0)
-        worst = weight[:, 0] * self.value[lists, -1]
-        lower = np.full(self.n, worst.sum())
-        left, depth, step = np.arange(self.n), 0, max(1, self.n // 16)
-        while depth < self.n and len(left) > step * len(rows) // max(1, self.dim) and len(rows):
-            to = min(self.n, depth + step)
-            ids = self.order[lists, depth:to]
-            lower += np.bincount(ids.ravel(), (self.value[lists, depth:to] * weight - worst[:, None]).ravel(), self.n)
-            depth = to
+        if not len(rows):
+            return np.arange(self.n)
+        weight = q[rows]
+        lists = rows + self.dim * (weight > 0)
+        best, worst = weight * self.value[lists, 0], weight * self.value[lists, -1]
+        lower, depth = np.full(self.n, worst.sum()), np.zeros(len(rows), np.int64)
+        for share in SHARES if floor > worst.sum() else SHARES[-1:]:
+            # The level at which a vector not met in any list is bounded by so much less than the floor.
+            goal = floor - share * (floor - worst.sum()) if share < 1 else 0.0
+            lo, hi = worst.min(), best.max()
+            for _ in range(10):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if np.minimum(np.maximum(worst, mid), best).sum() < goal else (lo, mid)
+            to = np.maximum(depth, self.depths(rows, weight, lo)) if share < 1 else np.full(len(rows), self.n)
+            ids = self._read(self.order, lists, depth, to)
+            gain = self._read(self.above, lists, depth, to)
+            gain *= np.repeat(weight, to - depth)
+            lower += np.bincount(ids, gain, self.n)
             # What a vector has that was not yet met in a list is at most the list's last-read value.
-            last = weight[:, 0] * self.value[lists, depth - 1] - worst
-            met = np.bincount(self.order[lists, :depth].ravel(), np.repeat(last, depth), self.n)
+            last = weight * self.value[lists, to - 1] - worst
+            met = np.bincount(self._read(self.order, lists, 0 * to, to) if depth.any() else ids, np.repeat(last, to), self.n)
+            depth = to
             if self.n > need:
                 floor = max(floor, np.partition(lower, self.n - need)[self.n - need])
             left = np.flatnonzero(lower + (last.sum() - met) >= floor)
-            step *= 2
+            if len(left) * 4 <= self.n:
+                break
         return left
 
 
 def best_of(lists: Lists, q: np.ndarray, need: int, floor: float, ids: list) -> list[tuple[int, int, int]]:
     """The segment's best ``need`` rows for one query as (-score, id is null, id), ascending; ids: those of each vector."""
-    with np.errstate(over="ignore", invalid="ignore"):
-        size = np.abs(lists.x).max(initial=0) * np.abs(q).max(initial=0) * max(1, lists.dim)
+    size = lists.most * np.abs(q).max(initial=0) * max(1, lists.dim)
     if size < 2 ** 51:
         left = lists.qualifying(q, need, floor)
         score = lists.x[left] @ q
@@ -101,8 +129,11 @@ def _search(k: int, scale: float):
         key, queries, best = None, [], []
         vectors: list[np.ndarray] = []
         ids: list = []
+        size = FIRST
 
         def segment():
+            nonlocal size
+            size = min(2 * size, SEGMENT)
             if ids and queries:
                 lists = Lists(np.concatenate(vectors))
                 for j, (_, _, q) in enumerate(queries):
@@ -113,7 +144,9 @@ def _search(k: int, scale: float):
             ids.clear()
 
         def cell():
+            nonlocal size
             segment()
+            size = FIRST
             rows = [(h1, h2, max(-MOST, min(MOST, sum(_long(x) ** 2 for x in q.tolist()))), *top) for (h1, h2, q), tops in zip(queries, best) for top in tops]
             queries.clear()
             best.clear()
@@ -139,11 +172,11 @@ def _search(k: int, scale: float):
                     continue
                 at = 0
                 while at < y - x:
-                    n = min(SEGMENT - len(ids), y - x - at)
+                    n = min(size - len(ids), y - x - at)
                     vectors.append(v[at:at + n])
                     ids.extend([(i["none"], i["vec_id"] or 0) for i in own] for own in b.column(7).slice(x + at, n).to_pylist())
                     at += n
-                    if len(ids) >= SEGMENT:
+                    if len(ids) >= size:
                         segment()
         yield from cell()
 
@@ -166,9 +199,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE
     asked = rows.where("q and vec_id is not null").select("vec_id", "h1", "h2")
     query = cut_lineage(cand.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").drop("ids"))
     n, m = cand.count(), query.count()
-    # Cells enough for all shuffle partitions while a segment each is left.
-    wide = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nc, nq = max(-(-n // CELL), min(-(-n // SEGMENT), wide), 1), max(-(-m // QUERIES), 1)
+    # Where blocks of full size would leave partitions without work, the queries are cut finer.
+    nc = max(-(-n // CELL), 1)
+    nq = max(-(-m // QUERIES), min(-(-m // FEW), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // nc), 1)
     numbers = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
     block = lambda h, c: F.pmod(F.col(h), F.lit(c)).cast("int")
     cells = query.select(numbers(nc).alias("cb"), block("h2", nq).alias("qb"), F.lit(True).alias("is_query"), "h1", "h2", "e", F.lit(None).cast(dict(cand.dtypes)["ids"]).alias("ids")).unionByName(
