@@ -171,9 +171,9 @@ def history_stats(df: DataFrame, lookback_days: int = 90, count_days: int = 30,
     mat = range_table(src, ["material"], "_ov", unit, -lookback_days,
                       {"_n": F.count(y), "_s": F.sum(y), "_s2": F.sum(y * y), "_mx": F.max(y),
                        "_last": F.max(F.when(y.isNotNull(), last_key)), "_c": F.count(F.lit(1))},
-                      {"_mn": F.sum("_n"), "_ms": F.sum("_s"), "_ms2": F.sum("_s2"),
-                       "material_max_production_time_90d": F.max("_mx"), "_mlast": F.max("_last")},
-                      extra_frames={-count_days: {"_c30": F.sum("_c")}})
+                      {"_mn": ("sum", "_n"), "_ms": ("sum", "_s"), "_ms2": ("sum", "_s2"),
+                       "material_max_production_time_90d": ("max", "_mx"), "_mlast": ("max", "_last")},
+                      extra_frames={-count_days: {"_c30": ("sum", "_c")}})
     out = out.join(mat, ["material", "_ov"], "left")
     out = out.withColumns({
         "material_avg_production_time_90d": F.when(F.col("_mn") > 0, F.col("_ms") / F.col("_mn")),
@@ -187,7 +187,7 @@ def history_stats(df: DataFrame, lookback_days: int = 90, count_days: int = 30,
             out = out.withColumn(name, F.lit(None).cast("double"))
             continue
         t = range_table(src, keys, "_ov", unit, -lookback_days, {"_n": F.count(y), "_s": F.sum(y)},
-                        {"_wn": F.sum("_n"), "_ws": F.sum("_s")})
+                        {"_wn": ("sum", "_n"), "_ws": ("sum", "_s")})
         out = out.join(t, keys + ["_ov"], "left") \
             .withColumn(name, F.when(F.col("_wn") > 0, F.col("_ws") / F.col("_wn"))).drop("_wn", "_ws")
     out = out.join(labelled_gate(src, y, unit, lookback_days), ["_ov"], "left")

@@ -12,6 +12,9 @@ rows. The forms here never do:
   the 90 days before creation). Rows are first aggregated to one row per
   ``(key, day)`` - decomposable sums, counts, maxima - so the window runs over
   distinct days, never over orders, and a hot key is just a longer day list.
+* ``sliced_frames`` - the same on timestamps: a key's time line is cut into
+  slices, and a frame is put together from the ends of two slices and whole
+  slices between them, so a hot key is many groups.
 * ``forward_table`` - the same for "rows whose event falls in (t, t + k]".
 * ``group_table`` - group aggregate to be joined back to rows (pandas
   ``groupby.transform``) instead of an unordered window over a possibly hot key.
@@ -23,6 +26,7 @@ linear in the number of stages.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,21 +82,82 @@ def with_order_value(df: DataFrame, col: str, name: str) -> tuple[DataFrame, int
     return df.withColumn(name, ov), unit
 
 
+def _value_aggs(aggs: dict[str, tuple[str, str]]) -> dict[str, Column]:
+    return {name: getattr(F, fn)(col) for name, (fn, col) in aggs.items()}
+
+
+def _either(fn: str, a: Column, b: Column) -> Column:
+    """Two partial results in one; a null is no result."""
+    return F.greatest(a, b) if fn == "max" else F.coalesce(a + b, a, b)
+
+
+def sliced_frames(events: DataFrame, probes: DataFrame, keys: list[str], ov: str, frames: dict[str, tuple[int, int]],
+                  aggs: dict[str, tuple[str, str]], per_span: int = 8) -> DataFrame:
+    """Table ``(keys, ov, <frame>_<name>...)``: for each probe t and frame (lo, hi), the aggregates of the events of
+    the same keys with value in ``[t + lo, t + hi)``. Aggregates are ``name -> ("sum" | "max", column)``.
+
+    Each key's time line is cut into slices, so that a key that holds most rows is as many groups as it has slices,
+    and no frame slides over rows. The slice length divides every frame's length, at least ``per_span`` times the
+    shortest one's; a frame is then always
+
+    * the end of the slice that it begins in: rows from t + lo on, summed from the slice's end,
+    * a fixed number of whole slices, summed over one row a slice,
+    * the beginning of the slice that it ends in: rows before t + hi, summed from the slice's start.
+
+    Probes go as halo rows to the two slices in which their frames begin and end, and take the running aggregate there
+    in linear time; what a task holds is one slice of one key, or one key's slices as one row each.
+    """
+    length = reduce(math.gcd, [hi - lo for lo, hi in frames.values()])
+    assert length % per_span == 0, "frames too short for slices"
+    length //= per_span
+    start = lambda c: F.col(c) - F.pmod(F.col(c), F.lit(length))
+    names = list(aggs)
+    cols = list(dict.fromkeys(c for _, c in aggs.values()))
+    types = dict(events.dtypes)
+    nulls = [F.lit(None).cast(types[c]).alias(c) for c in cols]
+    ev = events.where(all_not_null(keys + [ov])).select(*keys, F.col(ov).alias("_v"), F.lit(None).cast("long").alias("_t"),
+                                                         F.lit(None).cast("string").alias("_f"), F.lit(False).alias("_end"), *cols)
+    asked = probes.where(all_not_null(keys + [ov])).select(*keys, F.col(ov).alias("_t")).distinct()
+    ends = F.explode(F.array(*[F.struct((F.col("_t") + at).alias("v"), F.lit(f).alias("f"), F.lit(end).alias("end"))
+                               for f, (lo, hi) in frames.items() for at, end in ((lo, False), (hi, True))])).alias("p")
+    halo = asked.select(*keys, "_t", ends).select(*keys, F.col("p.v").alias("_v"), "_t", F.col("p.f").alias("_f"), F.col("p.end").alias("_end"), *nulls)
+    rows = ev.unionByName(halo).withColumn("_slice", start("_v"))
+    before = Window.partitionBy(*keys, "_slice").orderBy("_v").rangeBetween(Window.unboundedPreceding, -1)
+    onward = Window.partitionBy(*keys, "_slice").orderBy(F.col("_v").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    value = _value_aggs(aggs)
+    edges = rows.select(*keys, "_slice", "_t", "_f", "_end",
+                        *[F.when(F.col("_end"), value[n].over(before)).otherwise(value[n].over(onward)).alias(n) for n in names]).where("_t is not null")
+    # Whole slices: one row a slice, also where only probes begin.
+    whole = rows.groupBy(*keys, "_slice").agg(*[value[n].alias(n) for n in names])
+    over = lambda f: Window.partitionBy(*keys).orderBy("_slice").rangeBetween(length, frames[f][1] - frames[f][0] - length)
+    middle = whole.select(*keys, "_slice", *[getattr(F, fn)(n).over(over(f)).alias(f"_{f}_{n}") for f in frames for n, (fn, _) in aggs.items()])
+    j = edges.join(middle, [*keys, "_slice"])
+    mid = {n: reduce(lambda a, f: F.when((F.col("_f") == f) & ~F.col("_end"), F.col(f"_{f}_{n}")).otherwise(a), frames, F.lit(None)) for n in names}
+    j = j.select(*keys, "_t", "_f", *[_either(aggs[n][0], F.col(n), mid[n]).alias(n) for n in names])
+    return j.groupBy(*keys, F.col("_t").alias(ov)).agg(
+        *[getattr(F, fn)(F.when(F.col("_f") == f, F.col(n))).alias(f"{f}_{n}") for f in frames for n, (fn, _) in aggs.items()])
+
+
 def range_table(source: DataFrame, keys: list[str], ov: str, unit: int, lo_days: int,
-                per_value_aggs: dict[str, Column], window_aggs: dict[str, Column],
-                hi_days: int | None = None, extra_frames: dict[int, dict[str, Column]] | None = None) -> DataFrame:
+                per_value_aggs: dict[str, Column], window_aggs: dict[str, tuple[str, str]],
+                extra_frames: dict[int, dict[str, tuple[str, str]]] | None = None) -> DataFrame:
     """Stats table ``(keys, ov, window_aggs...)``: for each ``(key, value t)``
     present in ``source``, combine partial aggregates of rows with value in
-    ``[t + lo_days, t)`` (or ``[t + lo_days, t + hi_days]`` when given).
-    Null keys are dropped (they match nothing)."""
+    ``[t + lo_days, t)``. Null keys are dropped (they match nothing).
+
+    Dates have few values a key, so one window over the values does; timestamps (``unit`` in micro-seconds) have as
+    many as there are orders, and go by slices of time (``sliced_frames``)."""
     parts = (source.filter(all_not_null(keys + [ov]))
              .groupBy(*keys, ov).agg(*[v.alias(n) for n, v in per_value_aggs.items()]))
-    hi = -1 if hi_days is None else hi_days * unit
-    w = Window.partitionBy(*keys).orderBy(ov).rangeBetween(lo_days * unit, hi)
-    cols = [e.over(w).alias(n) for n, e in window_aggs.items()]
-    for lo2, aggs2 in (extra_frames or {}).items():  # other look-backs, same sort
-        w2 = Window.partitionBy(*keys).orderBy(ov).rangeBetween(lo2 * unit, hi)
-        cols += [e.over(w2).alias(n) for n, e in aggs2.items()]
+    frames = {lo_days: window_aggs} | (extra_frames or {})
+    if unit > 1:
+        every = {k: v for aggs in frames.values() for k, v in aggs.items()}
+        t = sliced_frames(parts, parts, keys, ov, {f"f{-lo}": (lo * unit, 0) for lo in frames}, every)
+        return t.select(*keys, ov, *[F.col(f"f{-lo}_{n}").alias(n) for lo, aggs in frames.items() for n in aggs])
+    cols = []
+    for lo, aggs in frames.items():  # other look-backs, same sort
+        w = Window.partitionBy(*keys).orderBy(ov).rangeBetween(lo * unit, -1)
+        cols += [e.over(w).alias(n) for n, e in _value_aggs(aggs).items()]
     return parts.select(*keys, ov, *cols)
 
 
@@ -104,7 +169,7 @@ def forward_table(source: DataFrame, key: str, from_ov: str, event_ov: str, qty_
 
     Events are aggregated per ``(key, event value)``; the distinct query values
     are added with zero weight and one range window over the union answers all
-    queries. The caller subtracts the row's own event when it falls inside.
+    queries, by slices of time where values are timestamps. The caller subtracts the row's own event when it falls inside.
     """
     events = (source.filter(F.col(key).isNotNull() & F.col(event_ov).isNotNull())
               .groupBy(key, F.col(event_ov).alias("_v"))
@@ -114,6 +179,10 @@ def forward_table(source: DataFrame, key: str, from_ov: str, event_ov: str, qty_
               .select(key, F.col(from_ov).alias("_v")).distinct()
               .withColumns({"_n": F.lit(0).cast("long"), "_q": F.lit(None).cast("double"),
                             "_probe": F.lit(True)}))
+    if unit > 1:
+        t = sliced_frames(events, probes, [key], "_v", {p: (1, 1 + d * unit) for p, d in spans.items()},
+                          {"n": ("sum", "_n"), "q": ("sum", "_q")})
+        return t.withColumnRenamed("_v", from_ov)
     cols = []
     for prefix, days in spans.items():
         w = Window.partitionBy(key).orderBy("_v").rangeBetween(1, days * unit)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from leadlane.operators.scale import (category_codes, exact_quantiles, forward_table, range_table, running_totals,
+from leadlane.operators.scale import (category_codes, exact_quantiles, forward_table, range_table, running_totals, sliced_frames,
                                       trailing_rows_stats)
 
 
@@ -49,7 +49,7 @@ def test_global_running_totals(spark, df):
 
 def test_range_table_matches_naive(spark, df):
     t = range_table(df.withColumn("_ov", F.col("day").cast("long")), ["k"], "_ov", 1, -10,
-                    {"_n": F.count("y"), "_s": F.sum("y")}, {"n": F.sum("_n"), "s": F.sum("_s")})
+                    {"_n": F.count("y"), "_s": F.sum("y")}, {"n": ("sum", "_n"), "s": ("sum", "_s")})
     got = {(r.k, r._ov): (r.n, r.s) for r in t.collect()}
     pdf = df.toPandas()
     for (k, d), (n, s) in got.items():
@@ -145,3 +145,39 @@ def test_history_stats_timestamps_match_naive(spark):
         assert m.empty or mx == m.y.max()
         assert (lavg is None) == ln.empty and (ln.empty or lavg == pytest.approx(ln.y.mean()))
         assert cnt == (len(c30) if len(h) else 0)
+
+
+def test_sliced_frames_match_naive(spark):
+    """Integer values on and beside slice edges, sums and maxima (of structs too), frames behind and ahead of the probe."""
+    rng = random.Random(9)
+    rows = [(rng.choice(["HOT", "HOT", "HOT", "A", None]), rng.choice([rng.randint(-90, 90), 8 * rng.randint(-10, 10)]), rng.choice([None, rng.randint(1, 9)])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k string, v long, x long").withColumn("m", F.struct("v", "x"))
+    frames = {"back": (-48, 0), "short": (-16, 0), "ahead": (1, 33)}
+    got = {(r.k, r.v): r for r in sliced_frames(df, df, ["k"], "v", frames, {"s": ("sum", "x"), "m": ("max", "m")}).collect()}
+    assert set(got) == {(k, v) for k, v, _ in rows if k}
+    for (k, v), r in got.items():
+        for f, (lo, hi) in frames.items():
+            inside = [(w, x) for j, w, x in rows if j == k and v + lo <= w < v + hi]
+            xs = [x for _, x in inside if x is not None]
+            assert r[f"{f}_s"] == (sum(xs) if xs else None)
+            assert (None if r[f"{f}_m"] is None else tuple(r[f"{f}_m"])) == max(inside, key=lambda y: (y[0], y[1] or 0), default=None)
+
+
+def test_hot_key_on_timestamps_spreads(spark):
+    """One material with nine tenths of all orders, each at its own time: the windows' largest task stays near the median."""
+    from leadlane.operators.features import history_stats
+    n, minutes = 6000, 60
+    df = spark.range(n).select(
+        F.col("id").alias("production_number"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("M"), F.col("id") % 7)).otherwise("HOT").alias("material"),
+        F.lit("L").alias("production_line"), F.timestamp_micros((F.lit(1_700_000_000) + F.col("id") * 60 * minutes) * 1_000_000).alias("created_date"),
+        (F.col("id") % 13).cast("double").alias("actual_production_days"))
+    events = df.select("material", F.unix_micros("created_date").alias("v"), F.lit(1).cast("long").alias("c"))
+    plan = sliced_frames(events, events, ["material"], "v", {"f": (-90 * 86_400_000_000, 0)}, {"c": ("sum", "c")})
+    hot = {r.v: r.f_c for r in plan.where("material = 'HOT'").collect()}
+    times = sorted(hot)
+    assert all((hot[t] or 0) == sum(t - 90 * 86_400_000_000 <= u < t for u in times) for t in times[::97])
+    # The same slices as the window's groups, dealt over eight tasks.
+    length = 90 * 86_400_000_000 // 8
+    sizes = [r["count"] for r in events.withColumn("s", F.col("v") - F.pmod("v", F.lit(length))).repartition(8, "material", "s").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 3 * sorted(sizes)[len(sizes) // 2] and max(sizes) < n / 3
+    assert history_stats(df).where("material = 'HOT' and line_avg_production_time_90d is not null").count() > 5000
