@@ -12,8 +12,13 @@ from __future__ import annotations
 import json
 import math
 import random
+import threading
+import uuid
+from concurrent.futures import ThreadPoolExecutor, as_completed
+from concurrent.futures import TimeoutError as FuturesTimeout
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -126,33 +131,89 @@ def train_lead_time(df: DataFrame, features: list[str], test_size: float = 0.2,
 
 # --- M6 / M7 ---------------------------------------------------------------------------
 
+@dataclass
+class FoldVectors:
+    """Expanding folds over feature vectors that are written once: (row_index, test_fold, label, _y, features)."""
+    data: DataFrame
+    starts: dict[int, int]  # fold -> its first row
+    features: list[str]
+    log_target: bool
+
+    def fit_and_score(self, fold: int, params: dict, early_stop: bool):
+        """One fit on all rows before the fold, and E1 on the fold. ``early_stop``: the fold is also the set on which
+        boosting stops, as the source's search does."""
+        p = GBT_DEFAULTS | params
+        before, own = F.col("row_index") < self.starts[fold], F.coalesce(F.col("test_fold") == fold, F.lit(False))
+        if early_stop:
+            p |= {"validationIndicatorCol": "_is_val", "validationTol": 0.001}
+        train = self.data.where(before | own).withColumn("_is_val", own) if early_stop else self.data.where(before)
+        out = GBTRegressor(featuresCol="features", labelCol="_y", **p).fit(train).transform(self.data.where(own))
+        pred = F.greatest(F.expm1("prediction"), F.lit(0.0)) if self.log_target else F.col("prediction")
+        return regression_metrics(out.withColumn("predicted", pred), LABEL, "predicted").first()
+
+
+def fold_vectors(df: DataFrame, features: list[str], n_splits: int, log_target: bool = False) -> FoldVectors:
+    y = F.log1p(F.col(LABEL)) if log_target else F.col(LABEL).cast("double")
+    rows = align_features(cv_fold_assignment(df, n_splits), features).withColumn("_y", y)
+    rows = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows)
+    data = cut_lineage(rows.select("row_index", "test_fold", LABEL, "_y", "features"))
+    starts = data.where("test_fold is not null").groupBy("test_fold").agg(F.min("row_index").alias("start")).collect()  # one row a fold
+    return FoldVectors(data, {r.test_fold: r.start for r in starts}, features, log_target)
+
+
+def run_all(spark, jobs: dict, parallelism: int, timeout: float | None = None) -> dict:
+    """Results of the jobs (name -> function) that end within ``timeout`` seconds, run ``parallelism`` at a time from
+    driver threads; what still runs then is cancelled by its tag. An error in a job rises."""
+    tag, sc = f"leadlane-{uuid.uuid4().hex}", spark.sparkContext
+    late = threading.Event()
+
+    def tagged(fn):
+        def run():
+            if late.is_set():
+                return None
+            sc.addJobTag(tag)
+            try:
+                return fn()
+            finally:
+                sc.removeJobTag(tag)
+        return inheritable_thread_target(run)
+
+    done: dict = {}
+    with ThreadPoolExecutor(parallelism) as pool:
+        asked = {pool.submit(tagged(fn)): name for name, fn in jobs.items()}
+        try:
+            for f in as_completed(asked, timeout):
+                done[asked[f]] = f.result()
+        except FuturesTimeout:
+            pass
+        finally:  # also when a job failed: the others stop
+            late.set()
+            pool.shutdown(wait=False, cancel_futures=True)
+            if any(f.running() for f in asked):
+                sc.cancelJobsWithTag(tag)
+    return {k: v for k, v in done.items() if v is not None}
+
+
 def time_series_cv(df: DataFrame, features: list[str], n_splits: int = 5, params: dict | None = None,
-                   log_target: bool = False, folds: DataFrame | None = None) -> DataFrame:
+                   log_target: bool = False, parallelism: int = 4) -> DataFrame:
     """M6: expanding folds (train = everything before the fold). Returns per-fold
-    metrics plus mean and population std rows. ``folds``: the rows with their
-    assignment, written once by a caller that runs several models over them."""
-    folds = cut_lineage(cv_fold_assignment(df, n_splits)) if folds is None else folds
-    starts = folds.filter(F.col("test_fold").isNotNull()).groupBy("test_fold").agg(F.min("row_index").alias("start"))
-    parts = []
-    for k in range(1, n_splits + 1):
-        start = starts.filter(F.col("test_fold") == k)
-        train = folds.join(F.broadcast(start), F.col("row_index") < F.col("start"), "left_semi")
-        test = folds.filter(F.col("test_fold") == k)
-        m = fit_regressor(train, features, log_target=log_target, params=params)
-        parts.append(regression_metrics(m.predict(test), LABEL, "predicted").withColumn("fold", F.lit(k)))
-    per_fold = parts[0]
-    for p in parts[1:]:
-        per_fold = per_fold.unionByName(p)
-    per_fold = cut_lineage(per_fold)
+    metrics plus mean and population std rows. Folds are fitted ``parallelism`` at a time."""
+    folds = fold_vectors(df, features, n_splits, log_target)
+    got = run_all(df.sparkSession, {k: (lambda k=k: folds.fit_and_score(k, params or {}, False)) for k in sorted(folds.starts)}, parallelism)
+    per_fold = df.sparkSession.createDataFrame([(k, *(got[k][c] for c in ("n", "rmse", "mae", "r2"))) for k in sorted(got)],
+                                               "fold int, n long, rmse double, mae double, r2 double")
     summary = per_fold.agg(*[F.avg(c).alias(f"{c}_mean") for c in ("rmse", "mae", "r2")],
                            *[F.stddev_pop(c).alias(f"{c}_std") for c in ("rmse", "mae", "r2")])
-    return per_fold.select("fold", "n", "rmse", "mae", "r2").crossJoin(summary)
+    return per_fold.crossJoin(F.broadcast(summary))
 
 
+#: Ten parameters, in ranges as wide as the source's: trees, depth, rate, row and column shares, leaf size and gain as
+#: there; bins, loss and least leaf weight stand for its slope and penalties, which boosted trees of Spark lack.
 PARAM_SPACE = {
-    "maxDepth": ("int", 3, 8), "stepSize": ("log", 0.01, 0.3), "maxIter": ("int", 20, 120),
-    "subsamplingRate": ("float", 0.5, 1.0), "featureSubsetStrategy": ("choice", ["0.5", "0.7", "0.9", "all"]),
-    "minInstancesPerNode": ("int", 1, 10), "minInfoGain": ("log", 1e-4, 0.1), "maxBins": ("int", 16, 64),
+    "maxIter": ("int", 100, 800), "maxDepth": ("int", 3, 9), "stepSize": ("log", 0.01, 0.3),
+    "subsamplingRate": ("float", 0.5, 1.0), "featureSubsetStrategy": ("choice", ["0.5", "0.6", "0.7", "0.8", "0.9", "all"]),
+    "minInstancesPerNode": ("int", 1, 10), "minInfoGain": ("float", 0.0, 1.0), "maxBins": ("int", 16, 64),
+    "lossType": ("choice", ["squared", "absolute"]), "minWeightFractionPerNode": ("log", 1e-4, 0.05),
 }
 
 
@@ -177,17 +238,23 @@ def sample_params(n: int, seed: int = 42, space: dict | None = None) -> list[dic
 
 
 def random_search(df: DataFrame, features: list[str], n_trials: int = 5, n_splits: int = 3, seed: int = 42,
-                  space: dict | None = None):
-    """M7: seeded random search minimising mean RMSE of the expanding CV.
-    Returns (best params, trials DataFrame)."""
-    spark = df.sparkSession
+                  space: dict | None = None, parallelism: int = 5, timeout: float | None = None, log_target: bool = False):
+    """M7: seeded random search minimising mean RMSE of the expanding CV, with early stopping on the fold.
+    Returns (best params, trials DataFrame). All fits of all trials share one table of vectors and run
+    ``parallelism`` at a time; after ``timeout`` seconds the trials whose folds are all done are returned."""
+    folds = fold_vectors(df, features, n_splits, log_target)
+    drawn = sample_params(n_trials, seed, space)
+    jobs = {(i, k): (lambda p=p, k=k: folds.fit_and_score(k, p, True)) for i, p in enumerate(drawn) for k in sorted(folds.starts)}
+    got = run_all(df.sparkSession, jobs, parallelism, timeout)
     rows = []
-    folds = cut_lineage(cv_fold_assignment(df, n_splits))  # one assignment for all trials
-    for i, p in enumerate(sample_params(n_trials, seed, space)):
-        cv = time_series_cv(df, features, n_splits, params=p, folds=folds)
-        r = cv.select("rmse_mean", "mae_mean", "r2_mean").first()
-        rows.append((i, json.dumps(p), float(r[0]), float(r[1]), float(r[2])))
-    trials = spark.createDataFrame(rows, "trial int, params string, rmse_mean double, mae_mean double, r2_mean double")
+    for i, p in enumerate(drawn):
+        own = [got[i, k] for k in folds.starts if (i, k) in got]
+        if own and len(own) == len(folds.starts):
+            mean = [sum(r[c] for r in own) / len(own) if all(r[c] is not None for r in own) else None for c in ("rmse", "mae", "r2")]
+            rows.append((i, json.dumps(p), *mean))
+    if not rows:
+        raise TimeoutError(f"no trial ended within {timeout} s")
+    trials = df.sparkSession.createDataFrame(rows, "trial int, params string, rmse_mean double, mae_mean double, r2_mean double")
     best = min(rows, key=lambda t: t[2])
     return json.loads(best[1]), trials
 

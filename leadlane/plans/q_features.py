@@ -252,3 +252,65 @@ def q_interaction_features(spark, sf):
     df = FT.line_features(FT.material_features(FT.time_features(df)))
     df = FT.capacity_features(FT.interaction_features(df))
     return r6(df.select("production_number", *INTER_COLS))
+
+
+# --- W6-W9 on timestamps: each order created at its own second of the day ------------------
+
+HIST_TS_SQL = """
+select *, {fill} as fill,
+  case when material is null then null else avg(actual_production_days) over wm end as m_avg,
+  case when material is null then null
+       when count(actual_production_days) over wm = 1 then 0.0 else stddev_samp(actual_production_days) over wm end as m_std,
+  case when material is null then null else max(actual_production_days) over wm end as m_max,
+  case when material is null then null
+       else arg_max(actual_production_days, cast(s as hugeint) * 10000000000 + production_number) over wm end as m_last,
+  case when production_line is null then null else avg(actual_production_days) over wl end as l_avg,
+  case when material is null then 0 else count(*) over wm30 end as m_c30,
+  count(actual_production_days) over wg as g90
+from (select *, cast(created_date - date '1970-01-01' as bigint) * 86400 + production_number % 86400 as s from train) t
+window wm as (partition by material order by s range between 7776000 preceding and 1 preceding),
+       wl as (partition by production_line order by s range between 7776000 preceding and 1 preceding),
+       wm30 as (partition by material order by s range between 2592000 preceding and 1 preceding),
+       wg as (order by s range between 7776000 preceding and 1 preceding)""".format(
+    fill="avg(actual_production_days) over (order by s, production_number rows between unbounded preceding and current row)")
+
+
+def _timed(spark, sf):
+    """Training rows with created and planned times to the second."""
+    at = lambda c, step: F.timestamp_seconds(F.unix_date(c) * 86400 + F.col("production_number") * step % 86400)
+    return train_rows(Views(spark, sf)).withColumns({"created_date": at("created_date", 1), "planned_start_date": at("planned_start_date", 7)})
+
+
+@register("hist90_timestamps", S.over_enriched("""
+select production_number,
+  round(coalesce(m_avg, fill, 0), 6) as material_avg_production_time_90d,
+  round(coalesce(m_std, 0), 6) as material_std_production_time_90d,
+  round(coalesce(m_max, fill, 0), 6) as material_max_production_time_90d,
+  round(coalesce(m_last, fill, 0), 6) as material_last_production_time,
+  round(coalesce(l_avg, fill, 0), 6) as line_avg_production_time_90d,
+  cast(case when g90 > 0 then m_c30 else 0 end as double) as material_order_count_30d
+from h""", train=True, extra=[("h", HIST_TS_SQL)]))
+def q_hist90_timestamps(spark, sf):
+    df = FT.history_features(_timed(spark, sf))
+    return r6(df.select("production_number", "material_avg_production_time_90d", "material_std_production_time_90d",
+                        "material_max_production_time_90d", "material_last_production_time",
+                        "line_avg_production_time_90d", "material_order_count_30d"))
+
+
+def _forward_ts_sql(key: str, spans: list[int], prefix: str) -> str:
+    cols = ", ".join(f"""cast(count(b.production_number) filter (where b.p > a.s and b.p <= a.s + {d * 86400}) as double) as forward_{d}d_{prefix}_orders,
+  round(coalesce(sum(b.order_quantity) filter (where b.p > a.s and b.p <= a.s + {d * 86400}), 0), 6) as forward_{d}d_{prefix}_qty""" for d in spans)
+    return f"""select a.production_number, {cols} from timed a left join timed b
+  on a.{key} = b.{key} and a.production_number <> b.production_number and b.p > a.s and b.p <= a.s + {max(spans) * 86400}
+group by a.production_number"""
+
+
+@register("forward_load_timestamps", S.over_enriched(
+    "select * from lines join mats using (production_number)", train=True,
+    extra=[("timed", """select production_number, material, production_line, order_quantity,
+  cast(created_date - date '1970-01-01' as bigint) * 86400 + production_number % 86400 as s,
+  cast(planned_start_date - date '1970-01-01' as bigint) * 86400 + production_number * 7 % 86400 as p from train"""),
+           ("lines", _forward_ts_sql("production_line", [7, 14], "line")), ("mats", _forward_ts_sql("material", [7], "material"))]))
+def q_forward_load_timestamps(spark, sf):
+    df = FT.forward_load(_timed(spark, sf))
+    return r6(df.select("production_number", *[f"{p}_{x}" for _, _, p in FT.FORWARD_SPECS for x in ("orders", "qty")]))

@@ -7,7 +7,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from ..operators import evaluate as EV
 from ..operators import rollups as R
-from ..session import ensure_checkpoint_dir, remember_scratch
+from ..session import cut_lineage, ensure_checkpoint_dir, remember_scratch
 from ..sinks import writers as K
 from ..sources import envelopes as ENV
 from ..sources import extracts as X
@@ -49,6 +49,47 @@ def q_incremental_upsert_stream(spark, sf):
     return I.read_table(spark, f"{root}/table").select(*UPSERT_COLS)
 
 
+#: Extracts of a year each; some orders of the year before come along again, changed. Those of its last week are in time.
+RESENT = "production_number % 9 = 0"
+LATE_CTES = [
+    ("sent", f"""select production_number, material, order_quantity, created_date, cast(year(created_date) as bigint) as ingest_seq from history
+  union all select production_number, material, order_quantity + 1000, created_date, cast(year(created_date) + 1 as bigint) from history
+  where {RESENT} and year(created_date) < (select max(year(created_date)) from history)"""),
+    ("highs", "select ingest_seq, max(created_date) as high from sent group by ingest_seq"),
+    ("judged", """select s.*, coalesce(s.created_date < h.high - interval 7 day, false) as late from sent s
+  left join (select ingest_seq, max(high) over (order by ingest_seq rows between unbounded preceding and 1 preceding) as high from highs) h using (ingest_seq)""")]
+LATE_COLS = "select production_number, material, order_quantity, created_date, ingest_seq from judged where "
+
+
+def _yearly_sync(spark, sf):
+    """Lands an extract for each year, in order, one micro-batch each, and runs the bounded sync over them."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream/{uuid.uuid4().hex}"
+    remember_scratch(root)
+    h = Views(spark, sf).history.select(*UPSERT_COLS[:-1]).withColumn("y", F.year("created_date"))
+    first, last = h.agg(F.min("y"), F.max("y")).first()
+    again = h.where(RESENT).where(F.col("y") < last).withColumns({"order_quantity": F.col("order_quantity") + 1000, "y": F.col("y") + 1})
+    sent = cut_lineage(h.unionByName(again).withColumnRenamed("y", "ingest_seq").withColumn("ingest_seq", F.col("ingest_seq").cast("long")))
+    for y in range(first, last + 1):
+        sent.where(F.col("ingest_seq") == y).coalesce(1).write.mode("append").parquet(f"{root}/landing")
+        I.run_incremental(spark, f"{root}/landing", sent.schema, f"{root}/table", f"{root}/checkpoint", event="created_date", late_days=7)
+    return root, sent.schema
+
+
+@register("bounded_sync_stream", with_views(
+    LATE_COLS + "not late qualify row_number() over (partition by production_number order by ingest_seq desc) = 1", ["history"], LATE_CTES))
+def q_bounded_sync_stream(spark, sf):
+    """X1's late bound and X2: resent orders of the last seven days replace the stored ones, older ones do not."""
+    root, _ = _yearly_sync(spark, sf)
+    return I.read_table(spark, f"{root}/table").select(*UPSERT_COLS)
+
+
+@register("too_late_stream", with_views(LATE_COLS + "late", ["history"], LATE_CTES))
+def q_too_late_stream(spark, sf):
+    """X1's side output: the resent orders that came too late."""
+    root, schema = _yearly_sync(spark, sf)
+    return I.read_late(spark, f"{root}/table", schema, f"{root}/checkpoint").select(*UPSERT_COLS)
+
+
 ROW = StructType([StructField("production_number", LongType()), StructField("material", StringType()),
                   StructField("order_quantity", DoubleType())])
 

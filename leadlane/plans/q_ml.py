@@ -9,6 +9,7 @@ from ..operators import enrich as E
 from ..operators import evaluate as EV
 from ..operators import features as FT
 from ..operators import ml as ML
+from ..operators import robust as RB
 from ..operators import rollups as R
 from ..session import ensure_checkpoint_dir, remember_scratch
 from ..sources.fixtures import Views
@@ -45,6 +46,14 @@ def q_feature_importance(spark, sf):
     return spark.createDataFrame(model.importance(), "feature string, importance double")
 
 
+@register("huber_lead_time")
+def q_huber_lead_time(spark, sf):
+    """M4: robust regression with L1 and L2 penalties; train and test metrics."""
+    df, feats = _v4(spark, sf)
+    _, _, metrics = RB.train_huber_lead_time(df, feats)
+    return r6(metrics)
+
+
 @register("cv_metrics")
 def q_cv_metrics(spark, sf):
     df, feats = _v4(spark, sf)
