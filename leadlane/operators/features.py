@@ -15,11 +15,15 @@ from ..functions.clean import WEEKDAY_CAPACITY_COLUMNS, day_capacity
 from ..functions.dates import eps_div, fractional_days, weekday_mon0
 from ..session import cut_lineage
 from . import enrich as E
-from .scale import attach_group_agg, exact_quantiles, forward_table, range_table, running_totals, with_order_value
+from .scale import running_totals, with_order_value
+from .statistics import SourceStatistics, expanding_mean_table, global_running, labelled_gate  # noqa: F401
 
 TARGET = "actual_production_days"
 TIME_ORDER = ["created_date", "production_number"]
 
+# Statistics come from ``stats`` (SourceStatistics over ``source``, by default the rows themselves, or StateStatistics
+# over a stored history); each stage joins one table of them.
+
 HISTORY_COLUMNS = ["material_avg_production_time_90d", "material_std_production_time_90d",
                    "material_max_production_time_90d", "material_last_production_time",
                    "line_avg_production_time_90d", "material_line_avg_production_time_90d"]
@@ -55,14 +59,11 @@ def time_features(df: DataFrame) -> DataFrame:
 
 # --- W14 --------------------------------------------------------------------------
 
-def concurrent_load(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+def concurrent_load(df: DataFrame, source: DataFrame | None = None, stats=None) -> DataFrame:
     """Orders (non-null quantity) and quantity starting on the same planned day,
     and this order's share. Aggregate + join back, so a busy day is never one task.
     ``source`` (default ``df``) is the row set the statistics are taken over."""
-    out = attach_group_agg(df, ["planned_start_date"], {
-        "concurrent_orders_on_start": F.count("order_quantity").cast("double"),
-        "concurrent_qty_on_start": F.coalesce(F.sum("order_quantity"), F.lit(0.0)),
-    }, source=source)
+    out = df.join((stats or SourceStatistics(source if source is not None else df)).starting(), "planned_start_date", "left")
     return out.withColumn("qty_share_of_day", eps_div("order_quantity", "concurrent_qty_on_start"))
 
 
@@ -72,13 +73,11 @@ FORWARD_SPECS = [("production_line", 7, "forward_7d_line"), ("production_line",
                  ("material", 7, "forward_7d_material")]
 
 
-def forward_load(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+def forward_load(df: DataFrame, source: DataFrame | None = None, stats=None) -> DataFrame:
     """*other* orders whose planned start falls in (created, created + k days],
     same line (7 and 14 days) and same material (7 days). Null key -> 0."""
-    src = source if source is not None else df
-    src, unit = with_order_value(src, "created_date", "_fv")
-    src, _ = with_order_value(src, "planned_start_date", "_ev")
-    out, _ = with_order_value(df, "created_date", "_fv")
+    stats = stats or SourceStatistics(source if source is not None else df)
+    out, unit = with_order_value(df, "created_date", "_fv")
     out, _ = with_order_value(out, "planned_start_date", "_ev")
     by_key: dict[str, dict[str, int]] = {}
     for key, days, prefix in FORWARD_SPECS:
@@ -87,7 +86,7 @@ def forward_load(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
         if key not in df.columns:
             out = out.withColumns({f"{p}_{s}": F.lit(0.0) for p in spans for s in ("orders", "qty")})
             continue
-        table = forward_table(src, key, "_fv", "_ev", "order_quantity", unit, {f"_fw{p}": d for p, d in spans.items()})
+        table = stats.forward(key, {f"_fw{p}": d for p, d in spans.items()})
         out = out.join(table, [key, "_fv"], "left")
         for prefix, days in spans.items():
             own = F.coalesce((F.col("_ev") > F.col("_fv")) & (F.col("_ev") <= F.col("_fv") + F.lit(days * unit))
@@ -103,10 +102,10 @@ def forward_load(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
 
 # --- P5-P7, W15 ---------------------------------------------------------------------
 
-def material_features(df: DataFrame, approx_percentile: bool = False, source: DataFrame | None = None) -> DataFrame:
+def material_features(df: DataFrame, approx_percentile: bool = False, source: DataFrame | None = None, stats=None) -> DataFrame:
     """Family, complexity, log quantity, flags, large-order flag
     against the P95 quantity of ``source``, ratio to the material's mean quantity."""
-    src = source if source is not None else df
+    stats = stats or SourceStatistics(source if source is not None else df)
     q = F.col("order_quantity")
     out = df.withColumns({
         "material_family": F.substring(F.col("material"), 1, 8),
@@ -116,25 +115,23 @@ def material_features(df: DataFrame, approx_percentile: bool = False, source: Da
         "mrp_controller_encoded": (F.coalesce(F.col("mrp_controller") == "CVC", F.lit(False)).cast("int")
                                    if "mrp_controller" in df.columns else F.lit(0)),
     })
-    p95 = (src.agg(F.percentile_approx("order_quantity", 0.95, 100000).cast("double").alias("_p95"))
-           if approx_percentile else exact_quantiles(src, "order_quantity", [0.95], ["_p95"]))
+    p95 = stats.quantity_p95(approx_percentile)
     # one-row table: broadcasting it is bounded by construction
     out = out.crossJoin(F.broadcast(p95)) \
         .withColumn("is_large_order", F.coalesce(q > F.col("_p95"), F.lit(False)).cast("int")).drop("_p95")
-    out = attach_group_agg(out, ["material"], {"_mat_avg_qty": F.avg("order_quantity")}, source=src)
+    out = out.join(stats.material_quantity(), "material", "left")
     return out.withColumn("qty_ratio_to_material_avg", eps_div("order_quantity", "_mat_avg_qty")) \
         .drop("_mat_avg_qty")
 
 
 # --- A30, P8, P9 --------------------------------------------------------------------
 
-def line_features(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+def line_features(df: DataFrame, source: DataFrame | None = None, stats=None) -> DataFrame:
     """Line frequency (null line -> 0), expected time, utilisation,
     capacity of the planned-start weekday."""
     q = F.col("order_quantity")
     if "production_line" in df.columns:
-        out = attach_group_agg(df, ["production_line"], {"production_line_freq": F.count(F.lit(1)).cast("double")},
-                               source=source)
+        out = df.join((stats or SourceStatistics(source if source is not None else df)).line_orders(), "production_line", "left")
         out = out.fillna(0.0, subset=["production_line_freq"])
     else:
         out = df.withColumn("production_line_freq", F.lit(0.0))
@@ -155,7 +152,7 @@ def _var_from_sums(n, s, s2):
 
 
 def history_stats(df: DataFrame, lookback_days: int = 90, count_days: int = 30,
-                  target: str = TARGET, source: DataFrame | None = None) -> DataFrame:
+                  target: str = TARGET, source: DataFrame | None = None, stats=None) -> DataFrame:
     """W6/W7 raw: statistics of labelled orders created in [created - 90 d, created)
     for the same material, line and (material, line); 30-day material order
     count (only when any labelled order exists in the 90-day window across all
@@ -163,17 +160,12 @@ def history_stats(df: DataFrame, lookback_days: int = 90, count_days: int = 30,
 
     Each statistic is a window over one row per (key, creation day), joined
     back on (key, day): work per key is bounded by its number of days."""
-    src, unit = with_order_value(source if source is not None else df, "created_date", "_ov")
+    stats = stats or SourceStatistics(source if source is not None else df, target)
     out, _ = with_order_value(df, "created_date", "_ov")
-    y = F.col(target)
-    last_key = F.struct(F.unix_micros(F.col("created_date").cast("timestamp")).alias("t"),
-                        F.col("production_number").alias("k"), y.alias("y"))
-    mat = range_table(src, ["material"], "_ov", unit, -lookback_days,
-                      {"_n": F.count(y), "_s": F.sum(y), "_s2": F.sum(y * y), "_mx": F.max(y),
-                       "_last": F.max(F.when(y.isNotNull(), last_key)), "_c": F.count(F.lit(1))},
-                      {"_mn": ("sum", "_n"), "_ms": ("sum", "_s"), "_ms2": ("sum", "_s2"),
-                       "material_max_production_time_90d": ("max", "_mx"), "_mlast": ("max", "_last")},
-                      extra_frames={-count_days: {"_c30": ("sum", "_c")}})
+    mat = stats.look_back(["material"], {
+        -lookback_days: {"_mn": ("sum", "_n"), "_ms": ("sum", "_s"), "_ms2": ("sum", "_s2"),
+                         "material_max_production_time_90d": ("max", "_mx"), "_mlast": ("max", "_last")},
+        -count_days: {"_c30": ("sum", "_c")}})
     out = out.join(mat, ["material", "_ov"], "left")
     out = out.withColumns({
         "material_avg_production_time_90d": F.when(F.col("_mn") > 0, F.col("_ms") / F.col("_mn")),
@@ -186,47 +178,16 @@ def history_stats(df: DataFrame, lookback_days: int = 90, count_days: int = 30,
         if not all(k in df.columns for k in keys):
             out = out.withColumn(name, F.lit(None).cast("double"))
             continue
-        t = range_table(src, keys, "_ov", unit, -lookback_days, {"_n": F.count(y), "_s": F.sum(y)},
-                        {"_wn": ("sum", "_n"), "_ws": ("sum", "_s")})
+        t = stats.look_back(keys, {-lookback_days: {"_wn": ("sum", "_n"), "_ws": ("sum", "_s")}})
         out = out.join(t, keys + ["_ov"], "left") \
             .withColumn(name, F.when(F.col("_wn") > 0, F.col("_ws") / F.col("_wn"))).drop("_wn", "_ws")
-    out = out.join(labelled_gate(src, y, unit, lookback_days), ["_ov"], "left")
+    out = out.join(stats.gate(lookback_days), ["_ov"], "left")
     return out.withColumn("material_order_count_30d",
                           F.when(F.coalesce(F.col("_g90"), F.lit(0)) > 0,
                                  F.coalesce(F.col("_c30"), F.lit(0))).otherwise(0).cast("double")) \
         .drop("_c30", "_g90", "_ov")
 
 
-def labelled_gate(src: DataFrame, y, unit: int, lookback_days: int) -> DataFrame:
-    """Per creation value t: the number ``_g90`` of labelled orders created in [t - look-back, t), over all keys.
-
-    Each value is shifted to where it enters and leaves a look-back; running
-    totals along the values (range-partitioned, so timestamps that are all
-    distinct spread over the tasks) give the count as a difference.
-    """
-    day = src.filter(F.col("_ov").isNotNull()).groupBy("_ov").agg(F.count(y).alias("_g"))
-    # At one value, kind 1 asks before kind 2 enters or leaves: rows created at t aren't earlier than t, and rows
-    # created exactly a look-back before t still count.
-    marks = day.select(F.explode(F.array(
-        F.struct((F.col("_ov") + lookback_days * unit).alias("v"), F.lit(2).alias("kind"), F.col("_ov").alias("src"), (-F.col("_g")).alias("g")),
-        F.struct(F.col("_ov").alias("v"), F.lit(1).alias("kind"), F.col("_ov").alias("src"), F.lit(0).cast("long").alias("g")),
-        F.struct(F.col("_ov").alias("v"), F.lit(2).alias("kind"), F.col("_ov").alias("src"), F.col("_g").alias("g")))).alias("m")).select(
-        "m.v", "m.kind", "m.src", "m.g")
-    rt = running_totals(marks, ["v", "kind", "src"], ["v", "kind", "src"], {"_g90": F.col("g")})
-    return rt.filter("kind = 1").select(F.col("src").alias("_ov"), "_g90")
-
-
-def expanding_mean_table(source: DataFrame, target: str = TARGET, name: str = "_expanding_mean",
-                         strict: bool = False, keys: list[str] | None = None) -> DataFrame:
-    """W10/W11-W13 table ``(production_number, name)``: mean of the non-null target
-    over earlier orders in time order (per ``keys`` if given; the current order
-    is included unless ``strict``). Null when there is none."""
-    rt = running_totals(source, ["production_number"], TIME_ORDER,
-                        {"_es": F.col(target), "_en": F.col(target).isNotNull().cast("long")},
-                        keys=keys, inclusive=not strict)
-    return rt.select("production_number", F.when(F.col("_en") > 0, F.col("_es") / F.col("_en")).alias(name))
-
-
 def expanding_mean(df: DataFrame, target: str = TARGET, name: str = "_expanding_mean",
                    strict: bool = False, source: DataFrame | None = None) -> DataFrame:
     """W10 / W13 attached to rows."""
@@ -234,28 +195,13 @@ def expanding_mean(df: DataFrame, target: str = TARGET, name: str = "_expanding_
     return df.join(t, "production_number", "left")
 
 
-def global_running(source: DataFrame, target: str = TARGET) -> DataFrame:
-    """One pass of global running totals in time order giving both the inclusive
-    (W10) and the strictly-earlier (W13) mean target per order."""
-    y = F.col(target)
-    rt = running_totals(source.select("production_number", *TIME_ORDER, target), ["production_number"], TIME_ORDER,
-                        {"_es": y, "_en": y.isNotNull().cast("long")}, inclusive=True)
-    own = source.select("production_number", F.coalesce(y, F.lit(0.0)).alias("_oy"),
-                        y.isNotNull().cast("long").alias("_on"))
-    j = rt.join(own, "production_number")
-    return j.select("production_number",
-                    F.when(F.col("_en") > 0, F.col("_es") / F.col("_en")).alias("_incl_mean"),
-                    F.when(F.col("_en") - F.col("_on") > 0,
-                           (F.col("_es") - F.col("_oy")) / (F.col("_en") - F.col("_on"))).alias("_strict_mean"))
-
-
 def history_features(df: DataFrame, lookback_days: int = 90, strict_fill: bool = False,
                      target: str = TARGET, source: DataFrame | None = None,
-                     global_means: DataFrame | None = None) -> DataFrame:
+                     global_means: DataFrame | None = None, stats=None) -> DataFrame:
     """W6/W7 + W10 fill + P10. Missing averages/max/last take the expanding mean
     (inclusive of the current order unless ``strict_fill``), std takes 0, then 0."""
     src = source if source is not None else df
-    out = history_stats(df, lookback_days, target=target, source=src)
+    out = history_stats(df, lookback_days, target=target, source=src, stats=stats)
     if global_means is not None:
         out = out.join(global_means.select("production_number",
                                            F.col("_strict_mean" if strict_fill else "_incl_mean").alias("_fill")),
@@ -272,7 +218,7 @@ def history_features(df: DataFrame, lookback_days: int = 90, strict_fill: bool =
 # --- W11-W13 --------------------------------------------------------------------------
 
 def target_encoding(df: DataFrame, target: str = TARGET, source: DataFrame | None = None,
-                    global_means: DataFrame | None = None) -> DataFrame:
+                    global_means: DataFrame | None = None, stats=None) -> DataFrame:
     """Mean target of strictly earlier orders of the same material / line
     (null keys form their own group); fallback global strictly-earlier mean, then 0."""
     src = source if source is not None else df
@@ -283,7 +229,7 @@ def target_encoding(df: DataFrame, target: str = TARGET, source: DataFrame | Non
     if "production_line" in df.columns:
         specs.append(("production_line", "line_target_encoded"))
     for key, name in specs:
-        t = expanding_mean_table(src, target, "_te", strict=True, keys=[key])
+        t = (stats or SourceStatistics(src, target)).expanding(key)
         out = out.join(t, "production_number", "left") \
             .withColumn(name, F.coalesce(F.col("_te"), F.col("_global_prev"), F.lit(0.0))).drop("_te")
     return out.drop("_global_prev")
@@ -318,12 +264,15 @@ def capacity_features(df: DataFrame) -> DataFrame:
 # --- pipeline ---------------------------------------------------------------------------
 
 def features_v4(enriched: DataFrame, training: bool = True, max_wait_days: float | None = 3.0,
-                strict_fill: bool = False, approx_percentiles: bool = False, materialize: bool = True) -> DataFrame:
+                strict_fill: bool = False, approx_percentiles: bool = False, materialize: bool = True,
+                state=None) -> DataFrame:
     """Full v4 feature table. ``training=True`` applies T2 -> F3 -> T3 -> F4 first;
     ``training=False`` (P16) keeps every order and the target where known.
 
     Every statistic is computed from the same base row set and joined back by
     its natural key, so the plan grows linearly with the number of stages.
+    ``state`` (a HistoryState): the rows are new orders; statistics are looked up
+    in the stored history and take the new orders into account too.
     """
     base = E.training_rows(enriched, max_wait_days, approx_percentiles) if training else E.lead_time_target(enriched)
     base = time_features(base)
@@ -333,13 +282,14 @@ def features_v4(enriched: DataFrame, training: bool = True, max_wait_days: float
         base = cut_lineage(base)
     # Statistics read and carry only the few columns that they need; the wide rows join their result once.
     slim = base.select(*[c for c in STATISTICS_READ if c in base.columns])
-    df = concurrent_load(slim, source=slim)
-    df = forward_load(df, source=slim)
-    df = material_features(df, approx_percentiles, source=slim)
-    df = line_features(df, source=slim)
-    gm = global_running(slim)  # W10 and W13 from one pass
-    df = history_features(df, strict_fill=strict_fill, source=slim, global_means=gm)
-    df = target_encoding(df, source=slim, global_means=gm)
+    stats = SourceStatistics(slim) if state is None else state.statistics(slim)
+    df = concurrent_load(slim, stats=stats)
+    df = forward_load(df, stats=stats)
+    df = material_features(df, approx_percentiles, stats=stats)
+    df = line_features(df, stats=stats)
+    gm = stats.global_means()  # W10 and W13 from one pass
+    df = history_features(df, strict_fill=strict_fill, global_means=gm, stats=stats)
+    df = target_encoding(df, global_means=gm, stats=stats)
     made = [c for c in df.columns if c not in slim.columns]
     df = base.join(df.select("production_number", *made), "production_number")
     df = interaction_features(df)

@@ -176,7 +176,7 @@ def run_all(spark, jobs: dict, parallelism: int, timeout: float | None = None) -
                 return fn()
             finally:
                 sc.removeJobTag(tag)
-        return inheritable_thread_target(run)
+        return inheritable_thread_target(spark)(run)
 
     done: dict = {}
     with ThreadPoolExecutor(parallelism) as pool:

@@ -147,9 +147,13 @@ def range_table(source: DataFrame, keys: list[str], ov: str, unit: int, lo_days:
 
     Dates have few values a key, so one window over the values does; timestamps (``unit`` in micro-seconds) have as
     many as there are orders, and go by slices of time (``sliced_frames``)."""
-    parts = (source.filter(all_not_null(keys + [ov]))
-             .groupBy(*keys, ov).agg(*[v.alias(n) for n, v in per_value_aggs.items()]))
-    frames = {lo_days: window_aggs} | (extra_frames or {})
+    parts = source.groupBy(*keys, ov).agg(*[v.alias(n) for n, v in per_value_aggs.items()])
+    return range_over(parts, keys, ov, unit, {lo_days: window_aggs} | (extra_frames or {}))
+
+
+def range_over(parts: DataFrame, keys: list[str], ov: str, unit: int, frames: dict[int, dict[str, tuple[str, str]]]) -> DataFrame:
+    """``range_table`` from its partial aggregates, one row per (key, value); ``frames``: look-back in days -> aggregates."""
+    parts = parts.filter(all_not_null(keys + [ov]))
     if unit > 1:
         every = {k: v for aggs in frames.values() for k, v in aggs.items()}
         t = sliced_frames(parts, parts, keys, ov, {f"f{-lo}": (lo * unit, 0) for lo in frames}, every)
@@ -171,11 +175,14 @@ def forward_table(source: DataFrame, key: str, from_ov: str, event_ov: str, qty_
     are added with zero weight and one range window over the union answers all
     queries, by slices of time where values are timestamps. The caller subtracts the row's own event when it falls inside.
     """
-    events = (source.filter(F.col(key).isNotNull() & F.col(event_ov).isNotNull())
-              .groupBy(key, F.col(event_ov).alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_n"), F.sum(qty_col).alias("_q"))
-              .withColumn("_probe", F.lit(False)))
-    probes = (source.filter(F.col(key).isNotNull() & F.col(from_ov).isNotNull())
+    events = source.groupBy(key, F.col(event_ov).alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.sum(qty_col).alias("_q"))
+    return forward_over(events, source, key, from_ov, unit, spans)
+
+
+def forward_over(events: DataFrame, asked: DataFrame, key: str, from_ov: str, unit: int, spans: dict[str, int]) -> DataFrame:
+    """``forward_table`` from events counted per (key, ``_v``), for the values that ``asked`` has."""
+    events = events.where(all_not_null([key, "_v"])).select(key, "_v", "_n", "_q", F.lit(False).alias("_probe"))
+    probes = (asked.filter(F.col(key).isNotNull() & F.col(from_ov).isNotNull())
               .select(key, F.col(from_ov).alias("_v")).distinct()
               .withColumns({"_n": F.lit(0).cast("long"), "_q": F.lit(None).cast("double"),
                             "_probe": F.lit(True)}))
@@ -239,7 +246,13 @@ def exact_quantiles(source: DataFrame, col: str, probs: list[float], names: list
     value order come from range-partitioned running totals, and the two order
     statistics around position (n - 1) * p are found with a range lookup.
     """
-    counts = source.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = source.groupBy(F.col(col).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    return quantiles_of_counts(counts, probs, names)
+
+
+def quantiles_of_counts(counts: DataFrame, probs: list[float], names: list[str]) -> DataFrame:
+    """``exact_quantiles`` of values that are counted already: (_x, _c), one row a value."""
+    counts = counts.where("_x is not null")
     rt = running_totals(counts, ["_x"], ["_x"], {"_below": F.col("_c")}, inclusive=False)
     table = counts.join(rt, "_x")  # value x occupies 0-based ranks [_below, _below + _c)
     n = counts.agg(F.sum("_c").alias("_n"))

@@ -1,11 +1,15 @@
 """Standards, finish forecast, material-level metrics, top risk and prediction mode."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import enrich as E
 from ..operators import ml as ML
 from ..operators import rollups as R
 from ..operators import scoring as SCO
+from ..operators.statistics import HistoryState
+from ..session import ensure_checkpoint_dir, remember_scratch
 from ..sources.fixtures import Views, with_views
 from .q_rollups import MT, SE, over_scored, scored_enriched
 from . import sqlparts as S
@@ -133,3 +137,39 @@ def q_prediction_mode(spark, sf):
     new = E.basic_features(E.join_shortage(SCO.prepare_new_orders(E.pending_orders(v.history), v.fg, v.capacity),
                                            v.shortage))
     return r6(SCO.score_features(hist, new).select("production_number", *_v4_columns()))
+
+
+def _history_and_new(spark, sf):
+    v = Views(spark, sf)
+    hist = E.enrich(v.history, v.fg, v.capacity, v.shortage, completed_only=True)
+    new = E.basic_features(E.join_shortage(SCO.prepare_new_orders(E.pending_orders(v.history), v.fg, v.capacity), v.shortage))
+    return hist, new
+
+
+def _stored_state(spark, hist):
+    """A history state, written and read back as scoring would find it."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/state/{uuid.uuid4().hex}"
+    remember_scratch(path)
+    SCO.build_state(hist).save(path)
+    return HistoryState.load(spark, path)
+
+
+@register("uploaded_orders_features", _prediction_oracle())
+def q_uploaded_orders_features(spark, sf):
+    """The features of new orders by look-up in the stored history, equal to those over history and new orders."""
+    from ..operators import features as FT
+    hist, new = _history_and_new(spark, sf)
+    return r6(FT.features_v4(new, training=False, state=_stored_state(spark, hist)).select("production_number", *_v4_columns()))
+
+
+@register("uploaded_orders_prediction")
+def q_uploaded_orders_prediction(spark, sf):
+    """Open orders scored with a saved model and a stored history state."""
+    from ..operators import features as FT
+    from ..operators import robust as RB
+    hist, new = _history_and_new(spark, sf)
+    df = FT.features_v4(hist)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
+    remember_scratch(path)
+    RB.fit_huber(df, FT.feature_columns(df)).save(path)
+    return r6(SCO.score_uploaded(new, _stored_state(spark, hist), RB.HuberModel.load(spark, path)))
