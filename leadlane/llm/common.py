@@ -41,6 +41,11 @@ def tag_of(*cols) -> F.Column:
     return F.xxhash64(*cols).bitwiseAND(F.lit(0x7FFFFFFF))
 
 
+def text_tag(col) -> F.Column:
+    """128 bits that tell rows of the same doc_id but another text apart (null counts as its own value)."""
+    return F.coalesce(F.unhex(F.md5(F.col(col).cast("string").cast("binary"))), F.lit(b""))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list, as (node, component = smallest node reachable).
 

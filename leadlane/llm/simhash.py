@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import components, table, tag_of, words
+from .common import components, table, text_tag, words
 
 SHINGLE, RADIUS, LIMIT, SEED, BLOCK = 3, 2, 512, 42, 8192
 FULL = (1 << 64) - 1
@@ -53,8 +53,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "tag", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of("text").alias("tag"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, tag long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_tag("text").alias("tag"), F.col("text").cast("string").alias("text")).mapInArrow(
+        run, "doc_id long, tag binary, fp long")
 
 
 def band_masks(fixed: int, radius: int) -> list[int]:
@@ -196,6 +196,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     one = near_duplicates(docs.select("doc_id", "text")).groupBy("group").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("one"))
     one = cut_lineage(one.select(F.col("one.doc_id").alias("_o_id"), F.col("one.tag").alias("_o_tag")))
-    d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_d_id"), tag_of("text").alias("_d_tag"))
+    d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_d_id"), text_tag("text").alias("_d_tag"))
     stays = d.join(one, F.col("_d_id").eqNullSafe(F.col("_o_id")) & (F.col("_d_tag") == F.col("_o_tag")), "left_semi")
     return stays.dropDuplicates(["_d_id", "_d_tag"]).select("row.*")

@@ -112,3 +112,23 @@ def test_components_of_long_paths_and_hubs(spark):
         spark.range(1000, 3000).select(F.lit(2500).cast("long"), "id")).unionAll(spark.createDataFrame([(5, 5), (None, 3)], "a long, b long"))
     got = {r.node: r.component for r in components(e.repartition(7)).collect()}
     assert {v for k, v in got.items() if k <= 400} == {0} and {v for k, v in got.items() if k >= 1000} == {1000} and len(got) == 401 + 2000
+
+
+def texts_with_equal_31_bits():
+    """Two texts of different words whose 64-bit hashes agree in 31 bits."""
+    import xxhash
+
+    seen, i = {}, 0
+    while True:
+        t = f"a{i} b{i * 7} c{i * 13} d{i}"
+        if (k := xxhash.xxh64_intdigest(t.encode(), 42) & 0x7FFFFFFF) in seen:
+            return seen[k], t
+        seen[k] = t
+        i += 1
+
+
+def test_rows_without_id_are_told_apart_by_128_bits(spark):
+    x, y = texts_with_equal_31_bits()
+    df = spark.createDataFrame([(None, x), (None, y), (7, "other words in here"), (None, x)], "doc_id long, text string")
+    assert len({r.component_id for r in S.near_duplicates(df).collect()}) == 2  # 7, and null for those without an id
+    assert sorted(r.text for r in S.one_of_each(df).collect()) == sorted([x, y, "other words in here"])
