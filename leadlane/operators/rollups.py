@@ -332,28 +332,22 @@ def neighbourhood_delay(reference: DataFrame, probes: DataFrame, col: str, probe
                         radius: float = 5.0) -> DataFrame:
     """Delay rate of reference orders with |x - v| <= radius for each probe v.
 
-    Values are bucketed by width 2*radius; each reference value is copied to
-    the (at most two) buckets its neighbourhood touches, so a range window
-    inside each bucket is exact and no bucket spans more than 2*radius.
+    Reference rows are counted per value; running counts along the values
+    (range-partitioned, so a crowded stretch spreads over tasks) are looked up
+    at both ends of each distinct probe's neighbourhood, and their difference
+    is the answer.
     """
-    width = 2 * radius
-    ref = reference.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c"), F.sum("is_delayed").alias("_d"))
-    ref = ref.withColumn("_b", F.explode(F.array_distinct(F.array(
-        F.floor((F.col("_v") - radius) / width), F.floor((F.col("_v") + radius) / width)))))
-    keyed = probes.select(F.col(probe_key).alias("_key"), F.col(col).alias("_v")).filter(F.col("_v").isNotNull())
-    # One probe a distinct value: many probes of one value never meet in one window task.
-    pr = keyed.select("_v").distinct().withColumn("_b", F.floor(F.col("_v") / width))
-    u = ref.select("_v", "_b", "_c", "_d", F.lit(False).alias("_probe")) \
-        .unionByName(pr.select("_v", "_b", F.lit(0).cast("long").alias("_c"),
-                               F.lit(0).cast("long").alias("_d"), F.lit(True).alias("_probe")))
-    if float(radius).is_integer():
-        w = Window.partitionBy("_b").orderBy("_v").rangeBetween(-int(radius), int(radius))
-    else:  # frame bounds must be integral: order by value / radius, frame [-1, 1]
-        u = u.withColumn("_vs", F.col("_v") / radius)
-        w = Window.partitionBy("_b").orderBy("_vs").rangeBetween(-1, 1)
-    seen = u.select("_v", "_probe", F.sum("_c").over(w).alias("similar"),
-                    F.sum("_d").over(w).alias("_delayed")).filter("_probe").drop("_probe")
+    ref = reference.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("_at")).agg(
+        F.count(F.lit(1)).alias("_c"), F.sum("is_delayed").cast("long").alias("_d"))
+    keyed = probes.select(F.col(probe_key).alias("_key"), F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    # At one value the lower end (0) asks before the reference's rows (1) count, the upper end (2) after them.
+    ends = keyed.select("_v").distinct().select("_v", F.explode(F.array(
+        F.struct((F.col("_v") - radius).alias("at"), F.lit(0).alias("kind")), F.struct((F.col("_v") + radius).alias("at"), F.lit(2).alias("kind")))).alias("e"))
+    marks = ref.select("_at", F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_v"), "_c", "_d").unionByName(
+        ends.select(F.col("e.at").alias("_at"), F.col("e.kind").alias("_kind"), "_v", F.lit(0).cast("long").alias("_c"), F.lit(0).cast("long").alias("_d")))
+    rt = running_totals(marks, ["_at", "_kind", "_v"], ["_at", "_kind", "_v"], {"_n": F.col("_c"), "_late": F.col("_d")})
+    signed = lambda c: F.sum(F.when(F.col("_kind") == 2, F.col(c)).otherwise(-F.col(c)))
+    seen = rt.where("_kind != 1").groupBy("_v").agg(signed("_n").alias("similar"), signed("_late").alias("_delayed"))
     out = keyed.join(seen, "_v")
     return out.select(F.col("_key").alias(probe_key), F.col("_v").alias(col), "similar",
                       F.when(F.col("similar") > 0, F.col("_delayed") / F.col("similar")).alias("delay_rate"))

@@ -277,20 +277,18 @@ def group_medians(source: DataFrame, key: str, cols: dict[str, str]) -> DataFram
     The per-group form of ``exact_quantiles``: values are counted per (key,
     value), ranks come from range-partitioned running totals, and the two
     middle values are picked by an aggregate. A hot key's values spread over
-    the ranges instead of meeting in one task.
+    the ranges instead of meeting in one task. The columns are stacked as rows,
+    so all of them take one shuffle and one running total.
     """
-    out = None
-    for name, col in cols.items():
-        counts = cut_lineage(source.filter(F.col(key).isNotNull() & F.col(col).isNotNull())
-                             .groupBy(key, F.col(col).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c")))
-        rt = running_totals(counts, [key, "_x"], ["_x"], {"_below": F.col("_c")}, keys=[key], inclusive=False)
-        n = counts.groupBy(key).agg(F.sum("_c").alias("_n"))
-        t = counts.join(rt, [key, "_x"]).join(n, key)
-        holds = lambda k: F.max(F.when((F.col("_below") <= k) & (k < F.col("_below") + F.col("_c")), F.col("_x")))
-        lo, hi = holds(F.floor((F.col("_n") - 1) / 2)), holds(F.floor(F.col("_n") / 2))
-        m = t.groupBy(key).agg(((lo + hi) / 2).alias(name))
-        out = m if out is None else out.join(m, key, "full")
-    return out
+    stacked = source.filter(F.col(key).isNotNull()).select(key, F.explode(F.array(*[
+        F.struct(F.lit(name).alias("m"), F.col(col).cast("double").alias("x")) for name, col in cols.items()])).alias("s"))
+    counts = cut_lineage(stacked.select(key, F.col("s.m").alias("_m"), F.col("s.x").alias("_x")).where("_x is not null")
+                         .groupBy(key, "_m", "_x").agg(F.count(F.lit(1)).alias("_c")))
+    rt = running_totals(counts, [key, "_m", "_x", "_c"], ["_x"], {"_below": F.col("_c")}, keys=[key, "_m"], inclusive=False)
+    t = rt.join(counts.groupBy(key, "_m").agg(F.sum("_c").alias("_n")), [key, "_m"])
+    holds = lambda name, k: F.max(F.when((F.col("_m") == name) & (F.col("_below") <= k) & (k < F.col("_below") + F.col("_c")), F.col("_x")))
+    lo, hi = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    return t.groupBy(key).agg(*[((holds(name, lo) + holds(name, hi)) / 2).alias(name) for name in cols])
 
 
 def category_codes(df: DataFrame, col: str, out: str) -> DataFrame:

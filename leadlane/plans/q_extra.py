@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import diagnostics as DG
 from ..operators import enrich as E
 from ..operators import ml as ML
 from ..operators import rollups as R
@@ -173,3 +174,42 @@ def q_uploaded_orders_prediction(spark, sf):
     remember_scratch(path)
     RB.fit_huber(df, FT.feature_columns(df)).save(path)
     return r6(SCO.score_uploaded(new, _stored_state(spark, hist), RB.HuberModel.load(spark, path)))
+
+
+# --- master-data diagnostics ----------------------------------------------------------------
+
+MASTER_LONG = """
+select material, production_line, metric, value from (
+  select material, production_line, unnest(['total_production_time', 'constraint_factor', 'implied_daily_capacity', 'production_complexity']) as metric,
+    unnest([total_production_time, constraint_factor, 1.0 / nullif(total_production_time, 0), total_production_time * constraint_factor]) as value from fg) t
+where value is not null"""
+
+
+@register("master_profile", with_views(f"""
+select metric, n, n_distinct, round(min_value, 6) as min_value, round(max_value, 6) as max_value, round(mean_value, 6) as mean_value,
+  round(mean_value / max(case when metric = 'implied_daily_capacity' then mean_value end) over (), 6) as times_implied
+from (select metric, count(*) as n, count(distinct value) as n_distinct, min(value) as min_value, max(value) as max_value, avg(value) as mean_value
+      from ({MASTER_LONG}) l group by metric) t""", ["fg"]))
+def q_master_profile(spark, sf):
+    return r6(DG.master_profile(Views(spark, sf).fg))
+
+
+@register("master_ranks", with_views(f"""
+select material, production_line, metric, round(value, 6) as value, rank() over (partition by metric order by value desc) as rank,
+  count(*) over (partition by metric) as n from ({MASTER_LONG}) l""", ["fg"]))
+def q_master_ranks(spark, sf):
+    return r6(DG.master_ranks(Views(spark, sf).fg))
+
+
+@register("order_drilldown", S.over_enriched("""
+select production_number, material, metric, round(value, 6) as value from (
+  select production_number, material,
+    unnest(['order_quantity', 'total_production_time', 'constraint_factor', 'line_capacity', 'qty_capacity_ratio', 'expected_production_days',
+            'production_complexity', 'days_by_line_capacity', 'days_by_time', 'days_by_constraint']) as metric,
+    unnest([cast(order_quantity as double), total_production_time, constraint_factor, line_capacity, qty_capacity_ratio, expected_production_days,
+            total_production_time * constraint_factor, case when line_capacity > 0 then order_quantity * total_production_time / line_capacity end,
+            order_quantity * total_production_time, case when constraint_factor > 0 then order_quantity / constraint_factor end]) as value from enriched) t
+where value is not null"""))
+def q_order_drilldown(spark, sf):
+    from .registry import enriched
+    return r6(DG.order_drilldown(enriched(Views(spark, sf))))
