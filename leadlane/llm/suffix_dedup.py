@@ -135,8 +135,6 @@ def passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     # Suffixes with the same extensions (those of copies, and all within a common passage) are compared once.
     kinds = rows.groupBy("g", "e1", "e2").agg(*[F.first(c).alias(c) for c in ("reach", "right", "ext")], F.min("doc").alias("least"), F.max("doc").alias("most"))
     kinds = cut_lineage(kinds.select("g", "right", "e1", "e2", "reach", "ext", "least", "most"))
-    held = kinds.groupBy("g").agg(F.min("least").alias("a"), F.max("most").alias("b")).where("a < b").select("g")
-    kinds = cut_lineage(kinds.join(held, "g"))
     near = cut_lineage(kinds.repartitionByRange("g", "right").sortWithinPartitions("g", "right").mapInArrow(
         _neighbours, "g long, x long, e1 long, e2 long, a int, least long, most long"))
     first = near.groupBy("g", "x").agg(F.min("least").alias("first"), F.max("most").alias("b")).where("first < b").drop("b")
