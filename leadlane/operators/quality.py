@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clean import parse_timestamp
+
 REPORT_SCHEMA = "table_name string, rule string, column_name string, violations bigint, total bigint, severity string"
 
 
@@ -61,6 +63,42 @@ def table_rules(df: DataFrame, table: str, not_null: dict[str, str] | None = Non
     return _rows(df.agg(*aggs), table, specs)
 
 
+#: Columns that an extract must have, by kind of table.
+REQUIRED = {
+    "history": ["production_number", "material", "planned_start_date", "planned_finish_date", "actual_finish_date"],
+    "material": ["material", "production_line", "total_production_time"],
+    "capacity": ["production_line", "line_capacity"],
+}
+
+
+def type_rules(df: DataFrame, kind: str, table: str | None = None) -> DataFrame:
+    """Q3: an extract of one kind: it must hold rows and its kind's columns (errors); nulls in those are only warned of.
+    A kind without required columns is only checked for rows."""
+    required = REQUIRED.get(kind, [])
+    present = [c for c in required if c in df.columns]
+    return schema_rules(df, table or kind, required).unionByName(table_rules(df, table or kind, not_null={c: "warn" for c in present}))
+
+
+def date_rules(df: DataFrame, table: str, dates: dict[str, str | None]) -> DataFrame:
+    """Q4: text that is no date in its column's format (None: ISO). Nulls and blanks are no dates, but not malformed."""
+    aggs, specs = [F.count(F.lit(1)).alias("_total")], []
+    for i, (c, fmt) in enumerate(dates.items()):
+        text = F.trim(F.col(c).cast("string"))
+        aggs.append(F.count_if(F.coalesce(text != "", F.lit(False)) & parse_timestamp(text, fmt).isNull()).alias(f"_d{i}"))
+        specs.append(("valid_date", c, f"_d{i}", "warn"))
+    return _rows(df.agg(*aggs), table, specs)
+
+
+def label_rules(df: DataFrame, table: str, label: str) -> DataFrame:
+    """Q5: one row for each value of a label (null is one) with its count; an empty table gives none."""
+    counts = df.groupBy(F.col(label).cast("string").alias("_v")).agg(F.count(F.lit(1)).alias("violations"))
+    total = counts.agg(F.sum("violations").alias("total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select(
+        F.lit(table).alias("table_name"), F.lit("label_count").alias("rule"),
+        F.concat(F.lit(f"{label}="), F.coalesce("_v", F.lit("null"))).alias("column_name"),
+        "violations", "total", F.lit("info").alias("severity"))
+
+
 def match_rules(orders: DataFrame, fg: DataFrame, shortage: DataFrame | None = None) -> DataFrame:
     """Q5: orders without finished-goods master data and orders with shortage rows."""
     fg_keys = fg.select("material").filter(F.col("material").isNotNull()).distinct()

@@ -9,3 +9,4 @@ from . import q_ml  # noqa: F401
 from . import q_io  # noqa: F401
 from . import q_extra  # noqa: F401
 from . import q_landed  # noqa: F401
+from . import q_batches  # noqa: F401

@@ -28,6 +28,17 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     w.format(fmt).save(path)
 
 
+def write_extracts(tables: dict[str, DataFrame | None], folder: str, fmt: str = "csv") -> list[str]:
+    """K2: writes each extract under its own name and returns the names written. An extract that is absent or has no
+    rows is skipped: what an earlier run left under its name stays. One row is looked for before each write."""
+    done = []
+    for name, df in tables.items():
+        if df is not None and not df.isEmpty():
+            write_table(df, f"{folder.rstrip('/')}/{name}", fmt)
+            done.append(name)
+    return done
+
+
 def write_versioned(df: DataFrame, root: str, run_id: str, fmt: str = "parquet") -> None:
     """K3: append one run under ``run_id=<id>``; older runs stay readable."""
     df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").format(fmt).save(root)
@@ -58,6 +69,32 @@ def payload_rows(df: DataFrame, id_candidates: list[str] = ("order_id", "Order",
     return df.select(ident.alias("id"), F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("payload"))
 
 
+#: Record columns that are stored beside the payload, by kind of record.
+RECORD_COLUMNS = {
+    "orders": {}, "features": {"feature_version": "string"},
+    "predictions": {"prediction_class": "int", "prediction_proba": "double", "model_version": "string",
+                    "actual_result": "int", "is_correct": "boolean"},
+}
+RECORD_ID = ("order_id", "Order", "order")
+
+
+def record_rows(df: DataFrame, kind: str) -> DataFrame:
+    """K5: (order_id, the kind's own columns, payload) per row. The id is the first of ``order_id``, ``Order`` and
+    ``order`` that the row has a value for (features and predictions know only the first two); null if none. Absent
+    columns are null; the payload is the whole row as JSON, nulls left out."""
+    names = {c: c for c in df.columns}
+    ids = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in RECORD_ID[:3 if kind == "orders" else 2] if c in names]
+    own = [(F.col(c).cast(t) if c in names else F.lit(None).cast(t)).alias(c) for c, t in RECORD_COLUMNS[kind].items()]
+    return df.select((F.coalesce(*ids) if ids else F.lit(None).cast("string")).alias("order_id"), *own,
+                     F.to_json(F.struct("*")).alias("payload"))
+
+
+def append_records(df: DataFrame, root: str, kind: str, batch_id: str) -> None:
+    """K5: appends one batch of orders, features or predictions to its table; a batch written again replaces itself."""
+    (record_rows(df, kind).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{root.rstrip('/')}/{kind}"))
+
+
 # What a metadata value is stored as when its type isn't declared.
 VALUE_TYPES = {"bool": "boolean", "int": "bigint", "float": "double", "datetime": "timestamp", "date": "date"}
 
