@@ -36,11 +36,6 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def tag_of(*cols) -> F.Column:
-    """31 bits that tell rows of the same doc_id but another text apart (null counts as its own value)."""
-    return F.xxhash64(*cols).bitwiseAND(F.lit(0x7FFFFFFF))
-
-
 def text_tag(col) -> F.Column:
     """128 bits that tell rows of the same doc_id but another text apart (null counts as its own value)."""
     return F.coalesce(F.unhex(F.md5(F.col(col).cast("string").cast("binary"))), F.lit(b""))

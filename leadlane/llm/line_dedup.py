@@ -3,7 +3,7 @@
 A line's key is the line without ASCII white space at either end and with A-Z lower-cased. Keys shorter than
 ``min_chars`` code points never count. Of the others, every line goes that is not in the smallest doc_id holding its key.
 
-Keys travel as 128 bits of hash. The rows (hash, doc_id, place) are range-partitioned on all of their columns, so that
+Keys travel as 128 bits of hash. The rows (hash, doc_id, tag, place) are range-partitioned on all of their columns, so that
 a key held by a third of all documents spreads over many tasks, and sorted inside each partition; one streaming pass
 then meets the first holder of each key before its later ones. Only a partition's leading key can have begun in an
 earlier partition: rows that depend on this are emitted as open questions, at most one document's lines a partition,
@@ -11,7 +11,8 @@ and settled from the partitions' summaries. The verdicts are gathered into one c
 Texts are read twice, but travel once, when the bitmaps are applied.
 
 Defined results: a null or empty text is one empty line; a null doc_id counts as a document smaller than all others;
-rows that repeat a doc_id are one document, and each is filtered by the lines of its own text; extra columns are kept
+rows that repeat a doc_id are one document, and each is filtered by the lines of its own text (128 bits of it tell it
+apart); extra columns are kept
 by ``dedup_lines`` and ignored elsewhere.
 """
 
@@ -28,25 +29,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import ASCII_SPACE, LOWER, UPPER, table, tag_of
+from .common import ASCII_SPACE, LOWER, UPPER, table, text_tag
 
 MIN_CHARS = 10
 _SALT = "\x00second half"
 
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2, doc_id, place) of every line whose key is long enough; place: 31 bits of the text's tag, 32 of the line."""
+    """(h1, h2, doc_id, tag, place) of every line whose key is long enough; tag: 128 bits of the text, place: its line."""
     key = F.btrim(F.translate("line", UPPER, LOWER), F.lit(ASCII_SPACE))
-    lines = docs.select("doc_id", tag_of("text").alias("tag"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return (lines.select("doc_id", F.shiftleft("tag", 32).bitwiseOR(F.col("pos").cast("long")).alias("place"), key.alias("k"))
-            .where(F.char_length("k") >= min_chars)
-            .select(F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(_SALT), "k").alias("h2"), "doc_id", "place"))
+    # The tag is an array element that is exploded with the lines: beside the explode it would be worked out for each line.
+    whole = docs.select("doc_id", F.explode(F.array(F.struct(text_tag("text").alias("tag"), F.split("text", "\n").alias("lines")))).alias("t"))
+    lines = whole.select("doc_id", "t.tag", F.posexplode("t.lines").alias("place", "line"))
+    return (lines.select("doc_id", "tag", "place", key.alias("k")).where(F.char_length("k") >= min_chars)
+            .select(F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(_SALT), "k").alias("h2"), "doc_id", "tag", "place"))
 
 
 #: kind 0: this line goes. 1: the partition's first holder of its leading key, line by line (the open questions).
 #: 2: the partition's first holder of its last key.
-_OUT = "kind int, h1 long, h2 long, doc_id long, place long"
-_ARROW = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
+_OUT = "kind int, h1 long, h2 long, doc_id long, tag binary, place int"
+_ARROW = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.binary()), ("place", pa.int32())])
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +60,6 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h1, h2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         doc_null = b.column(2).is_null().to_numpy(zero_copy_only=False)
         doc = b.column(2).fill_null(0).to_numpy(zero_copy_only=False)
-        place = b.column(3).to_numpy(zero_copy_only=False)
         new = np.ones(len(h1), bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         if last is not None:
@@ -72,21 +73,22 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = (h1 == leading[0]) & (h2 == leading[1]) & ~late
         pick = late | lead
         if pick.any():
-            yield _rows(np.where(lead, 1, 0)[pick], h1[pick], h2[pick], doc[pick], doc_null[pick], place[pick])
+            picked = b.filter(pa.array(pick))
+            yield _rows(np.where(lead, 1, 0)[pick], h1[pick], h2[pick], doc[pick], doc_null[pick], picked.column(3), picked.column(4))
         last = ((h1[-1], h2[-1]), first[-1], first_null[-1])
     if last is not None:
-        yield _rows(*(np.array([x]) for x in (2, *last[0], last[1], last[2], 0)))
+        yield _rows(*(np.array([x]) for x in (2, *last[0], last[1], last[2])), pa.array([b""], pa.binary()), pa.array([0], pa.int32()))
 
 
-def _rows(kind, h1, h2, doc, doc_null, place) -> pa.RecordBatch:
+def _rows(kind, h1, h2, doc, doc_null, tag: pa.Array, place: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                                       pa.array(doc, pa.int64(), mask=np.asarray(doc_null, bool)), pa.array(place, pa.int64())], schema=_ARROW)
+                                       pa.array(doc, pa.int64(), mask=np.asarray(doc_null, bool)), tag, place], schema=_ARROW)
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, place) of every line that goes."""
+    """(doc_id, tag, place) of every line that goes."""
     keys = line_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_chars)
-    order = ["h1", "h2", F.asc_nulls_first("doc_id"), "place"]
+    order = ["h1", "h2", F.asc_nulls_first("doc_id"), "tag", "place"]
     ranged = keys.repartitionByRange(*order).sortWithinPartitions(*order)
     # Written once: boundaries are sampled, so two evaluations could differ.
     out = cut_lineage(ranged.mapInArrow(_stream, _OUT))
@@ -95,7 +97,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
              .agg(F.max(F.col("doc_id").isNull()).alias("has_null"), F.min("doc_id").alias("least")))
     held = out.where("kind = 1").join(least, ["h1", "h2"]).where(
         F.when(F.col("has_null"), F.col("doc_id").isNotNull()).otherwise(F.col("doc_id") != F.col("least")))
-    return out.where("kind = 0").select("doc_id", "place").unionAll(held.select("doc_id", "place"))
+    return out.where("kind = 0").select("doc_id", "tag", "place").unionAll(held.select("doc_id", "tag", "place"))
 
 
 def pack_bitmap(dropped, n_lines: int) -> bytes:
@@ -114,9 +116,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     A text's own dropped places meet in one task, as its lines do in its row.
     """
-    place = dropped_lines(docs, min_chars).select("doc_id", F.shiftright("place", 32).alias("tag"),
-                                                  F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"))
-    lost = place.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("lost"))
+    lost = dropped_lines(docs, min_chars).groupBy("doc_id", "tag").agg(F.collect_set("place").alias("lost"))
 
     def pack(batches):
         for b in batches:
@@ -125,7 +125,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array([pack_bitmap(x, k) for x, k in zip(lost, n)], pa.binary())],
                                              names=["doc_id", "tag", "n_marked", "bitmap"])
 
-    return lost.mapInArrow(pack, "doc_id long, tag long, n_marked int, bitmap binary")
+    return lost.mapInArrow(pack, "doc_id long, tag binary, n_marked int, bitmap binary")
 
 
 def kept_lines(text: str | None, n_marked: int | None, bitmap: bytes | None) -> tuple[str, int, int]:
@@ -141,7 +141,7 @@ def kept_lines(text: str | None, n_marked: int | None, bitmap: bytes | None) ->
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` (one struct column ``row`` holding the columns) with the bitmap of its text, null where all lines stay."""
     b = bitmaps.select(F.col("doc_id").alias("_b_id"), F.col("tag").alias("_b_tag"), "n_marked", "bitmap")
-    d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_d_id"), tag_of("text").alias("_d_tag"))
+    d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_d_id"), text_tag("text").alias("_d_tag"))
     return d.join(b, F.col("_d_id").eqNullSafe(F.col("_b_id")) & (F.col("_d_tag") == F.col("_b_tag")), "left").select("row", "n_marked", "bitmap")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import table, tag_of
+from .common import table, text_tag
 
 CHUNK, FAN_IN = 16384, 64
 MARK, UNK_PENALTY = "▁", 10.0
@@ -324,7 +324,7 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, fan_in: int = FAN_IN
     ``model``: a model file that every node has under this path. Texts of up to two chunks are encoded in the scan.
     Of larger ones every chunk is a row, dealt anew over all tasks, so that no task holds a giant document.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of("text").alias("tag"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_tag("text").alias("tag"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     giant = F.char_length("text") > 2 * chunk
 
     def small(batches):
@@ -334,7 +334,7 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, fan_in: int = FAN_IN
                 ids = [np.array(sp.encode(t.as_py(), num_threads=1), np.int32) for t in b.column(2)]
                 yield pa.RecordBatch.from_arrays([*b.columns, _id_list(ids)], names=["doc_id", "tag", "text", "ids"])
 
-    shape = "doc_id long, tag long, text string, ids array<int>"
+    shape = "doc_id long, tag binary, text string, ids array<int>"
     direct = d.where(~giant).mapInArrow(small, shape)
 
     def split(batches):
@@ -348,13 +348,13 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, fan_in: int = FAN_IN
                     ks = range(at, min(n, at + 256))
                     cut = [(k * chunk, len(t) if k == n - 1 else (k + 1) * chunk) for k in ks]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([i] * len(ks), pa.int64()), pa.array([g] * len(ks), pa.int64()), pa.array(ks, pa.int32()), pa.array([n] * len(ks), pa.int32()),
+                        [pa.array([i] * len(ks), pa.int64()), pa.array([g] * len(ks), pa.binary()), pa.array(ks, pa.int32()), pa.array([n] * len(ks), pa.int32()),
                          pa.array([min(lo, 2 * side) for lo, _ in cut], pa.int32()), pa.array([hi - max(0, lo - 2 * side) for lo, hi in cut], pa.int32()),
                          pa.array([t[max(0, lo - 2 * side):hi + 2 * side] for lo, hi in cut])], names=["doc_id", "tag", "k", "n", "lo", "hi", "part"])
 
     # Equal rows are encoded once; the result is joined to all of them.
     big = d.where(giant).dropDuplicates(["doc_id", "tag"])
-    parts = cut_lineage(big.mapInArrow(split, "doc_id long, tag long, k int, n int, lo int, hi int, part string").repartition("doc_id", "tag", "k"))
+    parts = cut_lineage(big.mapInArrow(split, "doc_id long, tag binary, k int, n int, lo int, hi int, part string").repartition("doc_id", "tag", "k"))
 
     def chunk_of(m, r) -> Chunk:
         return Chunk(m, r["part"], r["lo"], r["hi"], r["k"] == 0, r["k"] == r["n"] - 1)
@@ -366,7 +366,7 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, fan_in: int = FAN_IN
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], names=["doc_id", "tag", "k", "m"])
 
     key = ["doc_id", "tag"]
-    ms = cut_lineage(parts.mapInArrow(matrices, "doc_id long, tag long, k int, m binary").withColumn("blk", F.floor(F.col("k") / fan_in).cast("int")))
+    ms = cut_lineage(parts.mapInArrow(matrices, "doc_id long, tag binary, k int, m binary").withColumn("blk", F.floor(F.col("k") / fan_in).cast("int")))
 
     def combine(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("k")
@@ -383,12 +383,12 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, fan_in: int = FAN_IN
         s = best_states([unpack_matrix(b) for b in x.m], int(x.a.iloc[0]), int(x.b.iloc[0]))
         return pd.DataFrame({"doc_id": x.doc_id.values, "tag": x.tag.values, "k": x.k.values, "a": s[:-1], "b": s[1:]})
 
-    blocks = ms.groupBy(*key, "blk").applyInPandas(combine, "doc_id long, tag long, blk int, m binary")
-    ends = cut_lineage(blocks.groupBy(*key).applyInPandas(settle, "doc_id long, tag long, blk int, a int, b int"))
+    blocks = ms.groupBy(*key, "blk").applyInPandas(combine, "doc_id long, tag binary, blk int, m binary")
+    ends = cut_lineage(blocks.groupBy(*key).applyInPandas(settle, "doc_id long, tag binary, blk int, a int, b int"))
     same = lambda a, b, more=(): a.doc_id.eqNullSafe(b._id) & (a.tag == b._tag) & (a[more] == b[f"_{more}"] if more else F.lit(True))
     named = lambda x: x.withColumnsRenamed({"doc_id": "_id", "tag": "_tag", "blk": "_blk", "k": "_k"})
     ends = named(ends)
-    states = cut_lineage(ms.join(ends, same(ms, ends, "blk")).select(*key, "blk", "k", "m", "a", "b").groupBy(*key, "blk").applyInPandas(inner, "doc_id long, tag long, k int, a int, b int"))
+    states = cut_lineage(ms.join(ends, same(ms, ends, "blk")).select(*key, "blk", "k", "m", "a", "b").groupBy(*key, "blk").applyInPandas(inner, "doc_id long, tag binary, k int, a int, b int"))
     states = named(states)
 
     def trace(batches):
@@ -397,7 +397,7 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, fan_in: int = FAN_IN
             out = [np.array(chunk_of(m, r).ids(r["a"], r["b"]), np.int32) for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), _id_list(out)], names=["doc_id", "tag", "k", "ids"])
 
-    traced = parts.join(states, same(parts, states, "k")).select(*parts.columns, "a", "b").mapInArrow(trace, "doc_id long, tag long, k int, ids array<int>")
+    traced = parts.join(states, same(parts, states, "k")).select(*parts.columns, "a", "b").mapInArrow(trace, "doc_id long, tag binary, k int, ids array<int>")
     # A document's ids are one row again, as its text is.
     joined = traced.groupBy(*key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x.ids)).alias("ids"))
     joined = named(joined)
@@ -418,7 +418,7 @@ def decode(ids: DataFrame, model: str, proto: bytes | None = None) -> DataFrame:
             for b in slices(whole, _lengths(whole.column(3))):
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([text_of(sp, x) for x in b.column(3)], pa.string())], names=["doc_id", "tag", "text", "ids", "decoded"])
 
-    return ids.select("doc_id", "tag", "text", "ids").mapInArrow(run, "doc_id long, tag long, text string, ids array<int>, decoded string")
+    return ids.select("doc_id", "tag", "text", "ids").mapInArrow(run, "doc_id long, tag binary, text string, ids array<int>, decoded string")
 
 
 def default_model() -> str:

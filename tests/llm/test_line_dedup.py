@@ -65,3 +65,21 @@ def test_dedup_lines_keeps_columns(spark, odd_docs):
     got = {r.doc_id: r.text for r in out.where("doc_id >= 100").collect()}
     assert got == {100: "one long line here\nand this", 101: "x"}
     assert out.where("doc_id = 0").first().text is None
+
+
+def test_texts_of_one_id_are_told_apart_by_128_bits(spark, tmp_path):
+    """Two texts of one doc_id whose 31-bit tags agree: only the one that holds the other document's line loses it."""
+    from .test_simhash import texts_with_equal_31_bits
+
+    x, y = texts_with_equal_31_bits()
+    assert min(len(x), len(y)) >= L.MIN_CHARS
+    df = spark.createDataFrame([(1, x), (7, x), (7, y)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in L.dedup_lines(df).collect()) == sorted([(1, x), (7, ""), (7, y)])
+    run(spark, df, tmp_path)
+
+
+def test_bitmap_rows_hold_the_whole_tag(spark):
+    df = spark.createDataFrame([(1, "a line that repeats"), (2, "a line that repeats\nmore")], "doc_id long, text string")
+    (r,) = L.keep_bitmaps(df).collect()
+    assert (r.doc_id, bytes(r.tag), r.n_marked) == (2, hashlib.md5(b"a line that repeats\nmore").digest(), 1)
+    assert L.unpack_bitmap(bytes(r.bitmap), 1).tolist() == [False]

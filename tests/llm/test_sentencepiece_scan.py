@@ -78,6 +78,16 @@ def test_operator_with_giant_rows(spark):
     assert S.encode(df.limit(0), PATH).count() == 0
 
 
+def test_giant_texts_of_one_id_are_told_apart_by_128_bits(spark):
+    """Two giant texts without an id whose 31-bit tags agree each get their own ids."""
+    from .test_simhash import texts_with_equal_31_bits
+
+    x, y = texts_with_equal_31_bits()
+    sp = S.Model.get(PATH).sp
+    out = S.encode(spark.createDataFrame([(None, x), (None, y), (None, y)], "doc_id long, text string"), PATH, chunk=10, fan_in=2).collect()
+    assert sorted((r.text, tuple(r.ids)) for r in out) == sorted((t, tuple(sp.encode(t))) for t in (x, y, y))
+
+
 def test_query(spark):
     sp = S.Model.get(PATH).sp
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMOKE}/documents.parquet").collect()}
