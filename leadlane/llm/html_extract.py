@@ -2,12 +2,17 @@
 
 A page is read once into blocks of text, each with the path of tags (and their classes) from the root. Text length,
 punctuation and link text are aggregated for each path; the ratios to the path's number of blocks are smoothed over the
-order in which the paths appear, fused into one score and thresholded. The selected paths name the content: the lowest
-element around all their blocks, or the article or main around that, of which every block stays, and the headings beside
-it; beside an element that is no article or main, other texts that aren't mostly links stay too. Where no element below
-the body holds the content, it goes from its first block to its last, and texts around that stay unless mostly links.
-Elements that say what they are (nav, footer, form, scripts, classes such as ad, menu or comments) never take part; names that an
-article's own parts carry as well (header, notice, search) count in an article or main only if the path is mostly links.
+order in which the paths appear, fused with the path's share of the text into one score and thresholded. What an element
+says of itself only lowers the scores of the paths under it: kinds (nav, header, footer, aside) and names (classes, id or
+role such as ad or comments) by SUSPECT, names that are common in articles too (search, social, notice) by DOUBT, and in an
+article or main these only if such a path is mostly links. A name on an element around all text of the page says nothing.
+
+The selected paths name the content: the lowest element around all their blocks, or the article or main around that. Its
+blocks stay but for those of lowered paths that aren't selected; before the first and behind the last selected block of an
+element that is no article or main, texts stay unless mostly links, and at the level of the body only where their path
+reaches a part (weak) of the best score. The same holds for texts beside the content element; headings stay before it. A
+page of which all text is lowered has no main text. Only what is no text to read (head, scripts, styles, forms, controls,
+hidden elements) never takes part.
 
 Defined results: null html, empty html and pages without text give an empty text; unclosed, unopened and crossed tags,
 cut-off pages, stray < and unknown character references are text or ignored as browsers do; rows are independent of
@@ -34,9 +39,11 @@ RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "nofr
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
           "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-#: Elements without main text.
-DROP = {"head", "nav", "header", "footer", "aside", "form", "noscript", "template", "button", "select", "option", "datalist", "svg", "math", "canvas",
+#: Elements that are no text to read.
+DROP = {"head", "form", "noscript", "template", "button", "select", "option", "datalist", "svg", "math", "canvas",
         "object", "audio", "video", "map", "menu", "dialog", "input"} | RAW
+#: Elements that are boilerplate by kind.
+KINDS = {"nav", "header", "footer", "aside"}
 #: Words in a class, id or role that name boilerplate.
 DROP_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion",
               "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "header", "masthead", "footer", "sidebar", "aside",
@@ -46,7 +53,7 @@ DROP_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adverti
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Parts of a text, never the whole of it.
 PARTS = HEADINGS | {"p", "li", "ul", "ol", "blockquote", "td", "tr", "tbody", "table", "pre", "dl", "dd", "dt", "figure"}
-#: Of these, words that are common inside an article too: there they count only where the texts of such a path are mostly links.
+#: Of these, words that are common in articles too: they count for less, and inside an article only where the texts of such a path are mostly links.
 DOUBTFUL = {"header", "masthead", "footer", "banner", "notice", "notices", "notification", "alert", "promotion", "search", "social", "copyright", "aside",
             "complementary", "contentinfo", "reply", "replies", "respond", "share", "sharing", "related", "skip", "consent", "navigation", "menu", "signup", "login"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
@@ -59,21 +66,26 @@ ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt"
 
 #: Above this share of link text, texts are mostly links.
 MAX_LINKED = 0.6
+#: Factors on the score of a path, for each element on it that is boilerplate by kind or name, or by a doubtful name.
+SUSPECT, DOUBT = 0.001, 0.05
 
 
 class Element:
-    __slots__ = ("tag", "up", "depth", "path", "drop", "link", "at", "article", "doubt")
+    __slots__ = ("tag", "up", "depth", "path", "drop", "link", "at", "article", "doubt", "prior", "kind")
 
-    def __init__(self, tag, up, path, drop, link, at, article=False, doubt=None):
+    def __init__(self, tag, up, path, drop=False, link=False, at=0, article=False, doubt=None, prior=1.0, kind=False):
         self.tag, self.up, self.path, self.drop, self.link, self.at, self.article, self.doubt = tag, up, path, drop, link, at, article, doubt
+        self.prior, self.kind = prior, kind
         self.depth = up.depth + 1 if up else 0
 
 
 class Block:
-    __slots__ = ("text", "linked", "element")
+    """``prior``: the product of the factors on its path."""
+
+    __slots__ = ("text", "linked", "element", "prior")
 
     def __init__(self, text, linked, element):
-        self.text, self.linked, self.element = text, linked, element
+        self.text, self.linked, self.element, self.prior = text, linked, element, element.prior
 
 
 def _boilerplate_names(value: str) -> set[str]:
@@ -82,12 +94,14 @@ def _boilerplate_names(value: str) -> set[str]:
     return {w for k, w in enumerate(words) if w in DROP_NAMES and (not k or words[k - 1] not in ("has", "no", "with", "without"))}
 
 
-def _boilerplate(tag: str, attrs: str, by_name: bool, article: bool = False) -> tuple[str, bool, bool]:
-    """(classes, whether the element says that it isn't main text, whether it may say so); ``article``: it is in one."""
+def _evidence(tag: str, attrs: str, article: bool = False) -> tuple[str, bool, float, bool]:
+    """(classes, whether the element is no text to read, the factor on its path's score, whether the links of its path
+    decide on that); ``article``: it is in one."""
     if tag in DROP:
-        return "", True, False
+        return "", True, 1.0, False
+    factor = SUSPECT if tag in KINDS else 1.0
     if not attrs or tag in ("html", "body", "article", "main"):
-        return "", False, False
+        return "", False, factor, False
     classes, drop, names = "", False, set()
     for k, v in _ATTR.findall(attrs):
         k, v = k.lower(), v.strip("\"'").lower()
@@ -95,19 +109,21 @@ def _boilerplate(tag: str, attrs: str, by_name: bool, article: bool = False) ->
             if k == "class":
                 classes = v
             # Ids of headings and of an article's sections are made from the heading's text.
-            if by_name and not (k == "id" and (tag in HEADINGS or article and tag == "section")):
+            if not (k == "id" and (tag in HEADINGS or article and tag == "section")):
                 names |= _boilerplate_names(v)
         elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and "display:none" in v.replace(" ", ""):
             drop = True
-    sure = names - DOUBTFUL if article else names
-    return classes, drop or bool(sure), bool(names) and not sure
+    if names - DOUBTFUL:
+        factor = SUSPECT
+    elif names and not article:
+        factor = min(factor, DOUBT)
+    return classes, drop, factor, article and bool(names) and factor == 1.0
 
 
-def blocks_of(page: str, by_name: bool = True) -> list[Block]:
-    """Blocks of text in page order, without those in elements that say they are boilerplate, by their kind or
-    (``by_name``) by their classes, id or role."""
+def blocks_of(page: str) -> list[Block]:
+    """Blocks of text in page order, without those in elements that are no text to read."""
     paths: dict[tuple, int] = {}
-    top = Element("", None, 0, False, False, 0)
+    top = Element("", None, 0)
     open_tags: dict[str, int] = {}
     out: list[Block] = []
     texts: list[str] = []
@@ -189,12 +205,13 @@ def blocks_of(page: str, by_name: bool = True) -> list[Block]:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 at = close.end() if close else len(page)
             continue
-        classes, drop, doubt = _boilerplate(tag, attrs, by_name, top.article)
+        classes, drop, factor, doubt = _evidence(tag, attrs, top.article)
         n += 1
-        path = paths.setdefault((top.path, tag, classes), len(paths) + 1)
+        path = paths.setdefault((top.path, tag, classes, factor, doubt), len(paths) + 1)
         if attrs.endswith("/") and tag in ("svg", "math", "path"):
             continue
-        top = Element(tag, top, path, top.drop or drop, top.link or tag == "a", n, top.article or tag in ("article", "main"), top.doubt or (path if doubt else None))
+        top = Element(tag, top, path, top.drop or drop, top.link or tag == "a", n, top.article or tag in ("article", "main"),
+                      top.doubt or (path if doubt else None), top.prior * factor, top.kind or tag in KINDS)
         open_tags[tag] = open_tags.get(tag, 0) + 1
     end_block()
     share: dict[int, list[int]] = {}
@@ -203,8 +220,33 @@ def blocks_of(page: str, by_name: bool = True) -> list[Block]:
             s = share.setdefault(b.element.doubt, [0, 0])
             s[0] += b.linked
             s[1] += len(b.text)
-    gone = {p for p, s in share.items() if s[0] > MAX_LINKED * s[1]}
-    return [b for b in out if b.element.doubt not in gone] if gone else out
+    for b in out:
+        s = share.get(b.element.doubt)
+        if s and s[0] > MAX_LINKED * s[1]:
+            b.prior *= SUSPECT
+    if out and all(b.prior < 1 for b in out):
+        around = _around([b.element for b in out])
+        if not around.kind:
+            for b in out:
+                b.prior /= around.prior
+    return out
+
+
+def _around(elements: list[Element]) -> Element:
+    """The lowest element around all of ``elements``."""
+    held: dict[Element, int] = {}
+    for e in elements:
+        held[e] = held.get(e, 0) + 1
+    # Parents open before their children: from the last element on, each hands its count up once.
+    seen: dict[Element, None] = {}
+    for e in list(held):
+        while e and e not in seen:
+            seen[e] = None
+            e = e.up
+    for e in sorted(seen, key=lambda e: -e.at):
+        if e.up:
+            held[e.up] = held.get(e.up, 0) + held[e]
+    return max((e for e, m in held.items() if m == len(elements)), key=lambda e: e.depth)
 
 
 def _blocked(e: Element, tag: str) -> bool:
@@ -217,14 +259,15 @@ def _blocked(e: Element, tag: str) -> bool:
 
 
 def path_scores(blocks: list[Block], spread: float = 1.0) -> dict[int, float]:
-    """Score of each path: smoothed text and punctuation ratios, fused with the share of the path's text."""
+    """Score of each path: smoothed text and punctuation ratios, fused with the path's share of the text and its prior."""
     stat: dict[int, list[float]] = {}
+    prior = {b.element.path: b.prior for b in blocks}
     for b in blocks:
         s = stat.setdefault(b.element.path, [0, 0, 0, 0])
         for k, x in enumerate((1, len(b.text) - b.linked, len(_PUNCT.findall(b.text)), len(b.text))):
             s[k] += x
     order = list(stat)
-    total = sum(s[3] for s in stat.values())
+    total = sum(s[3] * prior[p] for p, s in stat.items())
     weight = [math.exp(-k * k / (2 * spread * spread)) for k in range(3)]
 
     def smooth(x: list[float]) -> list[float]:
@@ -234,33 +277,22 @@ def path_scores(blocks: list[Block], spread: float = 1.0) -> dict[int, float]:
     length = smooth([math.log1p(stat[p][1] / stat[p][0]) for p in order])
     punct = smooth([math.log1p(stat[p][2] / stat[p][0]) for p in order])
     # A path's own share of the text keeps a short path beside the article from living off its neighbours.
-    return {p: a * (1 + b) * math.sqrt(max(stat[p][1], 0) / total) for p, a, b in zip(order, length, punct)}
+    return {p: prior[p] * a * (1 + b) * math.sqrt(min(1.0, max(stat[p][1], 0) / total)) for p, a, b in zip(order, length, punct)}
 
 
-def content(blocks: list[Block], threshold: float = 0.5, max_linked: float = MAX_LINKED) -> list[Block]:
+def content(blocks: list[Block], threshold: float = 0.5, max_linked: float = MAX_LINKED, weak: float = 0.25) -> list[Block]:
     """The blocks of the content element; see the module."""
-    if not blocks:
+    if all(b.prior < 1 for b in blocks):
         return []
     score = path_scores(blocks)
-    mean = sum(score.values()) / len(score)
+    mean, best = sum(score.values()) / len(score), max(score.values())
     deviation = math.sqrt(sum((x - mean) ** 2 for x in score.values()) / len(score))
-    least = min(mean + threshold * deviation, max(score.values()))
+    least = min(mean + threshold * deviation, best)
     plain = [b.linked <= max_linked * len(b.text) for b in blocks]
     chosen = [k for k, b in enumerate(blocks) if score[b.element.path] >= least]
     chosen = [k for k in chosen if plain[k]] or chosen
-    held: dict[Element, int] = {}
-    for k in chosen:
-        held[blocks[k].element] = held.get(blocks[k].element, 0) + 1
-    # Parents open before their children: from the last element on, each hands its count up once.
-    seen: dict[Element, None] = {}
-    for e in list(held):
-        while e and e not in seen:
-            seen[e] = None
-            e = e.up
-    for e in sorted(seen, key=lambda e: -e.at):
-        if e.up:
-            held[e.up] = held.get(e.up, 0) + held[e]
-    box = max((e for e, m in held.items() if m == len(chosen)), key=lambda e: e.depth)
+    box = _around([blocks[k].element for k in chosen])
+    prior = max(blocks[k].prior for k in chosen)  # names around the content itself say nothing of its parts
     while box.tag in PARTS and box.up and box.up.tag:
         box = box.up
     around = box
@@ -269,8 +301,8 @@ def content(blocks: list[Block], threshold: float = 0.5, max_linked: float = MAX
     marked = around.tag in ("article", "main")
     if marked:
         box = around
-    # Beside an article or main only headings are its own; beside another element all text is that no rule names.
-    room = box if box.tag in ("", "html", "body") else box.up
+    page = ("", "html", "body")
+    room = box if box.tag in page else box.up
     place: dict[Element, tuple[bool, bool]] = {}
 
     def where(e: Element) -> tuple[bool, bool]:
@@ -286,20 +318,23 @@ def content(blocks: list[Block], threshold: float = 0.5, max_linked: float = MAX
     out = []
     for k, b in enumerate(blocks):
         inside, beside = where(b.element)
-        if box is room:  # no element names the content: it is what lies between its first and last block
-            inside = beside and chosen[0] <= k <= chosen[-1]
-        if inside or beside and (plain[k] or b.element.tag in HEADINGS if not marked else b.element.tag in HEADINGS and b.element.up is room):
+        s = score[b.element.path]
+        if not beside or b.prior < prior and s < least:
+            continue
+        title = b.element.tag in HEADINGS and k < chosen[0]
+        if inside and (marked or chosen[0] <= k <= chosen[-1]):
+            out.append(b)
+        elif marked:  # beside an article or main only headings are its own
+            if title and b.element.up is room:
+                out.append(b)
+        elif title or plain[k] and (s >= weak * best or (box if inside else room).tag not in page):
             out.append(b)
     return out
 
 
 def main_text(page: str | None) -> str:
     """The content blocks of a page, one a line."""
-    if not page:
-        return ""
-    # A name on an element around the whole page says nothing: where names leave no text, only kinds of elements count.
-    found = content(blocks_of(page)) or content(blocks_of(page, by_name=False))
-    return "\n".join(b.text for b in found)
+    return "\n".join(b.text for b in content(blocks_of(page))) if page else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -68,6 +68,45 @@ def test_names_in_an_article_need_ratios(page, text):
     assert H.main_text(page) == text
 
 
+BARE = [
+    (f"<div>Welcome to our site</div><div><p>{TEXT * 3}</p><p>{TEXT * 2}</p></div><div>Imprint and contact</div>", f"{(TEXT * 3).strip()}\n{(TEXT * 2).strip()}"),
+    (f"<table><tr><td>Mon<td>Tue<td>Wed</table><div><h2>Title</h2><p>{TEXT * 4}</p><ul><li>Point</ul><p>{TEXT * 4}</p></div><div><b>Sign in</b></div>",
+     f"Title\n{(TEXT * 4).strip()}\nPoint\n{(TEXT * 4).strip()}"),
+    (f"<div><div>Today 12 degrees</div><div><div><p>{TEXT * 5}</p></div></div></div><ul>" + "<li>Short item" * 9 + "</ul>", (TEXT * 5).strip()),
+]
+
+
+@pytest.mark.parametrize("page, text", BARE[:2])
+def test_ratios_decide_where_nothing_is_marked(page, text, monkeypatch):
+    """No article, class or id: only the scores tell the text from what is around it, so equal scores must fail."""
+    assert H.main_text(page) == text
+    monkeypatch.setattr(H, "path_scores", lambda blocks, spread=1.0: {b.element.path: b.prior for b in blocks})
+    assert H.main_text(page) != text
+
+
+def test_items_outside_the_content_go():
+    got = H.main_text(BARE[2][0])
+    assert BARE[2][1] in got and "Short item" not in got
+
+
+def test_given_pages_without_marks(spark):
+    """The given pages with article and the advert's class taken off: the ratios find nearly all articles."""
+    pages = [r.html for r in spark.read.parquet(f"{SMOKE}/pages.parquet").collect()]
+    bare = [re.sub(r"(</?)article>", r"\1div>", p).replace(' class="ad"', "") for p in pages]
+    assert sum(H.main_text(b) == article_of(p) for p, b in zip(pages, bare)) >= 0.9 * len(pages)
+
+
+@pytest.mark.parametrize("page, text", [
+    # A doubtful name lowers a score but a whole text stands against it; a sure one, and kinds of elements, weigh more.
+    (f"<h1>T</h1><div class=search-content><p>{TEXT * 40}</p></div>", f"T\n{(TEXT * 40).strip()}"),
+    (f"<div><p>{TEXT}</p></div><div class=comments><p>{TEXT * 400}</p></div><aside>{TEXT * 400}</aside>", TEXT.strip()),
+    (f"<footer>{TEXT * 3}</footer>", ""), (f"<nav><a href=1>x</a></nav><div class=ad>{TEXT}</div><article></article><footer>{TEXT}</footer>", ""),
+    (f"<article><p>{TEXT}</p><div class=comment>{TEXT * 50}</div></article>", TEXT.strip()),
+])
+def test_evidence_lowers_scores(page, text):
+    assert H.main_text(page) == text
+
+
 def test_hostile_pages():
     assert H.main_text("<div>" * 50000 + "deep") == "deep"
     assert H.main_text("<" * 100000).count("<") == 100000
