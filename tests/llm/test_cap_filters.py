@@ -55,9 +55,10 @@ def test_clusters_larger_than_a_block(spark, limit):
     assert sorted(map(key, C.near_duplicates(df, limit=limit).collect())) == sorted(map(key, brute(rows)))
 
 
-def test_recall_at_the_threshold():
-    """Pairs at exactly the threshold, the hardest ones, that the height was not set on."""
-    dim, n = 64, 5000
+@pytest.mark.parametrize("n, most", [(5000, 160), (3_000_000, 320)])
+def test_recall_at_the_threshold(n, most):
+    """Pairs at exactly the threshold, the hardest ones, that the height was not set on; lists grow slowly with the table."""
+    dim = 64
     rng = np.random.default_rng(11)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     u = unit(rng.standard_normal((600, dim)))
@@ -65,8 +66,9 @@ def test_recall_at_the_threshold():
     v = 0.9 * u + np.sqrt(0.19) * unit(w - (w * u).sum(1, keepdims=True) * u)
     code = C.code_for(dim, *C.shape_for(dim, n))
     h = C.height_for(code, dim, 0.9, C.RECALL)
-    hit = [np.intersect1d(a, b).size > 0 for a, b in zip(code.decode(u, h), code.decode(v, h))]
-    assert np.mean(hit) >= 0.97
+    lists = code.decode(u, h)
+    hit = [np.intersect1d(a, b).size > 0 for a, b in zip(lists, code.decode(v, h))]
+    assert np.mean(hit) >= 0.97 and np.mean([len(x) for x in lists]) <= most
     code3 = C.code_for(dim, 3, 60)
     got, x = code3.decode(u[:3], 0.6), code3.products(u[:3])
     for k in range(3):  # list decoding finds all filters above the height
@@ -74,6 +76,19 @@ def test_recall_at_the_threshold():
         assert got[k].tolist() == np.flatnonzero(s >= 0.6).tolist()
 
 
+def test_pairs_that_met_are_left_out():
+    """Members under one smaller filter are not compared again, all other links are found, and new ones told from old."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal(8) + 0.05 * rng.standard_normal((40, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lists = [[3, 9] if k < 30 else [5, 9] if k < 36 else [9] for k in range(40)]
+    shared = C.Shared(np.concatenate(lists), np.r_[0, np.cumsum([len(f) for f in lists])], 9)
+    assert shared.apart(40).tolist() == list(range(30, 40))
+    got = {(a, b): n for p, q, new in C.tiles(x, np.zeros(40, int), False, shared, 0.9) for a, b, n in zip(p.tolist(), q.tolist(), new.tolist())}
+    assert got == {(a, b): not (30 <= a < 36 and 30 <= b < 36) for a in range(30, 40) for b in range(40) if a != b}
+    assert C.join(np.arange(6), np.array([5, 3, 1]), np.array([3, 4, 0])).tolist() == [0, 0, 2, 3, 3, 3]
+
+
 def test_odd_rows_and_empty(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.1]), (9, [1.0]),
