@@ -196,56 +196,75 @@ def join(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 _LINKS = "node long, n long, root long"
 
 
-def _verify(cosine: float):
-    names = ["node", "n", "root"]
-
-    def group(t: pa.Table):
-        t = t.combine_chunks()
-        now, bi, bj = (t.column(k)[0].as_py() for k in ("filter", "bi", "bj"))
-        block, node, copies = (t.column(k).to_numpy() for k in ("block", "node", "copies"))
-        units = _units(pa.concat_arrays(t.column("e").chunks))
-        f = t.column("filters").combine_chunks()
-        f = pa.concat_arrays(f.chunks) if isinstance(f, pa.ChunkedArray) else f
-        shared = Shared(f.flatten().to_numpy(), np.r_[0, np.cumsum(np.diff(f.offsets.to_numpy()))], now)
-        n, on, label = np.zeros(len(node), np.int64), np.zeros(len(node), bool), np.arange(len(node))
-        apart = np.zeros(len(node), bool)
-        apart[shared.apart(len(node))] = True
-        for x, y, new in tiles(units, block, bi != bj, shared, cosine):
-            on[x] = on[y] = True
-            np.add.at(n, x[new], copies[y[new]])
-            back = new & ~apart[y]  # a pair of two members apart is seen from both
-            np.add.at(n, y[back], copies[x[back]])
-            label = join(label, x, y)
-        if not on.any():
+def compare(now: int, across: bool, block, node, copies, units, flat, offsets, cosine: float) -> list[np.ndarray] | None:
+    """(node, its new links, the least node it reaches) of the members of one group that link with another."""
+    if len(node) <= TILE[1]:  # most groups are small and hold no link
+        link = units @ units.T >= cosine
+        np.fill_diagonal(link, False)
+        if not link.any():
             return None
-        low = np.full(len(node), np.iinfo(np.int64).max)
-        np.minimum.at(low, label, node)  # the least node of each component
-        root = low[label]
-        return pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(n[on]), pa.array(root[on])], names=names)
+    shared = Shared(flat, offsets, now)
+    n, on, label = np.zeros(len(node), np.int64), np.zeros(len(node), bool), np.arange(len(node))
+    apart = np.zeros(len(node), bool)
+    apart[shared.apart(len(node))] = True
+    for x, y, new in tiles(units, block, across, shared, cosine):
+        on[x] = on[y] = True
+        np.add.at(n, x[new], copies[y[new]])
+        back = new & ~apart[y]  # a pair of two members apart is seen from both
+        np.add.at(n, y[back], copies[x[back]])
+        label = join(label, x, y)
+    low = np.full(len(node), np.iinfo(np.int64).max)
+    np.minimum.at(low, label, node)  # the least node of each component
+    return [node[on], n[on], low[label][on]] if on.any() else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        key = None
 
-        def flush():
-            if held and (out := group(pa.concat_tables(held))) is not None:
-                yield out
-            held.clear()
+def _verify(cosine: float):
+    def groups(t: pa.Table) -> Iterator[list[np.ndarray]]:
+        """The links of a run of whole groups; columns are turned into arrays once for all of them."""
+        t = t.combine_chunks()
+        dim, now, bi, bj, block, node, copies = (t.column(c).to_numpy() for c in ("dim", "filter", "bi", "bj", "block", "node", "copies"))
+        e, f = (pa.concat_arrays(t.column(c).chunks) for c in ("e", "filters"))
+        flat, at = f.flatten().to_numpy(), np.r_[0, np.cumsum(np.diff(f.offsets.to_numpy()))]
+        ends = np.flatnonzero(_changes(t))
+        ends = np.r_[ends, t.num_rows]
+        lo = units = None
+        for x, y in zip(ends[:-1], ends[1:]):
+            if y - x == 1:
+                continue
+            if lo is None or dim[lo] != dim[x]:  # rows are sorted by dim first
+                lo = x
+                units = _units(e.slice(lo, np.searchsorted(dim, dim[x], "right") - lo))
+            got = compare(now[x], bi[x] != bj[x], block[x:y], node[x:y], copies[x:y], units[x - lo:y - lo], flat[at[x]:at[y]], at[x:y + 1] - at[x], cosine)
+            if got:
+                yield got
+
+    def links(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if found := list(groups(t)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["node", "n", "root"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
         for b in batches:
+            if not b.num_rows:
+                continue
             t = pa.Table.from_batches([b])
-            k = np.stack([t.column(c).to_numpy() for c in ("dim", "filter", "bi", "bj")], axis=1)
-            ends = np.r_[0, np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, len(k)]
-            for x, y in zip(ends[:-1], ends[1:]):
-                if key is not None and tuple(k[x]) != key:
-                    yield from flush()
-                key = tuple(k[x])
-                held.append(t.slice(x, y - x))
-        yield from flush()
+            t = t if rest is None else pa.concat_tables([rest, t])
+            last = int(np.flatnonzero(_changes(t))[-1])  # the last group may go on in the next batch
+            rest = t.slice(last)
+            if last:
+                yield from links(t.slice(0, last))
+        if rest is not None:
+            yield from links(rest)
 
     return run
 
 
+def _changes(t: pa.Table) -> np.ndarray:
+    """Whether a row begins a group."""
+    k = np.stack([t.column(c).to_numpy() for c in ("dim", "filter", "bi", "bj")], axis=1)
+    return np.r_[True, (k[1:] != k[:-1]).any(axis=1)]
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, limit: int = LIMIT) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``vectors`` (vec_id, embedding)."""
     kind = dict(vectors.dtypes)["embedding"]
