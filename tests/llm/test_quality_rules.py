@@ -30,6 +30,20 @@ def test_measures_match_brute_force(spark, odd_docs):
 
 
 def test_rules_separate_held_out_rows(spark):
+    """Learned from three quarters of the labels, measured on the last: on rows that the base rule, which is given, lets pass."""
+    d = "/root/testdata/sf0.01"
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    f = Q.text_features(spark.read.parquet(f"{d}/documents.parquet"), ["doc_id"]).cache()
+    out = Q.apply_rules(f, Q.learn_rules(Q.labelled(f, labels.where(~held))))
+    got = {(r.quality, r.kept): r["count"] for r in out.where("not base_failed").join(labels.where(held), "doc_id").groupBy("quality", "kept").count().collect()}
+    f.unpersist()
+    low, good = (got.get((q, True), 0) + got.get((q, False), 0) for q in (0, 1))
+    assert low >= 10 and good >= 50
+    assert got.get((0, False), 0) > 0.9 * low and got.get((1, True), 0) > 0.9 * good
+
+
+def test_rules_of_the_query_fit_its_labels(spark):
     import duckdb
     d = "/root/testdata/sf0.01"
     out = Q.quality_rules(spark, d).select("doc_id", "kept").toPandas()
