@@ -11,8 +11,9 @@ from ..operators import rollups as R
 from ..operators import scoring as SCO
 from ..operators.statistics import HistoryState
 from ..session import ensure_checkpoint_dir, remember_scratch
+from ..sinks import writers as K
 from ..sources.fixtures import Views, with_views
-from .q_rollups import MT, SE, over_scored, scored_enriched
+from .q_rollups import INSIGHT_SQL, MT, MT_COLS, SE, over_scored, scored_enriched
 from . import sqlparts as S
 from .registry import r6, register
 
@@ -213,3 +214,15 @@ where value is not null"""))
 def q_order_drilldown(spark, sf):
     from .registry import enriched
     return r6(DG.order_drilldown(enriched(Views(spark, sf))))
+
+
+@register("material_export_rows", over_scored(f"""
+select {', '.join('mt.' + c for c in MT_COLS)}, i.speed_class, i.sample_class, i.stability_class
+from mt left join ({INSIGHT_SQL}) i on mt.material = i.material"""))
+def q_material_export_rows(spark, sf):
+    v = Views(spark, sf)
+    mat = R.material_tpt(scored_enriched(v), v.fg)
+    classes = ["speed_class", "sample_class", "stability_class"]
+    details = {c: "double" if c in ("actual_tpt", "current_tpt", "tpt_change") else "string" for c in [*MT_COLS[6:], *classes]}
+    out = K.read_material_export(K.material_export(mat, R.material_insight(mat).select("material", *classes)), details)
+    return out.select(*MT_COLS, *classes)

@@ -129,6 +129,17 @@ def q_oversample(spark, sf):
     return ML.oversample_minority(split.filter(F.col("split") == "train"), "is_delayed", "production_number")
 
 
+@register("class_weights", S.over_enriched(f"""
+select production_number, is_delayed,
+  round(case when is_delayed = 1 then cast(neg as double) / pos_n else 1 end, 6) as weight
+from (select * from ({_POS}) p where pos < floor(n * 0.8)) s,
+  (select count(case when is_delayed = 1 then 1 end) as pos_n, count(case when is_delayed <> 1 then 1 end) as neg
+   from ({_POS}) p where pos < floor(n * 0.8)) c"""))
+def q_class_weights(spark, sf):
+    train = ML.stratified_split(_labels(spark, sf), "is_delayed", "production_number").filter(F.col("split") == "train")
+    return r6(ML.class_weights(train, "is_delayed").select("production_number", "is_delayed", "weight"))
+
+
 @register("gbt_delay")
 def q_gbt_delay(spark, sf):
     df = _v1(spark, sf)

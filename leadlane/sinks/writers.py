@@ -146,3 +146,12 @@ def material_export(mat: DataFrame, insight: DataFrame | None = None) -> DataFra
                                                 "tpt_max")]
     doc = F.struct(stats, F.struct(*[F.col(c) for c in extra]).alias("details"))
     return df.select("material", F.to_json(doc).alias("document"))
+
+
+def read_material_export(exported: DataFrame, details: dict[str, str]) -> DataFrame:
+    """The columns of a material export, read back from its documents; ``details``: name -> type of those beside the
+    prediction's. A field that a document leaves out is null."""
+    stats = {"predicted_tpt": "double", "order_count": "bigint", "tpt_std": "double", "tpt_min": "double", "tpt_max": "double"}
+    fields = {"prediction": stats, "details": details}
+    schema = ", ".join(f"{k} struct<{', '.join(f'{n}: {t}' for n, t in v.items())}>" for k, v in fields.items())
+    return exported.select("material", F.from_json("document", schema).alias("d")).select("material", "d.prediction.*", "d.details.*")

@@ -127,3 +127,24 @@ def test_records_take_the_first_id_a_row_has_and_replays_add_nothing(spark, tmp_
     assert got.count() == 6 and got.where("model_version is null").count() == 6
     assert {r.order_id: r.prediction_proba for r in got.collect()} == {"A1": 0.5, "7": None, None: 0.1}
     assert K.record_rows(spark.createDataFrame([(1,)], "order int"), "features").first().order_id is None
+
+
+def test_material_export_reads_back(spark):
+    from leadlane.sinks import writers as K
+    rows = [("M1", 2.5, 3, None, 1.0, 4.0, "a \"quoted\" name", None), ("M2", None, 0, 0.0, None, None, None, 1.25)]
+    names = ["predicted_tpt", "order_count", "tpt_std", "tpt_min", "tpt_max", "material_description", "actual_tpt"]
+    mat = spark.createDataFrame(rows, "material string, predicted_tpt double, order_count long, tpt_std double, tpt_min double, tpt_max double, "
+                                      "material_description string, actual_tpt double")
+    back = K.read_material_export(K.material_export(mat), {"material_description": "string", "actual_tpt": "double"})
+    assert sorted(map(tuple, back.select("material", *names).collect())) == rows
+    assert K.read_material_export(K.material_export(mat.limit(0)), {"actual_tpt": "double"}).count() == 0
+
+
+def test_class_weights_balance(spark):
+    from pyspark.sql import functions as F
+
+    from leadlane.operators import ml as ML
+    df = spark.range(40).select("id", (F.col("id") < 8).cast("int").alias("y"))
+    got = {r.y: r.w for r in ML.class_weights(df, "y", "w").groupBy("y").agg(F.sum("w").alias("w")).collect()}
+    assert got == {1: 32.0, 0: 32.0}
+    assert ML.class_weights(df.where("y = 0"), "y", "w").agg(F.sum("w")).first()[0] == 32.0
