@@ -13,6 +13,7 @@ from ..sources import envelopes as ENV
 from ..sources import extracts as X
 from ..sources.fixtures import Views, with_views
 from ..streaming import ingest as I
+from .q_rollups import tpt_table
 from .registry import r6, register
 
 UPSERT_COLS = ["production_number", "material", "order_quantity", "created_date", "ingest_seq"]
@@ -61,6 +62,11 @@ LATE_CTES = [
 LATE_COLS = "select production_number, material, order_quantity, created_date, ingest_seq from judged where "
 
 
+def land(extract, folder: str) -> None:
+    """An extract lands as many files as the scan has tasks; the files that are there when a sync starts are one micro-batch."""
+    extract.write.mode("append").parquet(folder)
+
+
 def _yearly_sync(spark, sf):
     """Lands an extract for each year, in order, one micro-batch each, and runs the bounded sync over them."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream/{uuid.uuid4().hex}"
@@ -70,7 +76,7 @@ def _yearly_sync(spark, sf):
     again = h.where(RESENT).where(F.col("y") < last).withColumns({"order_quantity": F.col("order_quantity") + 1000, "y": F.col("y") + 1})
     sent = cut_lineage(h.unionByName(again).withColumnRenamed("y", "ingest_seq").withColumn("ingest_seq", F.col("ingest_seq").cast("long")))
     for y in range(first, last + 1):
-        sent.where(F.col("ingest_seq") == y).coalesce(1).write.mode("append").parquet(f"{root}/landing")
+        land(sent.where(F.col("ingest_seq") == y), f"{root}/landing")
         I.run_incremental(spark, f"{root}/landing", sent.schema, f"{root}/table", f"{root}/checkpoint", event="created_date", late_days=7)
     return root, sent.schema
 
@@ -152,6 +158,5 @@ def q_payload_rows(spark, sf):
 @register("material_export")
 def q_material_export(spark, sf):
     v = Views(spark, sf)
-    se = v.scored.join(v.fg.select("material", "material_description", "production_line"), "material", "left")
-    mat = R.material_tpt(se, v.fg)
+    mat = tpt_table(v)
     return K.material_export(mat, R.material_insight(mat).drop(*[c for c in mat.columns if c != "material"]))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import enrich as E
 from ..operators import evaluate as EV
 from ..operators import rollups as R
+from ..session import cut_lineage
 from ..sources.fixtures import Views, with_views
 from . import sqlparts as S
 from .registry import enriched, r6, r6sql, register, train_rows
@@ -19,6 +20,20 @@ def scored_enriched(v: Views):
     return v.scored.join(v.fg.select("material", "material_description", "production_line"), "material", "left")
 
 
+#: What ``material_tpt`` and the range positions read of the scored orders.
+TPT_ROWS = ["production_number", "material", "predicted", "actual", "material_description", "production_line"]
+
+
+def tpt_rows(v: Views):
+    """Scored orders, written once: statistics, medians and positions each read them."""
+    return cut_lineage(scored_enriched(v).select(*TPT_ROWS))
+
+
+def tpt_table(v: Views, rows=None):
+    """The ``material_tpt`` table, written once: the classes read it for their median and for their rows."""
+    return cut_lineage(R.material_tpt(tpt_rows(v) if rows is None else rows, v.fg))
+
+
 def errors(v: Views):
     return R.prediction_errors(scored_enriched(v)).filter(F.col("actual").isNotNull())
 
@@ -52,7 +67,7 @@ MT_COLS = ["material", "predicted_tpt", "order_count", "tpt_std", "tpt_min", "tp
 @register("material_tpt", over_scored(f"select {', '.join(MT_COLS)} from mt"))
 def q_material_tpt(spark, sf):
     v = Views(spark, sf)
-    return R.material_tpt(scored_enriched(v), v.fg).select(*MT_COLS)
+    return R.material_tpt(tpt_rows(v), v.fg).select(*MT_COLS)
 
 
 INSIGHT_SQL = """
@@ -88,7 +103,7 @@ INSIGHT_COLS = ["material", "speed_diff_pct", "speed_class", "sample_class", "cv
 @register("material_insight", over_scored(INSIGHT_SQL))
 def q_material_insight(spark, sf):
     v = Views(spark, sf)
-    return r6(R.material_insight(R.material_tpt(scored_enriched(v), v.fg)).select(*INSIGHT_COLS))
+    return r6(R.material_insight(tpt_table(v)).select(*INSIGHT_COLS))
 
 
 @register("range_position", over_scored("""
@@ -101,8 +116,8 @@ from mt left join (select se.material, count(case when se.predicted <= mt.predic
                    from se join mt on se.material = mt.material group by se.material) c on mt.material = c.material"""))
 def q_range_position(spark, sf):
     v = Views(spark, sf)
-    se = scored_enriched(v)
-    return r6(R.range_position(se, R.material_tpt(se, v.fg)))
+    se = tpt_rows(v)
+    return r6(R.range_position(se, tpt_table(v, se)))
 
 
 @register("rank_trend", with_views("""
@@ -229,7 +244,7 @@ def q_top_mae(spark, sf):
 select material, predicted_tpt, order_count from mt order by predicted_tpt desc, material limit 30"""))
 def q_top_predicted(spark, sf):
     v = Views(spark, sf)
-    m = R.material_tpt(scored_enriched(v), v.fg)
+    m = tpt_table(v)
     return R.top_by(m, [F.desc("predicted_tpt"), F.asc("material")], 30).select("material", "predicted_tpt",
                                                                                  "order_count")
 
@@ -396,7 +411,7 @@ select count(*) as materials, round(avg(predicted_tpt), 6) as mean_predicted_tpt
   round(avg(tpt_std), 6) as mean_std, count(case when abs(tpt_change) > 0.5 then 1 end) as changed_materials from mt"""))
 def q_material_overview(spark, sf):
     v = Views(spark, sf)
-    return r6(R.material_overview(R.material_tpt(scored_enriched(v), v.fg)))
+    return r6(R.material_overview(tpt_table(v)))
 
 
 AS_OF = "1996-12-31"
