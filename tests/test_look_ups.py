@@ -67,3 +67,45 @@ def test_training_rows_are_written_with_what_is_read(spark):
 
 def test_delay_rates_read_the_joins_behind_them_once(spark):
     assert not [f for f in q_v1_delay_rates(spark, SMOKE).inputFiles() if "/tables/" not in f]
+
+
+def _years_of_orders(spark, n=600):
+    """A material with a third of all orders, null keys and days, days over three years on both sides of 1970."""
+    day = dt.date(1969, 6, 1)
+    at = lambda k: day + dt.timedelta(days=k)
+    data = [(i, None if i % 29 == 0 else "HOT" if i % 3 == 0 else f"M{i % 9}", f"L{i % 4}" if i % 13 else None, at(i * i % 1100) if i % 31 else None,
+             at(i * i % 1100 + i % 9) if i % 37 else None, float(i % 7) if i % 5 else None, float(i % 11) if i % 17 else None) for i in range(1, n + 1)]
+    return spark.createDataFrame(data, "production_number long, material string, production_line string, created_date date, planned_start_date date, "
+                                       "actual_production_days double, order_quantity double")
+
+
+def test_windows_over_days_give_what_the_tables_do(spark):
+    rows = _years_of_orders(spark)
+    stats = FT.SourceStatistics(rows)
+    old = FT.history_stats(FT.forward_load(rows, stats=stats), stats=stats)
+    old = old.join(stats.line_orders(), "production_line", "left").join(stats.material_quantity(), "material", "left")
+    new = FT.windowed_days(rows, stats)
+    cols = sorted(set(old.columns) & set(new.columns))
+    assert len(cols) == len(old.columns) - 2  # without both days
+    assert _rows(new.select([F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in new.select(cols).dtypes])) \
+        == _rows(old.select([F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in old.select(cols).dtypes]))
+
+
+def test_rows_are_dealt_once_a_key_for_windows(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = FT.features_v4(_orders(spark))._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [x for x in plan if "SortMergeJoin" in x and "_ov#" in x]
+    assert len([x for x in plan if "REPARTITION_BY_COL" in x and "_slice#" in x]) == 2
+
+
+def test_shortage_rows_are_dealt_once(spark):
+    rows = spark.createDataFrame([(1, 7, 4.0, -2.0), (1, 7, 4.0, 1.0), (1, 8, None, 0.0), (None, 7, 1.0, 1.0)],
+                                 "production_number long, component_material long, required_qty double, shortage_qty double")
+    out = E.shortage_rollup(rows)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    r = out.collect()
+    assert len(r) == 1 and (r[0].shortage_component_count, r[0].total_shortage_qty, r[0].max_shortage_qty) == (2, 3.0, 2.0)
+    assert abs(r[0].shortage_component_ratio - 1) < 1e-5 and abs(r[0].shortage_qty_ratio - 3 / 8) < 1e-5
