@@ -4,8 +4,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from leadlane.operators import classic as CL
 from leadlane.operators import enrich as E
 from leadlane.operators import features as FT
+from leadlane.operators.scale import repeated, trailing_frames
 from leadlane.plans.q_classic import q_v1_delay_rates
 from leadlane.plans.registry import TIMED_READ, train_rows
 from leadlane.session import lineage_tables
@@ -109,3 +111,39 @@ def test_shortage_rows_are_dealt_once(spark):
     r = out.collect()
     assert len(r) == 1 and (r[0].shortage_component_count, r[0].total_shortage_qty, r[0].max_shortage_qty) == (2, 3.0, 2.0)
     assert abs(r[0].shortage_component_ratio - 1) < 1e-5 and abs(r[0].shortage_qty_ratio - 3 / 8) < 1e-5
+
+
+def test_trailing_frames_look_over_ranges_without_a_join_by_place(spark):
+    """A key over several ranges, short groups, null keys and values, and rows that come twice."""
+    n = 900
+    key = lambda i: None if i % 50 == 0 else "hot" if i % 3 else f"k{i % 40}"
+    data = [(i, key(i), i * 7919 % n, None if i % 11 == 0 else float(i % 4)) for i in range(n)]
+    data += [d for d in data if d[0] % 100 == 7]
+    df = spark.createDataFrame(data, "pn long, k string, t long, y double").repartition(6)
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = trailing_frames(df, ["pn"], ["k"], ["t", "pn"], {"a": (F.col("y"), 30, 5), "b": (F.col("y") * 2, 7, 3)}, "at")
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        rows = [tuple(r) for r in repeated(got, "pn", "a", "b", "at").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    want = []
+    for k in {d[1] for d in data}:
+        own = sorted((d for d in data if d[1] == k), key=lambda d: (d[2], d[0]))
+        for at, d in enumerate(own):
+            mean = lambda m, least: (lambda v: sum(v) / len(v) if len(v) >= least else None)([x[3] for x in own[max(0, at - m):at] if x[3] is not None])  # noqa: B023, E731
+            a, b = mean(30, 5), mean(7, 3)
+            want += [(d[0], a, b and 2 * b, at)] * own.count(d)
+    near = lambda rs: sorted(str([None if v is None else round(float(v), 9) for v in r]) for r in rs)
+    assert near(rows) == near(want)
+
+
+def test_what_rows_give_themselves_is_not_carried_through_joins(spark):
+    rows = spark.createDataFrame([(1, "MAT001", None, "L1", dt.date(2024, 1, 1), 1, 2, *[1.0] * 13)],
+                                 "production_number long, material string, material_description string, production_line string, planned_start_date date, "
+                                 "is_delayed int, delay_days int, " + ", ".join(f"{c} double" for c in CL.V1_FEATURES[:13]))
+    before = set(lineage_tables())
+    CL.features_v1(rows)
+    tables = [spark.read.parquet(t).columns for t in set(lineage_tables()) - before]
+    assert not [t for t in tables if "week_of_year" in t] and [t for t in tables if "is_vsc" in t]
